@@ -6,7 +6,8 @@ from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
-from pyspark.sql import Column, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, functions as F, types as T
 
 # Every character that str.strip() removes.
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
@@ -76,3 +77,10 @@ def best_match(line: str, needle: str, threshold: float) -> tuple[int, float] |
         if ratio >= threshold and ratio > (found[1] if found else 0.0):
             found = (at, ratio)
     return found
+
+
+@F.arrow_udf(T.DoubleType())
+def ratio(needle: pa.Array, text: pa.Array) -> pa.Array:
+    """Similarity of two strings in 0..1; the order of the arguments matters."""
+    pairs = zip(needle.to_pylist(), text.to_pylist())
+    return pa.array([None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in pairs], pa.float64())

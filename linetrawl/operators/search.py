@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from linetrawl.functions.text import (
-    RARE_LINE_BREAK, line_locator, line_segments, normalize, normalize_literal,
+    LINE_BREAK, line_locator, line_segments, normalize, normalize_literal,
 )
 from linetrawl.operators import matching
+from linetrawl.operators.ranks import running_total
 from linetrawl.spec import SearchSpec
 
 HIT_COLUMNS = ["path", "seg_idx", "locator", "kw_idx", "position", "matched", "snippet"]
@@ -175,20 +176,44 @@ def cap_hits(hits: DataFrame, n: int) -> DataFrame:
     if n <= WINDOW_CAP:
         rank = F.row_number().over(Window.partitionBy("path").orderBy(*order))
         return hits.withColumn("_rn", rank).filter(F.col("_rn") <= n).drop("_rn")
-    blocked = hits.withColumn("_block", F.floor(F.col("seg_idx") / BLOCK))
-    before = F.sum("_n").over(
-        Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        blocked.groupBy("path", "_block").agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.coalesce(before, F.lit(0)))
-        .filter(F.col("_before") < n)
-        .select("path", "_block", "_before")
+    ranked = running_total(hits, ["path"], ["seg_idx", "hit_ord"], F.lit(1), "_before", BLOCK)
+    return ranked.filter(F.col("_before") < n).drop("_before")
+
+
+# ------------------------------------------------------------------------------ without a cap
+def all_positions(segments: DataFrame, spec: SearchSpec) -> DataFrame:
+    """Every non-overlapping occurrence of every keyword: ``(path, seg_idx, kw_idx, position)``.
+
+    The text is cut at the keyword and only the lengths of the pieces are summed up per segment.
+    """
+    keywords = matching.keyword_array(spec)
+    normal = segments.select(
+        "path", F.col("idx").alias("seg_idx"),
+        normalize(F.col("text"), spec.case_sensitive, spec.normalize_width).alias("_t"))
+    pieces = (
+        normal.withColumn("k", F.explode(F.filter(keywords, lambda k: F.contains(F.col("_t"), k["norm"]))))
+        .withColumn("_size", F.char_length("k.norm"))
+        .select("path", "seg_idx", "k.kw_idx", "_size",
+                F.posexplode(F.transform(F.call_function("split", "_t", F.col("k.quoted"), F.lit(-1)), F.char_length))
+                .alias("_i", "_length"))
     )
-    in_block = F.row_number().over(Window.partitionBy("path", "_block").orderBy(*order))
+    group = Window.partitionBy("path", "seg_idx", "kw_idx").orderBy("_i")
+    upto = F.sum("_length").over(group.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
-        blocked.withColumn("_rn", in_block)
-        .join(offsets, ["path", "_block"])
-        .filter(F.col("_before") + F.col("_rn") <= n)
-        .drop("_rn", "_block", "_before")
+        pieces.withColumn("_upto", upto).withColumn("_last", F.lead("_i").over(group).isNull())
+        .filter(~F.col("_last"))
+        .select("path", "seg_idx", "kw_idx", (F.col("_upto") + F.col("_i") * F.col("_size")).alias("position"))
     )
+
+
+def line_offsets(texts: DataFrame) -> DataFrame:
+    """``(path, line_no, offset)``: where each line of ``(path, text)`` starts, in characters.
+
+    A CR LF pair is one terminator of two characters; every other terminator is one.
+    """
+    unified = F.replace(F.col("text"), F.lit("\r\n"), F.lit("\x00\n"))  # keeps the width of the pair
+    lines = texts.select("path", F.posexplode(F.transform(
+        F.split(F.when(F.col("text").contains("\r\n"), unified).otherwise(F.col("text")),
+                LINE_BREAK, -1), F.char_length)).alias("i", "size"))
+    starts = running_total(lines, ["path"], ["i"], F.col("size") + 1, "offset")
+    return starts.select("path", (F.col("i") + 1).cast("bigint").alias("line_no"), F.col("offset").cast("bigint").alias("offset"))
