@@ -88,29 +88,23 @@ def iso_seconds(ts: Column) -> Column:
 def human_bytes(size: Column) -> Column:
     """``B`` below 1024, then one decimal in KB, MB, GB or TB (base 1024).
 
-    One decimal of ``size / 1024^k`` is exact binary arithmetic, so ``bround`` on a decimal gives
-    the half-even result of printf-style formatting.
+    Integer arithmetic on quotient and remainder; halves go to the even digit, as printf-style
+    formatting of the exact binary value does.
     """
-    def scaled(power: int, unit: str) -> Column:
-        exact = size.cast("decimal(38,0)") * F.lit(10)
-        unit_size = 1024 ** power
-        whole = F.floor(exact / F.lit(unit_size).cast("decimal(20,0)"))
-        rest = exact - whole * F.lit(unit_size).cast("decimal(20,0)")
-        twice = rest * 2
-        up = (twice > unit_size) | ((twice == unit_size) & (whole % 2 == 1))
-        tenths = (whole + F.when(up, 1).otherwise(0)).cast("bigint")
-        return F.concat(
-            F.floor(tenths / 10).cast("bigint").cast("string"), F.lit("."),
-            (tenths % 10).cast("string"), F.lit(" " + unit),
-        )
-
-    return (
-        F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
-        .when(size < 1024 ** 2, scaled(1, "KB"))
-        .when(size < 1024 ** 3, scaled(2, "MB"))
-        .when(size < 1024 ** 4, scaled(3, "GB"))
-        .otherwise(scaled(4, "TB"))
-    )
+    power = F.when(size < 1024 ** 2, 1).when(size < 1024 ** 3, 2).when(size < 1024 ** 4, 3).otherwise(4)
+    divide = lambda a, b: ((a - a % b) / b).cast("bigint")
+
+    def render(p):
+        unit = F.call_function("shiftleft", F.lit(1).cast("bigint"), p * 10)
+        rest = size % unit * 10
+        digit, twice = divide(rest, unit), rest % unit * 2
+        up = (twice > unit) | ((twice == unit) & (digit % 2 == 1))
+        tenths = divide(size, unit) * 10 + digit + F.when(up, 1).otherwise(0)
+        name = F.element_at(F.array(*map(F.lit, ("KB", "MB", "GB", "TB"))), p)
+        return F.concat(divide(tenths, F.lit(10)).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" "), name)
+
+    scaled = F.transform(F.array(power), render)[0]
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).otherwise(scaled)
 
 
 def column_letters(number: Column) -> Column:

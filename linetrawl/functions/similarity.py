@@ -27,26 +27,31 @@ def could_match(line: Column, needle: str, threshold: float) -> Column:
     occur in the line. Both bounds grow with M, so the smallest M that reaches the threshold decides.
     """
     n, width = len(needle), window_width(len(needle))
-    stripped = F.trim(line, F.lit(WHITESPACE))
-    length = F.char_length(stripped)
-    chunk = F.when(length <= 2 * n, length).otherwise(F.lit(width))
-    needed = F.ceil(F.lit(threshold) * (chunk + n) / 2 - _SLACK)
+    if 2 * n / (n + width) < threshold - _SLACK:
+        reachable = lambda length: length <= 2 * n
+    else:
+        reachable = lambda length: F.lit(True)
 
+    # Counting on the untrimmed line can only raise the bounds.
     overlap = sum(
-        (F.least(F.lit(k), length - F.char_length(F.replace(stripped, F.lit(ch), F.lit(""))))
+        (F.least(F.lit(k), F.char_length(line) - F.char_length(F.replace(line, F.lit(ch), F.lit(""))))
          for ch, k in sorted(Counter(needle).items())),
         F.lit(0),
     )
     pairs = sum(
-        (F.when(F.contains(stripped, F.lit(needle[i:i + 2])), 1).otherwise(0) for i in range(n - 1)),
+        (F.when(F.contains(line, F.lit(needle[i:i + 2])), 1).otherwise(0) for i in range(n - 1)),
         F.lit(0),
     )
-    reachable = (length <= 2 * n) | F.lit(2 * n / (n + width) >= threshold - _SLACK)
-    return (
-        (length > 0) & reachable
-        & (pairs >= 3 * needed - n - chunk - 1)
-        & (overlap >= needed)
-    )
+
+    def enough(length):
+        chunk = F.when(length <= 2 * n, length).otherwise(F.lit(width))
+        needed = F.ceil(F.lit(threshold) * (chunk + n) / 2 - _SLACK)
+        return (
+            (length > 0) & reachable(length)
+            & (pairs >= 3 * needed - n - chunk - 1) & (overlap >= needed)
+        )
+
+    return F.exists(F.array(F.char_length(F.trim(line, F.lit(WHITESPACE)))), enough)
 
 
 def best_match(line: str, needle: str, threshold: float) -> tuple[int, float] | None:

@@ -8,12 +8,13 @@ so no text has to cross into a Python worker.
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
 # Line terminators and the characters that count as blank.
 LINE_BREAK = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"
-RARE_LINE_BREAK = r"[\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"
+RARE_LINE_BREAKS = ("\r", "\x0b", "\f", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
 NON_BLANK = r"(?U)[^\s\x1c-\x1f]"
 
 
@@ -46,15 +47,27 @@ def normalize_literal(text: str, case_sensitive: bool = False, normalize_width:
     return text if case_sensitive else text.casefold()
 
 
+def once(value: Column) -> Column:
+    """Generator that yields ``value`` itself, one row in, one row out.
+
+    The optimizer copies a projected expression into every filter on it, its own filters below
+    ``explode`` included. The output of a generator is computed once and only referenced.
+    """
+    return F.explode(F.array(value))
+
+
 def is_blank(text: Column) -> Column:
     return ~text.rlike(NON_BLANK)
 
 
+def has_rare_break(text: Column) -> Column:
+    """Whether a text has a line terminator other than LF; byte search beats a regex here."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in RARE_LINE_BREAKS])
+
+
 def split_lines(text: Column) -> Column:
     """All lines of a text, blank ones included; single-character split where that is enough."""
-    return F.when(text.rlike(RARE_LINE_BREAK), F.split(text, LINE_BREAK, -1)).otherwise(
-        F.split(text, "\n", -1)
-    )
+    return F.when(has_rare_break(text), F.split(text, LINE_BREAK, -1)).otherwise(F.split(text, "\n", -1))
 
 
 def line_segments(raw: Column, normalized: Column | None = None) -> Column:
@@ -76,15 +89,21 @@ def line_locator(line_no: Column) -> Column:
     return F.concat(F.lit("行 "), line_no.cast("string"))
 
 
-def snippet(text: Column, start: Column, end: Column, chars: int) -> Column:
-    """``text[start:end]`` with ``chars`` characters either side; dots only where text was cut."""
+def snippet(text: Column, start: Column, end: Column, chars: int, length: Column | None = None) -> Column:
+    """``text[start:end]`` with ``chars`` characters either side; dots only where text was cut.
+
+    ``length`` spares counting the characters of ``text`` again where that is known.
+    """
+    length = F.char_length(text) if length is None else length
     lo = F.greatest(start - F.lit(chars), F.lit(0))
-    hi = F.least(end + F.lit(chars), F.char_length(text))
-    body = F.translate(text.substr(lo + F.lit(1), hi - lo), "\r\n\t", "   ")
+    hi = F.least(end + F.lit(chars), length)
+    body = text.substr(lo + F.lit(1), hi - lo)
+    for space in "\r\n\t":
+        body = F.replace(body, F.lit(space), F.lit(" "))
     return F.concat(
         F.when(lo > 0, F.lit("...")).otherwise(F.lit("")),
         body,
-        F.when(hi < F.char_length(text), F.lit("...")).otherwise(F.lit("")),
+        F.when(hi < length, F.lit("...")).otherwise(F.lit("")),
     )
 
 

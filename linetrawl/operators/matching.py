@@ -15,7 +15,7 @@ from pyspark.sql import Column, functions as F
 
 from linetrawl.functions import similarity
 from linetrawl.functions.text import (
-    RARE_LINE_BREAK, normalize_literal, quote_literal, snippet, split_lines,
+    has_rare_break, normalize_literal, quote_literal, snippet, split_lines,
 )
 from linetrawl.spec import SearchSpec
 
@@ -74,15 +74,22 @@ def _hit(seg, kw_idx, position, end, matched, spec: SearchSpec) -> Column:
         kw_idx.cast("int").alias("kw_idx"),
         position.cast("bigint").alias("position"),
         matched.alias("matched"),
-        snippet(seg["text"], position.cast("int"), end.cast("int"), spec.snippet_chars).alias("snippet"),
+        snippet(seg["text"], position.cast("int"), end.cast("int"), spec.snippet_chars, seg["size"]).alias("snippet"),
     )
 
 
+def _sized(segs: Column) -> Column:
+    """Segments with their length in characters, counted once for all hits of a segment."""
+    return F.transform(segs, lambda s: F.struct(
+        s["seg_idx"].alias("seg_idx"), s["line_no"].alias("line_no"), s["text"].alias("text"),
+        F.char_length(s["text"]).alias("size")))
+
+
 def _until_full(segs: Column, hits_of, limit: int) -> Column:
     """Concatenate the hits of each segment in order and stop evaluating at ``limit`` hits."""
     return F.slice(
         F.aggregate(
-            segs,
+            _sized(segs),
             F.array().cast(HIT_TYPE),
             lambda acc, seg: F.when(F.size(acc) >= limit, acc).otherwise(F.concat(acc, hits_of(seg))),
         ),
@@ -107,7 +114,7 @@ def keyword_hits(segs: Column, present: Column, spec: SearchSpec, per_keyword: b
 
     matching = F.filter(segs, lambda s: F.exists(present, lambda k: F.contains(s["text"], k["norm"])))
     if per_keyword:
-        return F.flatten(F.transform(matching, hits_of))
+        return F.flatten(F.transform(_sized(matching), hits_of))
     return _until_full(matching, hits_of, limit)
 
 
@@ -188,7 +195,8 @@ def _arrow_hits(matcher, spec: SearchSpec):
         names = [_HIT_ARROW.value_type.field(i).name for i in range(6)]
         return pa.array([[dict(zip(names, h)) for h in hits] for hits in out], type=_HIT_ARROW)
 
-    return find
+    # Keeps the optimizer from evaluating it a second time inside a filter on the result.
+    return find.asNondeterministic()
 
 
 def regex_hits_exact(segs: Column, spec: SearchSpec) -> Column:
@@ -204,25 +212,33 @@ def regex_hits_exact(segs: Column, spec: SearchSpec) -> Column:
     return _arrow_hits(matcher, spec)(segs)
 
 
-def fuzzy_hits(segs: Column, spec: SearchSpec, multiline: bool) -> Column:
-    """Segments that the native bound cannot rule out go to the exact similarity."""
+def _needles(spec: SearchSpec) -> list[tuple[int, str]]:
+    norms = [(i, normalize_literal(raw, spec.case_sensitive, spec.normalize_width)) for i, raw in enumerate(spec.keywords)]
+    return [(i, norm) for i, norm in norms if norm]
+
+
+def fuzzy_candidates(segs: Column, spec: SearchSpec, multiline: bool) -> Column:
+    """Segments that the native bound cannot rule out."""
     threshold = float(spec.fuzzy_threshold)
-    needles = [
-        (i, norm) for i, raw in enumerate(spec.keywords)
-        if (norm := normalize_literal(raw, spec.case_sensitive, spec.normalize_width))
-    ]
 
     def possible(line):
-        return reduce(lambda a, b: a | b, [similarity.could_match(line, n, threshold) for _, n in needles])
+        return reduce(lambda a, b: a | b, [similarity.could_match(line, n, threshold) for _, n in _needles(spec)])
 
     def keep(seg):
         if not multiline:
             return possible(seg["text"])
         return F.when(
-            seg["text"].contains("\n") | seg["text"].rlike(RARE_LINE_BREAK),
+            seg["text"].contains("\n") | has_rare_break(seg["text"]),
             F.exists(split_lines(seg["text"]), possible),
         ).otherwise(possible(seg["text"]))
 
+    return F.filter(segs, keep)
+
+
+def fuzzy_hits(segs: Column, spec: SearchSpec) -> Column:
+    """Exact similarity of :func:`fuzzy_candidates`."""
+    threshold, needles = float(spec.fuzzy_threshold), _needles(spec)
+
     def matcher(text):
         offset = 0
         for line in text.splitlines(keepends=True):
@@ -234,4 +250,4 @@ def fuzzy_hits(segs: Column, spec: SearchSpec, multiline: bool) -> Column:
                     yield i, offset + indent + found[0], len(needle), f"{needle} (sim={found[1]:.2f})"
             offset += len(line)
 
-    return _arrow_hits(matcher, spec)(F.filter(segs, keep))
+    return _arrow_hits(matcher, spec)(segs)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from linetrawl.functions.text import (
-    LINE_BREAK, line_locator, line_segments, normalize, normalize_literal,
+    line_locator, line_segments, normalize, normalize_literal, once, split_lines,
 )
 from linetrawl.operators import matching
 from linetrawl.operators.ranks import running_total
@@ -18,15 +18,28 @@ WINDOW_CAP = 100
 BLOCK = 4096
 
 
-def _hits_column(segs: Column, spec: SearchSpec, present: Column | None, multiline: bool,
-                 per_keyword: bool = False) -> Column:
+def _in_python(spec: SearchSpec) -> bool:
+    return spec.mode == "fuzzy" or (spec.mode == "regex" and not all(map(matching.is_portable, spec.keywords)))
+
+
+def _with_hits(rows: DataFrame, kept: list[str], segs: Column, spec: SearchSpec, multiline: bool = False,
+               per_keyword: bool = False) -> DataFrame:
+    """``kept`` columns and the ``hits`` of ``segs``; keyword mode reads ``_present`` as well.
+
+    Expensive arrays pass through :func:`once`, Python functions get a plain column and give one.
+    """
+    empty = F.array().cast(matching.HIT_TYPE)
+    if _in_python(spec):
+        if spec.mode == "fuzzy":
+            segs = matching.fuzzy_candidates(segs, spec, multiline)
+        rows = rows.select(*kept, once(segs).alias("_segs"))
+        lane = matching.fuzzy_hits if spec.mode == "fuzzy" else matching.regex_hits_exact
+        return rows.select(*kept, F.coalesce(lane(F.col("_segs"), spec), empty).alias("hits"))
     if spec.mode == "keyword":
-        return matching.keyword_hits(segs, present, spec, per_keyword)
-    if spec.mode == "fuzzy":
-        return matching.fuzzy_hits(segs, spec, multiline)
-    if all(matching.is_portable(p) for p in spec.keywords):
-        return matching.regex_hits_native(segs, spec)
-    return matching.regex_hits_exact(segs, spec)
+        hits = matching.keyword_hits(segs, F.col("_present"), spec, per_keyword)
+    else:
+        hits = matching.regex_hits_native(segs, spec)
+    return rows.select(*kept, once(F.coalesce(hits, empty)).alias("hits"))
 
 
 def _has_break(keyword: str) -> bool:
@@ -36,20 +49,15 @@ def _has_break(keyword: str) -> bool:
 def file_hits(files: DataFrame, spec: SearchSpec, text: str = "text") -> DataFrame:
     """Add ``hits`` to rows that each hold a whole file. No shuffle: order, AND gate and cap are
     all decided inside the row. Files without a hit keep an empty array."""
-    empty = F.array().cast(matching.HIT_TYPE)
     if not spec.keywords:
-        return files.withColumn("hits", empty)
+        return files.withColumn("hits", F.array().cast(matching.HIT_TYPE))
     kept = files.columns
     if spec.mode == "regex":
-        searched = files.withColumn("_segs", line_segments(F.col(text)))
-        hits = _hits_column(F.col("_segs"), spec, None, multiline=False)
-        return searched.select(*kept, F.coalesce(hits, empty).alias("hits"))
+        return _with_hits(files, kept, line_segments(F.col(text)), spec)
 
     normal = files.withColumn("_norm", normalize(F.col(text), spec.case_sensitive, spec.normalize_width))
     if spec.mode == "fuzzy":
-        normal = normal.withColumn("_segs", line_segments(F.col("_norm")))
-        hits = _hits_column(F.col("_segs"), spec, None, multiline=False)
-        return normal.select(*kept, F.coalesce(hits, empty).alias("hits"))
+        return _with_hits(normal, kept, line_segments(F.col("_norm")), spec)
 
     keywords = matching.keyword_array(spec)
     normal = normal.withColumn(
@@ -62,9 +70,7 @@ def file_hits(files: DataFrame, spec: SearchSpec, text: str = "text") -> DataFra
         normal = normal.withColumn("_segs", segs)
         joined = F.array_join(F.transform("_segs", lambda s: s["text"]), "\n")
         segs = F.when(F.forall(keywords, lambda k: F.contains(joined, k["norm"])), F.col("_segs"))
-    normal = normal.withColumn("_segs", segs)
-    hits = _hits_column(F.col("_segs"), spec, F.col("_present"), multiline=False)
-    return normal.select(*kept, F.coalesce(hits, empty).alias("hits"))
+    return _with_hits(normal, kept, segs, spec)
 
 
 def explode_hits(searched: DataFrame, *carry: str) -> DataFrame:
@@ -123,12 +129,9 @@ def _segment_hits(raw: DataFrame, spec: SearchSpec, per_keyword: bool) -> DataFr
         keywords = matching.keyword_array(spec)
         raw = raw.withColumn("_present", F.filter(keywords, lambda k: F.contains(F.col("text"), k["norm"])))
         raw = raw.filter(F.size("_present") > 0)
-        column = _hits_column(one, spec, F.col("_present"), True, per_keyword)
-    else:
-        column = _hits_column(one, spec, None, multiline=True)
+    found = _with_hits(raw, ["path", "seg_idx", "locator"], one, spec, multiline=True, per_keyword=per_keyword)
     return (
-        raw.withColumn("_hits", column)
-        .select("path", "seg_idx", "locator", F.posexplode("_hits").alias("hit_ord", "h"))
+        found.select("path", "seg_idx", "locator", F.posexplode("hits").alias("hit_ord", "h"))
         .select("path", "seg_idx", "locator", "hit_ord",
                 "h.kw_idx", "h.position", "h.matched", "h.snippet")
     )
@@ -194,8 +197,8 @@ def all_positions(segments: DataFrame, spec: SearchSpec) -> DataFrame:
         normal.withColumn("k", F.explode(F.filter(keywords, lambda k: F.contains(F.col("_t"), k["norm"]))))
         .withColumn("_size", F.char_length("k.norm"))
         .select("path", "seg_idx", "k.kw_idx", "_size",
-                F.posexplode(F.transform(F.call_function("split", "_t", F.col("k.quoted"), F.lit(-1)), F.char_length))
-                .alias("_i", "_length"))
+                once(F.transform(F.call_function("split", "_t", F.col("k.quoted"), F.lit(-1)), F.char_length)).alias("_cut"))
+        .select("path", "seg_idx", "kw_idx", "_size", F.posexplode("_cut").alias("_i", "_length"))
     )
     group = Window.partitionBy("path", "seg_idx", "kw_idx").orderBy("_i")
     upto = F.sum("_length").over(group.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -212,8 +215,7 @@ def line_offsets(texts: DataFrame) -> DataFrame:
     A CR LF pair is one terminator of two characters; every other terminator is one.
     """
     unified = F.replace(F.col("text"), F.lit("\r\n"), F.lit("\x00\n"))  # keeps the width of the pair
-    lines = texts.select("path", F.posexplode(F.transform(
-        F.split(F.when(F.col("text").contains("\r\n"), unified).otherwise(F.col("text")),
-                LINE_BREAK, -1), F.char_length)).alias("i", "size"))
+    lengths = F.transform(split_lines(F.when(F.col("text").contains("\r\n"), unified).otherwise(F.col("text"))), F.char_length)
+    lines = texts.select("path", once(lengths).alias("_cut")).select("path", F.posexplode("_cut").alias("i", "size"))
     starts = running_total(lines, ["path"], ["i"], F.col("size") + 1, "offset")
     return starts.select("path", (F.col("i") + 1).cast("bigint").alias("line_no"), F.col("offset").cast("bigint").alias("offset"))

@@ -1,0 +1,19 @@
+"""Giving every core a share of a small table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+SMALL_BYTES = 128 * 1024 * 1024
+
+
+def spread_small(rows: DataFrame, *keys: str) -> DataFrame:
+    """Deal the rows of a table that fits one scan split over all cores by ``keys``.
+
+    Such a table often is a single row group, which one task would read and search alone. A table
+    with more bytes than one split has its own parallelism and is left as it is.
+    """
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(size) > SMALL_BYTES:
+        return rows
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *keys)

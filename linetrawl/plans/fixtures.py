@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from linetrawl.operators.spread import spread_small
 from linetrawl.sources.plaintext import text_segments
 
 EXTS = (".txt", ".MD", ".csv", ".xlsx", ".docx", ".pdf", ".png", ".ppt", "", ".tmp", ".json", ".log")
@@ -31,13 +32,15 @@ def _mtime(minutes: Column) -> Column:
 
 def documents(spark, sf_dir):
     """Whole-file rows: file_ord, path, size, mtime, text."""
-    return table(spark, sf_dir, "documents").select(
+    return spread_small(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").alias("file_ord"), _path().alias("path"), F.col("n_chars").alias("size"),
         _mtime(F.col("doc_id")).alias("mtime"), "text", "source", "lang")
 
 
 def files_v(spark, sf_dir):
-    return documents(spark, sf_dir).select("file_ord", "path", "size", "mtime")
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("file_ord"), _path().alias("path"), F.col("n_chars").alias("size"),
+        _mtime(F.col("doc_id")).alias("mtime"))
 
 
 def content_v(spark, sf_dir):
@@ -52,7 +55,7 @@ def segments_v(spark, sf_dir):
 
 
 def turns_v(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select(
+    return spread_small(table(spark, sf_dir, "conversations"), "conv_id", "turn").select(
         F.concat(F.lit("/chat/"), F.col("conv_id").cast("string")).alias("path"),
         F.col("turn").cast("int").alias("idx"), F.col("role").alias("locator"), "text")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from linetrawl.functions.text import line_locator, line_segments
+from linetrawl.functions.text import line_locator, line_segments, once
 
 # Sniffed head size and byte-order marks.
 HEAD_BYTES = 8192
@@ -58,6 +58,9 @@ def guess_decode(content: pa.Array) -> pa.Array:
     return pa.array([decode(v) for v in content.to_pylist()], pa.string())
 
 
+guess_decode = guess_decode.asNondeterministic()  # evaluated once, never copied into a filter
+
+
 def decode_text(files: DataFrame, keep: list[str], guess: bool = True) -> DataFrame:
     """``keep`` columns plus ``text``, NULL for binary content.
 
@@ -77,7 +80,8 @@ def decode_text(files: DataFrame, keep: list[str], guess: bool = True) -> DataFr
 
 def text_segments(texts: DataFrame) -> DataFrame:
     """``(path, idx, line_no, locator, text)`` of ``(path, text)``: one row per non-blank line."""
-    return texts.select("path", F.explode(line_segments(F.col("text"))).alias("s")).select(
+    lines = texts.select("path", once(line_segments(F.col("text"))).alias("segs"))
+    return lines.select("path", F.explode("segs").alias("s")).select(
         "path", F.col("s.seg_idx").alias("idx"), F.col("s.line_no").cast("bigint").alias("line_no"),
         line_locator(F.col("s.line_no")).alias("locator"), F.col("s.text").alias("text"),
     )
