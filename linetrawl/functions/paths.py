@@ -33,16 +33,14 @@ def glob_to_regex(pattern: str) -> str:
     out, i = [], 0
     while i < len(pattern):
         ch = pattern[i]
-        close = pattern.find("]", i + 2) if ch == "[" else -1
+        inside = i + 2 if pattern[i + 1:i + 2] == "!" else i + 1
+        close = pattern.find("]", inside + 1) if ch == "[" else -1
         if ch == "*":
             out.append(".*")
         elif ch == "?":
             out.append(".")
         elif close > 0:
-            body = pattern[i + 1:close]
-            negate = body.startswith("!")
-            body = re.sub(r"([\\\[\]&^])", r"\\\1", body[negate:])
-            out.append(f"[{'^' if negate else ''}{body}]")
+            out.append(_char_class(pattern[inside:close], inside == i + 2))
             i = close
         else:
             out.append(re.sub(r"([^\w\s])", r"\\\1", ch) if ch.isascii() else ch)
@@ -50,6 +48,14 @@ def glob_to_regex(pattern: str) -> str:
     return r"(?s)\A" + "".join(out) + r"\z"
 
 
+def _char_class(body: str, negate: bool) -> str:
+    """One bracket of a glob; a range that runs backwards holds nothing."""
+    body = re.sub(r"(.)-(.)", lambda m: m.group() if m[1] <= m[2] else "", body, flags=re.S)
+    if not body:
+        return "." if negate else "(?!)"
+    return f"[{'^' if negate else ''}" + re.sub(r"([\\\[\]&^])", r"\\\1", body) + "]"
+
+
 def resolve_target(base: Column, target: Column) -> Column:
     """Package part that a relative relationship target points to, lower-cased."""
     parts = F.split(base, "/")

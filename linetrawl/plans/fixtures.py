@@ -32,7 +32,17 @@ def _mtime(minutes: Column) -> Column:
 
 def documents(spark, sf_dir):
     """Whole-file rows: file_ord, path, size, mtime, text."""
-    return spread_small(table(spark, sf_dir, "documents"), "doc_id").select(
+    return as_files(spread_small(table(spark, sf_dir, "documents"), "doc_id"))
+
+
+def arriving_documents(spark, sf_dir):
+    """The same rows as a stream over the table's files."""
+    schema = table(spark, sf_dir, "documents").schema
+    return as_files(spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir))
+
+
+def as_files(docs: DataFrame) -> DataFrame:
+    return docs.select(
         F.col("doc_id").alias("file_ord"), _path().alias("path"), F.col("n_chars").alias("size"),
         _mtime(F.col("doc_id")).alias("mtime"), "text", "source", "lang")
 
@@ -44,9 +54,13 @@ def files_v(spark, sf_dir):
 
 
 def content_v(spark, sf_dir):
+    return as_content(documents(spark, sf_dir))
+
+
+def as_content(files: DataFrame) -> DataFrame:
     bom = F.when(F.col("file_ord") % 7 == 0, F.to_binary(F.lit("EFBBBF"), F.lit("hex"))).otherwise(F.to_binary(F.lit(""), F.lit("hex")))
     nul = F.when(F.col("file_ord") % 11 == 0, F.to_binary(F.lit("00"), F.lit("hex"))).otherwise(F.to_binary(F.lit(""), F.lit("hex")))
-    return documents(spark, sf_dir).select(
+    return files.select(
         "file_ord", "path", "mtime", "size", F.concat(bom, nul, F.encode("text", "UTF-8")).alias("content"))
 
 

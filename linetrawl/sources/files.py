@@ -80,7 +80,8 @@ def walk_files(spark: SparkSession, roots: list[str], spec: ScanSpec = ScanSpec(
 
     One job per directory level: every task lists some directories of the level, excluded ones are
     never descended into, and each level is a table in the shared folder, so a lost executor costs
-    no more than its own tasks and no branch of the tree is walked by one task alone.
+    no more than its own tasks and no branch of the tree is walked by one task alone. Times have
+    milliseconds, like those of the built-in source.
     """
     excluded = set(spec.exclude_dirs)
     seeds = [(r, os.path.isdir(r)) for r in roots if r and os.path.exists(r)]
@@ -102,14 +103,14 @@ def walk_files(spark: SparkSession, roots: list[str], spec: ScanSpec = ScanSpec(
                                 found.append((posixpath.join(path, e.name), None, None, root, False))
                                 continue
                             found.append((posixpath.join(path, e.name), stat.st_size,
-                                          int(stat.st_mtime * 1_000_000), root, is_dir))
+                                          stat.st_mtime_ns // 1_000_000, root, is_dir))
                 except OSError:
                     continue
             if found:
                 paths, sizes, times, rts, dirs = zip(*found)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(paths, pa.string()), pa.array(sizes, pa.int64()),
-                    pa.array(times, pa.timestamp("us", tz="UTC")), pa.array(rts, pa.string()),
+                    pa.array(times, pa.timestamp("ms", tz="UTC")).cast(pa.timestamp("us", tz="UTC")), pa.array(rts, pa.string()),
                     pa.array(dirs, pa.bool_()),
                 ], names=["path", "size", "mtime", "root", "is_dir"])
 
@@ -117,9 +118,9 @@ def walk_files(spark: SparkSession, roots: list[str], spec: ScanSpec = ScanSpec(
     rows = []
     for path in single:
         stat = os.stat(path)
-        rows.append((path, stat.st_size, stat.st_mtime, posixpath.dirname(path)))
-    files = spark.createDataFrame(rows, "path string, size bigint, mtime double, root string").select(
-        "path", "size", F.timestamp_seconds("mtime").alias("mtime"), "root")
+        rows.append((path, stat.st_size, stat.st_mtime_ns // 1_000_000, posixpath.dirname(path)))
+    files = spark.createDataFrame(rows, "path string, size bigint, mtime bigint, root string").select(
+        "path", "size", F.timestamp_millis("mtime").alias("mtime"), "root")
     level = spark.createDataFrame(
         [(r, i) for i, (r, is_dir) in enumerate(seeds) if is_dir], "path string, ord int"
     ).select("path", F.col("path").alias("root"))
