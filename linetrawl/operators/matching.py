@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
-from linetrawl.functions import similarity
+from linetrawl.functions.similarity import best_match, could_match
 from linetrawl.functions.text import (
     has_rare_break, normalize_literal, quote_literal, snippet, split_lines,
 )
@@ -222,7 +222,7 @@ def fuzzy_candidates(segs: Column, spec: SearchSpec, multiline: bool) -> Column:
     threshold = float(spec.fuzzy_threshold)
 
     def possible(line):
-        return reduce(lambda a, b: a | b, [similarity.could_match(line, n, threshold) for _, n in _needles(spec)])
+        return reduce(lambda a, b: a | b, [could_match(line, n, threshold) for _, n in _needles(spec)])
 
     def keep(seg):
         if not multiline:
@@ -245,7 +245,7 @@ def fuzzy_hits(segs: Column, spec: SearchSpec) -> Column:
             core = line.strip()
             indent = len(line) - len(line.lstrip())
             for i, needle in needles if core else ():
-                found = similarity.best_match(core, needle, threshold)
+                found = best_match(core, needle, threshold)
                 if found:
                     yield i, offset + indent + found[0], len(needle), f"{needle} (sim={found[1]:.2f})"
             offset += len(line)

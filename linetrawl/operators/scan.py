@@ -10,6 +10,7 @@ from linetrawl.sources import office as office_source
 from linetrawl.sources.plaintext import decode_text
 from linetrawl.sources.route import route, skip_reason
 from linetrawl.spec import SearchSpec
+from linetrawl.workspace import shared_dir
 
 
 def outcome(error: Column, reason: Column, n_hits: Column) -> Column:
@@ -22,20 +23,27 @@ def outcome(error: Column, reason: Column, n_hits: Column) -> Column:
     )
 
 
+def by_route(files: DataFrame, office: bool = False) -> dict[str, DataFrame]:
+    """Files with content, split by route. Files skipped by name keep no content, so where the source
+    reads content on demand it stays unread."""
+    kinds = ["text", "xlsx"] + (["docx", "pptx"] if office else [])
+    routes = {kind: files.filter(route(F.col("path"), office) == kind) for kind in kinds}
+    skipped = files.filter(route(F.col("path"), office) == "skip")
+    routes["skip"] = skipped.withColumn("content", F.lit(None).cast("binary"))
+    return routes
+
+
 def scan_texts(files: DataFrame, spec: SearchSpec, office: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Outcome and hits of the files that are read as text or skipped by name.
+    """Outcome and hits of files of the text and skip routes.
 
     ``files`` has ``path`` and ``content``, plus ``error`` where reading already failed; ``keep``
-    carries manifest columns along. One row per file, no shuffle. Content of files skipped by name
-    is never decoded, and text without any line worth searching counts as binary.
+    carries manifest columns along. One row per file, no shuffle. Text without any line worth
+    searching counts as binary.
     """
     base = ["path", *keep]
     error = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
-    routed = files.filter(route(F.col("path"), office).isin("text", "skip")).select(
-        *base, error.alias("error"), skip_reason(F.col("path"), office).alias("_named"),
-        F.when(route(F.col("path"), office) == "text", F.col("content")).alias("content"),
-    )
-    texts = decode_text(routed, [*base, "error", "_named"])
+    named = files.select(*base, error.alias("error"), skip_reason(F.col("path"), office).alias("_named"), "content")
+    texts = decode_text(named, [*base, "error", "_named"])
     unread = F.col("text").isNull() | is_blank(F.col("text"))
     texts = texts.select(
         *base, "error", F.coalesce("_named", F.when(F.col("error").isNull() & unread, "binary")).alias("reason"), "text"
@@ -48,15 +56,19 @@ def scan_texts(files: DataFrame, spec: SearchSpec, office: bool = False, keep: t
     )
 
 
-def package_files(files: DataFrame, office: bool = False) -> dict[str, DataFrame]:
-    """Part rows per package route."""
-    def of(kind):
-        return files.filter(route(F.col("path"), office) == kind)
+def package_parts(routes: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Part rows per package route.
 
-    parts = {"xlsx": office_source.xlsx_parts(of("xlsx"))}
-    if office:
-        parts["docx"] = office_source.docx_parts(of("docx"))
-        parts["pptx"] = office_source.pptx_parts(of("pptx"))
+    Documents and slides have two readers, their segments and their errors, so what was unpacked is
+    written to the shared folder once.
+    """
+    parts = {"xlsx": office_source.xlsx_parts(routes["xlsx"])}
+    for kind, unpack in (("docx", office_source.docx_parts), ("pptx", office_source.pptx_parts)):
+        if kind in routes:
+            rows = unpack(routes[kind])
+            out = shared_dir(rows.sparkSession, f"parts-{kind}")
+            rows.write.parquet(out)
+            parts[kind] = rows.sparkSession.read.schema(rows.schema).parquet(out)
     return parts
 
 
@@ -69,29 +81,29 @@ def package_segments(parts: dict[str, DataFrame], granularity: str = "cell") ->
     return out
 
 
-def scan(files: DataFrame, spec: SearchSpec, office: bool = False, granularity: str = "cell") -> tuple[DataFrame, DataFrame]:
-    """``(outcomes, hits)`` over every route.
+def scan(files: DataFrame | dict[str, DataFrame], spec: SearchSpec, office: bool = False,
+         granularity: str = "cell") -> tuple[DataFrame, DataFrame]:
+    """``(outcomes, hits)`` over every route of ``files``, or of files split by :func:`by_route` or
+    ``sources.files.read_routes``.
 
     Packages yield many segments per file, so only their trimmed hits and the package file names
     meet in a join; text files are finished inside their row.
     """
-    texts = scan_texts(files, spec, office)
-    parts = package_files(files, office)
+    routes = files if isinstance(files, dict) else by_route(files, office)
+    plain = routes["text"].unionByName(routes["skip"], allowMissingColumns=True)
+    texts = scan_texts(plain, spec, office)
+    parts = package_parts(routes)
     hits = search_segments(package_segments(parts, granularity), spec)
-    counts = hits.groupBy("path").agg(F.count("*").alias("n_hits"))
-    errors = None
+    found = hits.groupBy("path").agg(F.count("*").alias("n_hits")).select(
+        "path", "n_hits", F.lit(None).cast("string").alias("error"))
+    names = routes["xlsx"].select("path")
     for kind in ("docx", "pptx"):
         if kind in parts:
+            names = names.unionByName(routes[kind].select("path"))
             failed = office_source.extract_errors(parts[kind])
-            errors = failed if errors is None else errors.unionByName(failed)
-    names = files.filter(~route(F.col("path"), office).isin("text", "skip")).select("path")
-    packages = names.join(counts, "path", "left")
-    if errors is not None:
-        packages = packages.join(errors, "path", "left")
-    else:
-        packages = packages.withColumn("error", F.lit(None).cast("string"))
-    n_hits = F.coalesce("n_hits", F.lit(0)).cast("bigint")
-    no_reason = F.lit(None).cast("string")
+            found = found.unionByName(failed.select("path", F.lit(None).cast("bigint").alias("n_hits"), "error"))
+    packages = names.join(found, "path", "left")
+    n_hits, no_reason = F.coalesce("n_hits", F.lit(0)).cast("bigint"), F.lit(None).cast("string")
     outcomes = texts.select("path", "outcome", "reason", "error", "n_hits").unionByName(
         packages.select("path", outcome(F.col("error"), no_reason, n_hits).alias("outcome"),
                         no_reason.alias("reason"), "error", n_hits.alias("n_hits"))

