@@ -35,10 +35,13 @@ def orphans(segments: DataFrame, cached: DataFrame) -> DataFrame:
     return segments.join(cached.select("path"), "path", "left_anti")
 
 
-def replace(segments: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Segment table after the files of ``fresh`` were extracted again."""
-    gone = fresh.select("path").distinct()
-    return segments.join(gone, "path", "left_anti").unionByName(fresh)
+def replace(segments: DataFrame, replaced: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Segment table after the ``replaced`` files were extracted again, with ``fresh`` segments.
+
+    The paths come from the manifest and not from ``fresh``, which may be empty for a file and need
+    not be computed twice.
+    """
+    return forget(segments, replaced).unionByName(fresh)
 
 
 def forget(table: DataFrame, paths: DataFrame) -> DataFrame:

@@ -156,6 +156,30 @@ def _require_all_keywords(hits: DataFrame, spec: SearchSpec, n_keywords: int) ->
     )
 
 
+def _with_following(raw: DataFrame, span: int, block: int = BLOCK) -> DataFrame:
+    """``(path, joined)``: every segment followed by its next ``span`` ones, joined by newlines.
+
+    Neighbours are looked up inside blocks of a file. The segments at the edges of the blocks are a
+    small table of their own, in which the last ones of a block meet the first ones of the next.
+    """
+    inside = Window.partitionBy("path", "_block").orderBy("seg_idx")
+    backward = Window.partitionBy("path", "_block").orderBy(F.desc("seg_idx"))
+    across = Window.partitionBy("path").orderBy("seg_idx")
+
+    def joined(window):
+        return F.concat_ws("\n", "text", *[F.lead("text", i).over(window) for i in range(1, span + 1)])
+
+    ranked = (
+        raw.withColumn("_block", F.floor(F.col("seg_idx") / block))
+        .withColumn("_joined", joined(inside))
+        .withColumn("_first", F.row_number().over(inside)).withColumn("_last", F.row_number().over(backward))
+    )
+    interior = ranked.filter(F.col("_last") > span)
+    edges = ranked.filter((F.col("_last") <= span) | (F.col("_first") <= span))
+    edges = edges.withColumn("_joined", joined(across)).filter(F.col("_last") <= span)
+    return interior.select("path", "_joined").unionAll(edges.select("path", "_joined"))
+
+
 def _files_with_all(raw: DataFrame, norms: list[str]) -> DataFrame:
     """AND gate on the newline-joined segments, for keywords that span segments.
 
@@ -163,11 +187,8 @@ def _files_with_all(raw: DataFrame, norms: list[str]) -> DataFrame:
     extended by its next ones; the verdict per file is a plain boolean aggregate.
     """
     span = max(k.count("\n") for k in norms)
-    ordered = Window.partitionBy("path").orderBy("seg_idx")
-    parts = [F.col("text")] + [F.lead("text", i).over(ordered) for i in range(1, span + 1)]
-    joined = raw.select("path", F.concat_ws("\n", *parts).alias("_joined"))
     flags = [F.bool_or(F.contains(F.col("_joined"), F.lit(k))).alias(f"k{i}") for i, k in enumerate(norms)]
-    verdict = joined.groupBy("path").agg(*flags)
+    verdict = _with_following(raw, span).groupBy("path").agg(*flags)
     for i in range(len(norms)):
         verdict = verdict.filter(F.col(f"k{i}"))
     return verdict.select("path")

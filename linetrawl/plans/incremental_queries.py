@@ -15,11 +15,12 @@ def _segs(df):
     return df.select("path", F.col("idx").cast("bigint").alias("idx"), "locator", F.md5("text").alias("digest"))
 
 
-def _fresh(spark, sf_dir):
-    """New segments of every file that misses the cache."""
+def _put(spark, sf_dir):
+    """The cache after every file that misses it was extracted again."""
     stale = cache.misses(fx.files_v(spark, sf_dir), fx.cache_files_v(spark, sf_dir)).select("path")
     fresh = fx.segments_v(spark, sf_dir).drop("line_no").join(stale, "path", "left_semi")
-    return fresh.withColumn("text", F.concat(F.lit("v2 "), "text"))
+    fresh = fresh.withColumn("text", F.concat(F.lit("v2 "), "text"))
+    return _segs(cache.replace(fx.cache_segments_v(spark, sf_dir), stale, fresh))
 
 
 def _diff(spark, sf_dir):
@@ -31,7 +32,7 @@ QUERIES = {
     "cache_misses": lambda s, d: cache.misses(fx.files_v(s, d), fx.cache_files_v(s, d)).select("path"),
     "cache_read": lambda s, d: _segs(cache.cached_segments(fx.files_v(s, d), fx.cache_files_v(s, d), fx.cache_segments_v(s, d))).orderBy("path", "idx"),
     "cache_orphans": lambda s, d: _segs(cache.orphans(fx.cache_segments_v(s, d), fx.cache_files_v(s, d))),
-    "cache_put": lambda s, d: _segs(cache.replace(fx.cache_segments_v(s, d), _fresh(s, d))),
+    "cache_put": _put,
     "cache_forget": lambda s, d: _segs(cache.forget(fx.cache_segments_v(s, d), fx.files_v(s, d).filter(F.col("size") > 500))),
     "agg_cache_stats": lambda s, d: cache.stats(fx.cache_files_v(s, d), fx.cache_segments_v(s, d)),
     "agg_cache_hits": lambda s, d: cache.counters(cache.lookup(fx.files_v(s, d), fx.cache_files_v(s, d))),
@@ -70,7 +71,7 @@ ORACLES = {
     "cache_misses": _BOTH + "SELECT path FROM looked WHERE NOT is_hit",
     "cache_read": _BOTH + f"{_DIGEST} cache_segments_v WHERE path IN (SELECT path FROM looked WHERE is_hit)",
     "cache_orphans": _BOTH + f"{_DIGEST} cache_segments_v WHERE path NOT IN (SELECT path FROM cache_files_v)",
-    "cache_put": _BOTH + f"""{_DIGEST} (SELECT path, idx, locator, text FROM cache_segments_v WHERE path NOT IN (SELECT s.path FROM segments_v s JOIN looked USING (path) WHERE NOT is_hit)
+    "cache_put": _BOTH + f"""{_DIGEST} (SELECT path, idx, locator, text FROM cache_segments_v WHERE path NOT IN (SELECT path FROM looked WHERE NOT is_hit)
       UNION ALL SELECT path, idx, locator, 'v2 ' || text FROM segments_v WHERE path IN (SELECT path FROM looked WHERE NOT is_hit))""",
     "cache_forget": _BOTH + f"{_DIGEST} cache_segments_v WHERE path NOT IN (SELECT path FROM files_v WHERE size > 500)",
     "agg_cache_stats": _BOTH + """SELECT n_files, n_segments, text_bytes, round(n_segments / n_files, 1) AS segments_per_file FROM

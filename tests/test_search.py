@@ -10,7 +10,7 @@ from linetrawl import SearchSpec
 from linetrawl.functions.similarity import best_match, could_match
 from linetrawl.functions.text import casefold, nfkc, normalize
 from linetrawl.operators.matching import is_portable
-from linetrawl.operators.search import cap_hits, search_segments, search_texts
+from linetrawl.operators.search import _with_following, cap_hits, search_segments, search_texts
 
 
 def rows(hits):
@@ -188,3 +188,14 @@ def test_segment_and_gate_shuffles_trimmed_rows_only(spark):
     segs = spark.createDataFrame([("/a", 0, "L", "foo")], "path string, idx int, locator string, text string")
     plan = search_segments(segs, SearchSpec(("foo", "bar")))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("span", [1, 3])
+def test_neighbours_across_blocks(spark, span):
+    df = spark.range(300).selectExpr("if(id % 3 = 0, 'hot', concat('p', id % 9)) path", "cast(id * id as int) seg_idx", "concat('t', id) text")
+    by_path = {}
+    for r in df.orderBy("seg_idx").collect():
+        by_path.setdefault(r.path, []).append(r.text)
+    want = sorted((p, "\n".join(t[i:i + span + 1])) for p, t in by_path.items() for i in range(len(t)))
+    for block in (1, 2000, 10 ** 6):
+        assert sorted(map(tuple, _with_following(df, span, block).collect())) == want
