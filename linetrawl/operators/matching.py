@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
-from linetrawl.functions.similarity import best_match, could_match
+from linetrawl.functions.similarity import best_match, cluster_pattern, could_match
 from linetrawl.functions.text import (
     has_rare_break, normalize_literal, quote_literal, snippet, split_lines,
 )
@@ -237,15 +237,19 @@ def fuzzy_candidates(segs: Column, spec: SearchSpec, multiline: bool) -> Column:
 
 def fuzzy_hits(segs: Column, spec: SearchSpec) -> Column:
     """Exact similarity of :func:`fuzzy_candidates`."""
-    threshold, needles = float(spec.fuzzy_threshold), _needles(spec)
+    threshold = float(spec.fuzzy_threshold)
+    needles = [
+        (i, needle, re.compile(pattern) if (pattern := cluster_pattern(needle, threshold)) else None)
+        for i, needle in _needles(spec)
+    ]
 
     def matcher(text):
         offset = 0
         for line in text.splitlines(keepends=True):
             core = line.strip()
             indent = len(line) - len(line.lstrip())
-            for i, needle in needles if core else ():
-                found = best_match(core, needle, threshold)
+            for i, needle, cluster in needles if core else ():
+                found = best_match(core, needle, threshold, cluster)
                 if found:
                     yield i, offset + indent + found[0], len(needle), f"{needle} (sim={found[1]:.2f})"
             offset += len(line)

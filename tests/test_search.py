@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from linetrawl import SearchSpec
-from linetrawl.functions.similarity import best_match, could_match
+from linetrawl.functions.similarity import best_match, cluster_pattern, could_match
 from linetrawl.functions.text import casefold, nfkc, normalize
 from linetrawl.operators.matching import is_portable
+from linetrawl.plans import fixtures as fx
 from linetrawl.operators.search import _with_following, cap_hits, search_segments, search_texts
 
 
@@ -135,7 +136,9 @@ def test_fuzzy_bound_never_drops_a_match(spark):
             assert hits <= kept
     for needle, hay in cases:
         for t in (0.5, 0.8, 0.95):
-            assert best_match(hay, needle, t) == brute.window(hay, needle, t)
+            want, cluster = brute.window(hay, needle, t), cluster_pattern(needle, t)
+            assert best_match(hay, needle, t) == want
+            assert best_match(hay, needle, t, cluster and re.compile(cluster)) == want
 
 
 def test_icu_equals_python_on_every_assigned_character(spark):
@@ -199,3 +202,18 @@ def test_neighbours_across_blocks(spark, span):
     want = sorted((p, "\n".join(t[i:i + span + 1])) for p, t in by_path.items() for i in range(len(t)))
     for block in (1, 2000, 10 ** 6):
         assert sorted(map(tuple, _with_following(df, span, block).collect())) == want
+
+
+def test_registered_fuzzy_queries_equal_brute_force(spark, sf_dir):
+    from linetrawl.plans import catalog, search_queries
+    docs = fx.documents(spark, sf_dir).select("path", "text").collect()
+    spec = SearchSpec(search_queries.FUZZY, mode="fuzzy")
+    files = {r.path: [(f"行 {n}", t) for n, t in brute.segments(r.text)] for r in docs}
+    assert rows(catalog.QUERIES["fz_hits"](spark, sf_dir)) == expect(files, spec)
+    turns, spec = {}, SearchSpec(("than the", "ention"), mode="fuzzy")
+    for r in fx.turns_v(spark, sf_dir).orderBy("path", "idx").collect():
+        turns.setdefault(r.path, []).append((r.locator, r.text))
+    assert rows(catalog.QUERIES["fz_segments"](spark, sf_dir)) == expect(turns, spec)
+    from difflib import SequenceMatcher
+    want = sorted((r.path, i, round(SequenceMatcher(None, "license", t).ratio(), 6)) for r in docs for i, (_, t) in enumerate(brute.segments(r.text)))
+    assert sorted(map(tuple, catalog.QUERIES["fz_ratio"](spark, sf_dir).collect())) == want
