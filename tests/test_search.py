@@ -215,5 +215,6 @@ def test_registered_fuzzy_queries_equal_brute_force(spark, sf_dir):
         turns.setdefault(r.path, []).append((r.locator, r.text))
     assert rows(catalog.QUERIES["fz_segments"](spark, sf_dir)) == expect(turns, spec)
     from difflib import SequenceMatcher
-    want = sorted((r.path, i, round(SequenceMatcher(None, "license", t).ratio(), 6)) for r in docs for i, (_, t) in enumerate(brute.segments(r.text)))
-    assert sorted(map(tuple, catalog.QUERIES["fz_ratio"](spark, sf_dir).collect())) == want
+    want = {(r.path, i): SequenceMatcher(None, "license", t).ratio() for r in docs for i, (_, t) in enumerate(brute.segments(r.text))}
+    got = {(r.path, r.idx): r.ratio for r in catalog.QUERIES["fz_ratio"](spark, sf_dir).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
