@@ -10,6 +10,8 @@ from linetrawl.workspace import shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Stands for a null id where ids are joined.
+NULL_ID = -(2 ** 63)
 #: Hashes that order rows lie below this.
 SPREAD = 2 ** 62
 
@@ -63,3 +65,23 @@ def word_count(text: Column) -> Column:
 def crc(value: Column) -> Column:
     """CRC-32 of the value as text; null counts as empty."""
     return F.crc32(F.encode(F.coalesce(value.cast("string"), F.lit("")), "UTF-8"))
+
+
+def groups(batches, keys: int):
+    """Runs of rows with equal leading columns of sorted Arrow batches: ``(key, list of columns)``."""
+    held: list[list] = []
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        names = list(zip(*columns[:keys]))
+        at = 0
+        while at < len(names):
+            end = at + 1
+            while end < len(names) and names[end] == names[at]:
+                end += 1
+            if held and tuple(c[0] for c in held[:keys]) != names[at]:
+                yield tuple(c[0] for c in held[:keys]), held
+                held = []
+            held = [h + c[at:end] for h, c in zip(held, columns)] if held else [c[at:end] for c in columns]
+            at = end
+    if held:
+        yield tuple(c[0] for c in held[:keys]), held

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linetrawl.llm import chat, mixing, sharding, warc
-from linetrawl.llm.common import table
+from linetrawl.llm import ann, chat, decontaminate, langid, mixing, neardup, quality, sharding, warc
+from linetrawl.llm.common import crc, stored, table
 
 
 def op1_chat(spark, sf_dir):
@@ -26,12 +26,39 @@ def op3_mix(spark, sf_dir):
     )
 
 
+def op4_jaccard(spark, sf_dir):
+    """Every document with its class of near duplicates and its number of links."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_language(spark, sf_dir):
+    """Every document with the languages of its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc(F.col("doc_id")) % 4 == 2
+    model = langid.train(docs.filter(~held_out))
+    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages", "known")
+
+
 def op6_warc(spark, sf_dir):
     """Every page written to an archive and read back through the index."""
     index = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_decontaminate(spark, sf_dir):
+    """Every benchmark item in a document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.inline("leaks"))
+
+
+def op8_quality(spark, sf_dir):
+    """Every document with its calibrated quality score."""
+    stats = stored(quality.statistics(table(spark, sf_dir, "documents")), "statistics")
+    fold = crc(F.col("doc_id")) % 5
+    model = quality.fit(quality.labelled(stats, table(spark, sf_dir, "labels"), fold != 0, fold == 1))
+    return quality.score(stats, model).select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_shard(spark, sf_dir):
     """Every document in one of 16 shards of nearly equal bytes."""
     placed = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -39,5 +66,10 @@ def op9_shard(spark, sf_dir):
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op3_mix, op6_warc, op9_shard)}
+def op10_ann(spark, sf_dir):
+    """The 5 nearest vectors of every fiftieth id."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_chat, op3_mix, op4_jaccard, op5_language, op6_warc, op7_decontaminate, op8_quality, op9_shard, op10_ann)}
 ORACLES: dict[str, str] = {}
