@@ -187,7 +187,8 @@ def _probe(placed: DataFrame, asked: DataFrame, k: int, confidence: float) -> Da
     for cell, n in many.items():
         parts = F.when(F.col("cell") == cell, n).otherwise(parts)
     points = placed.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("uid"), parts).cast("int"))
+    part = F.pmod(F.xxhash64("uid"), parts).cast("int").alias("part")
+    asked = asked.select(*[F.col(c).alias(c) for c in asked.columns], part)  # columns of their own: both sides may stem from one table
 
     def run(key: tuple, points: pa.Table, queries: pa.Table) -> pa.Table:
         rows = _search_cell(points, queries, k, confidence) if points.num_rows and queries.num_rows else []
