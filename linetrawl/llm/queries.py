@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linetrawl.llm import ann, chat, decontaminate, langid, mixing, neardup, quality, sharding, warc
+from linetrawl.llm import ann, chat, decontaminate, langid, lmscore, mixing, neardup, quality, sharding, warc
 from linetrawl.llm.common import crc, stored, table
 
 
@@ -16,6 +16,11 @@ def op1_chat(spark, sf_dir):
     return chat.digest_conversations(chat.format_conversations(turns.unionByName(extra)))
 
 
+def op2_lm(spark, sf_dir):
+    """Every document with its score under the mixed model and under a unigram model."""
+    return lmscore.score_documents(table(spark, sf_dir, "documents"), crc(F.col("doc_id")) % 5 == 1)
+
+
 def op3_mix(spark, sf_dir):
     """Every document with the words that the mix takes of it, in the order of their first position."""
     placed = mixing.place(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -71,5 +76,5 @@ def op10_ann(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op3_mix, op4_jaccard, op5_language, op6_warc, op7_decontaminate, op8_quality, op9_shard, op10_ann)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_lm, op3_mix, op4_jaccard, op5_language, op6_warc, op7_decontaminate, op8_quality, op9_shard, op10_ann)}
 ORACLES: dict[str, str] = {}
