@@ -99,13 +99,13 @@ def intersect(turns: np.ndarray, tokens: np.ndarray):
 
     Both lists of spans are sorted; turns are disjoint, tokens may share a character that they split.
     """
-    if not len(turns) or not len(tokens):
-        return np.zeros(len(tokens), bool), np.empty(0, np.int64), np.empty(0, np.int64)
-    turn = np.searchsorted(turns[:, 1], tokens[:, 0], side="right")
-    inside = np.minimum(turn, len(turns) - 1)
-    starts, ends = np.maximum(tokens[:, 0], turns[inside, 0]), np.minimum(tokens[:, 1], turns[inside, 1])
-    mask = (turn < len(turns)) & (starts < ends)
-    starts, ends = starts[mask], ends[mask]
+    first = np.searchsorted(tokens[:, 1], turns[:, 0], side="right")
+    count = np.maximum(np.searchsorted(tokens[:, 0], turns[:, 1], side="left") - first, 0)
+    token = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    turn = np.repeat(np.arange(len(turns)), count)
+    mask = np.zeros(len(tokens), bool)
+    mask[token] = True
+    starts, ends = np.maximum(tokens[token, 0], turns[turn, 0]), np.minimum(tokens[token, 1], turns[turn, 1])
     if len(starts):
         starts = np.maximum(starts, np.concatenate([[0], np.maximum.accumulate(ends)[:-1]]))
     fresh = starts < ends

@@ -29,8 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _renamed(edges: DataFrame, end: str, hooks: DataFrame) -> DataFrame:
     names = hooks.select(F.col("node").alias(end), F.col("root").alias("__root"))
-    other = "b" if end == "a" else "a"
-    return edges.join(names, end).select(F.col("__root").alias(end), other)
+    return edges.join(names, end).select(*[F.col("__root").alias(c) if c == end else c for c in "ab"])
 
 
 def _shortened(hooks: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,8 @@ BLOCK_TOKENS, CHUNK = 4 << 20, 1 << 16
 #: Predictors: 1 to 3 bytes before, the whole prefix, the whole prefix after this kind of token.
 PREDICTORS = 5
 _GATES, _STEPS = 48, 33
-_RATE, _START = 0.02, 0.35
+#: Rate of learning, and the weights to begin with, of the predictors and a constant.
+_RATE, _START = 0.03, (0.0, 0.0, 0.05, 0.7, 0.3, 0.0)
 _M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 #: The end of a text, and any token that learning has not seen; neither can be a word.
 _END, _NEW = b"", b" "
@@ -181,17 +183,25 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]):
-    """Sorted entries ``(tokens, kinds, counts)``, cut only between different first bytes."""
+    """Entries ``(tokens, kinds, counts)`` in the order of their codes, cut only between different heads."""
     held: list[list] = [[], [], [], []]
     for batch in batches:
         names = batch.schema.names
         held = [h + batch.column(names.index(c)).to_pylist() for h, c in zip(held, ("head", "token", "kind", "n"))]
         if len(held[0]) >= CHUNK and held[0][0] != held[0][-1]:
             cut = next(i for i in range(len(held[0]) - 1, 0, -1) if held[0][i] != held[0][i - 1])
-            yield held[1][:cut], np.array(held[2][:cut], np.int32), np.array(held[3][:cut], np.int64)
+            yield _sorted([h[:cut] for h in held])
             held = [h[cut:] for h in held]
     if held[0]:
-        yield held[1], np.array(held[2], np.int32), np.array(held[3], np.int64)
+        yield _sorted(held)
+
+
+def _sorted(held: list[list]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    _, token, kind, n = held
+    order = range(len(token))
+    if re.search(rb"[\x00-\x1f]", b"".join(token)):  # a byte below the space that ends a code
+        order = sorted(order, key=lambda i: (_code(token[i]), kind[i]))
+    return [token[i] for i in order], np.array([kind[i] for i in order], np.int32), np.array([n[i] for i in order], np.int64)
 
 
 def _per_token(token: list[bytes], n: np.ndarray) -> np.ndarray:
@@ -306,9 +316,7 @@ class Mixer:
 
     def __init__(self, tables: np.ndarray, weights: np.ndarray | None = None, refine: np.ndarray | None = None, learns: bool = False):
         self.tables, self.learns = tables, learns
-        self.weights = np.full((_GATES, PREDICTORS + 1), _START) if weights is None else weights.copy()
-        if weights is None:
-            self.weights[:, -1] = 0
+        self.weights = np.tile(_START, (_GATES, 1)) if weights is None else weights.copy()
         self.slopes = np.full((_GATES, PREDICTORS + 1), 1e-3)
         self.mass = np.zeros(_GATES)
         self.refine = np.zeros((_GATES, _STEPS, 2)) if refine is None else refine

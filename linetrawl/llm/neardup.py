@@ -12,6 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from linetrawl.llm import texts
 from linetrawl.llm.common import NULL_ID, groups, stored
@@ -150,9 +151,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
 
 def _rooted(edges: DataFrame, end: str, tight: DataFrame) -> DataFrame:
-    other = "b" if end == "a" else "a"
     names = tight.select(F.col("node").alias(end), F.col("root").alias("__root"))
-    return edges.join(names, end, "left").select(F.coalesce("__root", end).alias(end), other)
+    return edges.join(names, end, "left").select(*[F.coalesce("__root", c).alias(c) if c == end else c for c in "ab"])
 
 
 def _sets(ids: DataFrame, nodes: DataFrame, stars: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def _sets(ids: DataFrame, nodes: DataFrame, stars: DataFrame) -> DataFrame:
     return stored(found.dropDuplicates(["node"]), "sets")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     out = np.empty(len(a))
     for i, (x, y) in enumerate(zip(a, b)):

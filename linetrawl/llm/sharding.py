@@ -41,7 +41,8 @@ def text_dims(text: Column) -> list[Column]:
     return [share(count(" "), chars), share(size - F.char_length(t), size), share(F.least(chars, F.lit(1024) * (count("\n") + 1)), F.lit(1024) * (count("\n") + 1))]
 
 
-def shard(docs: DataFrame, shards: int = 16, dims: Callable[[Column], list[Column]] = text_dims, slack: float = 0.001) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, dims: Callable[[Column], list[Column]] = text_dims,
+          slack: float = 0.001, whole: float = 0.02) -> DataFrame:
     """Add ``size, text_crc32, shard, slot`` to documents; shards hold nearly equal bytes.
 
     The space of ``dims`` (integers below 2**31, nulls count as 0) is cut again and again at the
@@ -49,7 +50,8 @@ def shard(docs: DataFrame, shards: int = 16, dims: Callable[[Column], list[Colum
     until each leaf holds the target, all bytes over ``shards``. A median is found by counting bytes per
     bin and looking closer into the bin that holds it, so a pass sends at most ``BINS`` numbers per box.
     Ties in the dimension are broken by a hash of the text, so equal texts fall into one shard, unless
-    the group weighs more than ``slack`` targets and lies across a cut: then the hash of the id divides it.
+    the group lies across a cut that would miss the median by more than ``whole`` targets: then the hash of
+    the id divides it. Other cuts miss it by ``slack`` targets or one document at most.
 
     Size is the UTF-8 length of the text plus 1; a null text has none. ``slot`` counts from 0 in a shard
     without gaps, in the order of a hash of the id, then id and text; equal rows are interchangeable. An
@@ -58,7 +60,7 @@ def shard(docs: DataFrame, shards: int = 16, dims: Callable[[Column], list[Colum
     """
     docs = without(docs, "size", "text_crc32", "shard", "slot")
     points = stored(_points(docs, dims).select("__size", "__dims", "__tie", "__id"), "kd")
-    tree = _fit(points, len(dims(F.col("text"))), shards, slack)
+    tree = _fit(points, len(dims(F.col("text"))), shards, slack, whole)
     placed = _points(docs, dims).withColumn("shard", _route(tree, 0))
     numbered = earlier_sum(
         placed.withColumn("__one", F.lit(1)), ["shard"], ["__id", "__crc", "__size"], "__one", "slot", blocks=1024)
@@ -90,7 +92,7 @@ def _goes_left(node: Node) -> Column:
     return key <= node.cut if node.split is None else F.when(key == node.split, F.col("__id") <= node.split_at).otherwise(key <= node.cut)
 
 
-def _fit(points: DataFrame, n: int, shards: int, slack: float) -> Node:
+def _fit(points: DataFrame, n: int, shards: int, slack: float, whole_groups: float) -> Node:
     ends = [f(F.element_at("__dims", d + 1)) for d in range(n) for f in (F.min, F.max)]
     whole = points.agg(F.sum("__size"), *ends).first()
     root = Node(shards)
@@ -111,7 +113,7 @@ def _fit(points: DataFrame, n: int, shards: int, slack: float) -> Node:
         heavy = {}
         for i, (at, below, weight) in _medians(keyed, "__key", bounds, aims, allowed).items():
             level[i].cut, off = _nearer(at, below, weight, aims[i])
-            if off > allowed:  # a group of equal texts that is too heavy to stay whole
+            if off > max(allowed, whole_groups * whole[0] / shards):  # a group of equal texts that is too heavy to stay whole
                 heavy[i], level[i].split = aims[i] - below, at
         if heavy:
             group = keyed.filter(F.col("__key") == _per_box({i: level[i].split for i in heavy}))
