@@ -114,13 +114,13 @@ def human_bytes(size: Column) -> Column:
 
 
 def column_letters(number: Column) -> Column:
-    """Spreadsheet column name: 1 is A, 27 is AA; below 1 is empty. Seven letters hold any INT."""
+    """Spreadsheet column name: 1 is A, 27 is AA; below 1 is empty. Fourteen letters hold any BIGINT."""
     step = lambda acc, _: F.when(
         acc["left"] > 0,
         F.struct(
-            F.floor((acc["left"] - 1) / 26).cast("bigint").alias("left"),
+            F.call_function("div", acc["left"] - 1, F.lit(26)).alias("left"),
             F.concat(F.chr((acc["left"] - 1) % 26 + 65), acc["name"]).alias("name"),
         ),
     ).otherwise(acc)
     start = F.struct(number.cast("bigint").alias("left"), F.lit("").alias("name"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(7)), start, step, lambda acc: acc["name"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda acc: acc["name"])

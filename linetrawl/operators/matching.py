@@ -28,17 +28,22 @@ _HIT_ARROW = pa.list_(pa.struct([
 ]))
 
 # Regex building blocks that mean the same to Java (with flags iuUd) and to Python.
-# Anything else (word classes, look-around, back-references, named groups, ...) takes the exact lane.
+# Anything else (word classes, look-around, back-references, named groups, ...) takes the exact lane, and so
+# do groups that repeat: Java matches each round of a group on the stack, which a long line overflows.
 _PORTABLE = re.compile(
     r"(?:(?:[^\\\[\](){}.*+?^$|&]"          # ordinary character
     r"|\\[\\.\[\](){}*+?^$|/\-]"           # escaped punctuation
-    r"|\\d|\\t|\\n|\.|\)"
+    r"|\\d|\\t|\\n|\."
     r"|\[\^?(?:[A-Za-z0-9_ .,:;@%#/+](?:-[A-Za-z0-9])?|\\d|\\[.\-\\\]\[])+\])"
     r"(?:(?:[*+?]|\{\d+(?:,\d*)?\})\??(?![*+?{]))?"
-    r"|\((?:\?:)?|\||\^|\$)*\Z"
+    r"|\((?:\?:)?|\)\??(?![*+?{])|\||\^|\$)*\Z"
 )
 
 
+#: Elements of an array that grows element by element, and segments whose hits are concatenated at once.
+CHUNK, SEGMENTS = 256, 16
+
+
 def keyword_array(spec: SearchSpec) -> Column:
     """The keywords as one literal array, so the plan does not grow with their number."""
     rows = []
@@ -55,16 +60,36 @@ def keyword_array(spec: SearchSpec) -> Column:
 def literal_positions(text: Column, norm: Column, quoted: Column, limit: int) -> Column:
     """Offsets of the first ``limit`` non-overlapping occurrences, left to right."""
     size = F.char_length(norm)
-    start = F.struct(F.lit(0).cast("bigint").alias("off"), F.array().cast("array<bigint>").alias("at"))
-    return F.aggregate(
-        F.call_function("split", text, quoted, F.lit(min(limit + 1, 2**31 - 1))),
-        start,
-        lambda acc, piece: F.struct(
-            (acc["off"] + F.char_length(piece) + size).cast("bigint").alias("off"),
-            F.array_append(acc["at"], acc["off"] + F.char_length(piece)).alias("at"),
-        ),
-        lambda acc: F.slice(acc["at"], F.lit(1), F.size(acc["at"]) - 1),
-    )
+    pieces = F.call_function("split", text, quoted, F.lit(min(limit + 1, 2**31 - 1)))
+    steps = F.transform(pieces, lambda p: (F.char_length(p) + size).cast("bigint"))
+    return F.transform(_let(steps, lambda s: F.slice(running_sums(s), F.lit(1), F.size(s) - 1)), lambda end: end - size)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running_sums(steps: Column, chunk: int = CHUNK) -> Column:
+    """Sums up to each element of an ``array<bigint>``.
+
+    An array grows by copying, so it only grows within chunks and by one element a chunk.
+    """
+    none = F.array().cast("array<bigint>")
+    zero = F.lit(0).cast("bigint")
+    sums = lambda xs, start: F.aggregate(
+        xs, F.struct(start.alias("off"), none.alias("at")),
+        lambda acc, x: F.struct((acc["off"] + x).alias("off"), F.array_append(acc["at"], acc["off"] + x).alias("at")),
+        lambda acc: acc["at"])
+
+    def in_chunks(xs):
+        chunks = F.transform(
+            F.sequence(F.lit(0), ((F.size(xs) - 1) / chunk).cast("int")), lambda i: F.slice(xs, i * chunk + 1, F.lit(chunk)))
+        return _let(chunks, lambda cs: _let(
+            F.array_insert(sums(F.transform(cs, lambda c: F.aggregate(c, zero, lambda a, x: a + x)), zero), 1, zero),
+            lambda starts: F.flatten(F.transform(cs, lambda c, i: sums(c, F.get(starts, i))))))
+
+    return F.when(F.size(steps) <= chunk, sums(steps, zero)).otherwise(in_chunks(steps))
 
 
 def _hit(seg, kw_idx, position, end, matched, spec: SearchSpec) -> Column:
@@ -86,23 +111,20 @@ def _sized(segs: Column) -> Column:
 
 
 def _until_full(segs: Column, hits_of, limit: int) -> Column:
-    """Concatenate the hits of each segment in order and stop evaluating at ``limit`` hits."""
-    return F.slice(
-        F.aggregate(
-            _sized(segs),
-            F.array().cast(HIT_TYPE),
-            lambda acc, seg: F.when(F.size(acc) >= limit, acc).otherwise(F.concat(acc, hits_of(seg))),
-        ),
-        1, limit,
-    )
+    """Concatenate the hits of the segments in order and stop evaluating soon after ``limit`` hits.
 
+    Segments are taken ``SEGMENTS`` at a time, as each concatenation copies what there is.
+    """
+    at_a_time = lambda all_: F.aggregate(
+        F.sequence(F.lit(0), F.greatest(F.size(all_) - 1, F.lit(0)), F.lit(SEGMENTS)),
+        F.array().cast(HIT_TYPE),
+        lambda acc, i: F.when(F.size(acc) >= limit, acc).otherwise(
+            F.concat(acc, F.flatten(F.transform(F.slice(all_, i + 1, F.lit(SEGMENTS)), hits_of)))))
+    return F.slice(_let(_sized(segs), at_a_time), 1, limit)
 
-def keyword_hits(segs: Column, present: Column, spec: SearchSpec, per_keyword: bool = False) -> Column:
-    """Hits of the ``present`` keywords.
 
-    ``per_keyword`` keeps up to the cap for each keyword of a segment instead of the cap overall,
-    which a later file-level AND gate needs.
-    """
+def keyword_hits(segs: Column, present: Column, spec: SearchSpec) -> Column:
+    """Hits of the ``present`` keywords."""
     limit = spec.max_hits_per_file
 
     def hits_of(seg):
@@ -113,8 +135,6 @@ def keyword_hits(segs: Column, present: Column, spec: SearchSpec, per_keyword: b
         )))
 
     matching = F.filter(segs, lambda s: F.exists(present, lambda k: F.contains(s["text"], k["norm"])))
-    if per_keyword:
-        return F.flatten(F.transform(_sized(matching), hits_of))
     return _until_full(matching, hits_of, limit)
 
 
@@ -131,27 +151,14 @@ def java_pattern(pattern: str, case_sensitive: bool) -> str:
 def regex_hits_native(segs: Column, spec: SearchSpec) -> Column:
     limit = spec.max_hits_per_file
     patterns = [java_pattern(p, spec.case_sensitive) for p in spec.keywords]
-    start = F.struct(
-        F.lit(0).cast("bigint").alias("off"),
-        F.array().cast("array<struct<at:bigint,m:string>>").alias("found"),
-    )
 
     def hits_of(seg):
         def of_pattern(i, pattern):
             pieces = F.split(seg["text"], pattern, limit + 1)
             matches = F.slice(F.regexp_extract_all(seg["text"], F.lit(pattern), F.lit(0)), 1, limit)
-            located = F.aggregate(
-                F.zip_with(pieces, matches, lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
-                start,
-                lambda acc, x: F.struct(
-                    (acc["off"] + F.char_length(x["a"]) + F.coalesce(F.char_length(x["b"]), F.lit(0)))
-                    .cast("bigint").alias("off"),
-                    F.array_append(acc["found"], F.struct(
-                        (acc["off"] + F.char_length(x["a"])).cast("bigint").alias("at"), x["b"].alias("m"),
-                    )).alias("found"),
-                ),
-                lambda acc: F.filter(acc["found"], lambda x: x["m"].isNotNull()),
-            )
+            located = _let(matches, lambda ms: _let(
+                running_sums(F.zip_with(F.slice(pieces, F.lit(1), F.size(ms)), ms, lambda a, b: (F.char_length(a) + F.char_length(b)).cast("bigint"))),
+                lambda ends: F.zip_with(ends, ms, lambda end, m: F.struct((end - F.char_length(m)).alias("at"), m.alias("m")))))
             return F.when(seg["text"].rlike(pattern), F.transform(
                 located,
                 lambda x: _hit(seg, F.lit(i), x["at"], x["at"] + F.char_length(x["m"]), x["m"], spec),

@@ -127,11 +127,13 @@ def hits_per_file(searched: DataFrame) -> DataFrame:
     return searched.filter(F.size("hits") > 0).select("path", F.size("hits").cast("bigint").alias("n_hits"))
 
 
-def keyword_counts(hits: DataFrame) -> DataFrame:
-    """Files and hits per keyword. Hits are first counted per (keyword, file), so that a keyword
+def keyword_counts(hits: DataFrame, spec: SearchSpec) -> DataFrame:
+    """Files and hits per keyword, as the spec writes it. Hits are first counted per (keyword, file), so that a keyword
     found everywhere is spread over the files before its single result row is formed."""
-    per_file = hits.groupBy("matched", "path").agg(F.count("*").alias("n"))
-    return per_file.groupBy("matched").agg(F.count("*").alias("n_files"), F.sum("n").alias("n_hits"))
+    per_file = hits.groupBy("kw_idx", "path").agg(F.count("*").alias("n"))
+    counts = per_file.groupBy("kw_idx").agg(F.count("*").alias("n_files"), F.sum("n").alias("n_hits"))
+    keyword = F.element_at(F.array(*map(F.lit, spec.keywords)), F.col("kw_idx") + 1)
+    return counts.select(keyword.alias("keyword"), "n_files", "n_hits")
 
 
 def run_summary(outcomes: DataFrame, spec: SearchSpec) -> DataFrame:

@@ -22,8 +22,7 @@ def _in_python(spec: SearchSpec) -> bool:
     return spec.mode == "fuzzy" or (spec.mode == "regex" and not all(map(matching.is_portable, spec.keywords)))
 
 
-def _with_hits(rows: DataFrame, kept: list[str], segs: Column, spec: SearchSpec, multiline: bool = False,
-               per_keyword: bool = False) -> DataFrame:
+def _with_hits(rows: DataFrame, kept: list[str], segs: Column, spec: SearchSpec, multiline: bool = False) -> DataFrame:
     """``kept`` columns and the ``hits`` of ``segs``; keyword mode reads ``_present`` as well.
 
     Expensive arrays pass through :func:`once`, Python functions get a plain column and give one.
@@ -36,7 +35,7 @@ def _with_hits(rows: DataFrame, kept: list[str], segs: Column, spec: SearchSpec,
         lane = matching.fuzzy_hits if spec.mode == "fuzzy" else matching.regex_hits_exact
         return rows.select(*kept, F.coalesce(lane(F.col("_segs"), spec), empty).alias("hits"))
     if spec.mode == "keyword":
-        hits = matching.keyword_hits(segs, F.col("_present"), spec, per_keyword)
+        hits = matching.keyword_hits(segs, F.col("_present"), spec)
     else:
         hits = matching.regex_hits_native(segs, spec)
     return rows.select(*kept, once(F.coalesce(hits, empty)).alias("hits"))
@@ -102,15 +101,10 @@ def search_segments(segments: DataFrame, spec: SearchSpec) -> DataFrame:
         )
     if spec.mode != "regex":
         raw = raw.withColumn("text", normalize(F.col("text"), spec.case_sensitive, spec.normalize_width))
-    both = spec.mode == "keyword" and spec.operator == "and"
-    hits = _segment_hits(raw, spec, both)
-    if both:
-        norms = _norms(spec)
-        if any("\n" in k for k in norms.values()):
-            hits = hits.join(_files_with_all(raw, list(norms.values())), "path", "left_semi")
-        else:
-            hits = _require_all_keywords(hits, spec, len(norms))
-    return cap_hits(hits, spec.max_hits_per_file).select(*HIT_COLUMNS)
+    found = cap_hits(_segment_hits(raw, spec), spec.max_hits_per_file).select(*HIT_COLUMNS)
+    if spec.mode == "keyword" and spec.operator == "and":
+        found = found.join(_files_with_all(raw, list(_norms(spec).values())), "path", "left_semi")
+    return found
 
 
 def _norms(spec: SearchSpec) -> dict[int, str]:
@@ -121,7 +115,7 @@ def _norms(spec: SearchSpec) -> dict[int, str]:
     return {i: n for i, n in norms.items() if n}
 
 
-def _segment_hits(raw: DataFrame, spec: SearchSpec, per_keyword: bool) -> DataFrame:
+def _segment_hits(raw: DataFrame, spec: SearchSpec) -> DataFrame:
     one = F.array(F.struct(
         F.lit(0).alias("seg_idx"), F.lit(None).cast("int").alias("line_no"), F.col("text").alias("text")
     ))
@@ -129,7 +123,7 @@ def _segment_hits(raw: DataFrame, spec: SearchSpec, per_keyword: bool) -> DataFr
         keywords = matching.keyword_array(spec)
         raw = raw.withColumn("_present", F.filter(keywords, lambda k: F.contains(F.col("text"), k["norm"])))
         raw = raw.filter(F.size("_present") > 0)
-    found = _with_hits(raw, ["path", "seg_idx", "locator"], one, spec, multiline=True, per_keyword=per_keyword)
+    found = _with_hits(raw, ["path", "seg_idx", "locator"], one, spec, multiline=True)
     return (
         found.select("path", "seg_idx", "locator", F.posexplode("hits").alias("hit_ord", "h"))
         .select("path", "seg_idx", "locator", "hit_ord",
@@ -137,25 +131,6 @@ def _segment_hits(raw: DataFrame, spec: SearchSpec, per_keyword: bool) -> DataFr
     )
 
 
-def _require_all_keywords(hits: DataFrame, spec: SearchSpec, n_keywords: int) -> DataFrame:
-    """Relational division in one pass over the segments.
-
-    The first cap hits of every (file, keyword) decide both questions: which keywords a file has, and
-    which hits can survive the cap. Trimming to them first leaves at most cap x keywords rows per file
-    for the file-level window, however large the file is.
-    """
-    order = [F.col("seg_idx"), F.col("hit_ord")]
-    per_keyword = Window.partitionBy("path", "kw_idx").orderBy(*order)
-    per_file = Window.partitionBy("path")
-    return (
-        hits.withColumn("_rn", F.row_number().over(per_keyword))
-        .filter(F.col("_rn") <= spec.max_hits_per_file)
-        .withColumn("_kws", F.size(F.collect_set("kw_idx").over(per_file)))
-        .filter(F.col("_kws") == n_keywords)
-        .drop("_rn", "_kws")
-    )
-
-
 def _with_following(raw: DataFrame, span: int, block: int = BLOCK) -> DataFrame:
     """``(path, joined)``: every segment followed by its next ``span`` ones, joined by newlines.
 
@@ -181,14 +156,15 @@ def _with_following(raw: DataFrame, span: int, block: int = BLOCK) -> DataFrame:
 
 
 def _files_with_all(raw: DataFrame, norms: list[str]) -> DataFrame:
-    """AND gate on the newline-joined segments, for keywords that span segments.
+    """AND gate on the newline-joined segments: a plain boolean aggregate per file.
 
     A keyword with m line breaks touches at most m + 1 neighbouring segments, so each segment is
-    extended by its next ones; the verdict per file is a plain boolean aggregate.
+    then extended by its next ones.
     """
     span = max(k.count("\n") for k in norms)
     flags = [F.bool_or(F.contains(F.col("_joined"), F.lit(k))).alias(f"k{i}") for i, k in enumerate(norms)]
-    verdict = _with_following(raw, span).groupBy("path").agg(*flags)
+    joined = _with_following(raw, span) if span else raw.select("path", F.col("text").alias("_joined"))
+    verdict = joined.groupBy("path").agg(*flags)
     for i in range(len(norms)):
         verdict = verdict.filter(F.col(f"k{i}"))
     return verdict.select("path")
@@ -208,35 +184,27 @@ def cap_hits(hits: DataFrame, n: int) -> DataFrame:
 def all_positions(segments: DataFrame, spec: SearchSpec) -> DataFrame:
     """Every non-overlapping occurrence of every keyword: ``(path, seg_idx, kw_idx, position)``.
 
-    The text is cut at the keyword and only the lengths of the pieces are summed up per segment.
+    Decided inside the row: the text is cut at the keyword and the lengths of the pieces are summed up.
     """
     keywords = matching.keyword_array(spec)
     normal = segments.select(
         "path", F.col("idx").alias("seg_idx"),
         normalize(F.col("text"), spec.case_sensitive, spec.normalize_width).alias("_t"))
-    pieces = (
-        normal.withColumn("k", F.explode(F.filter(keywords, lambda k: F.contains(F.col("_t"), k["norm"]))))
-        .withColumn("_size", F.char_length("k.norm"))
-        .select("path", "seg_idx", "k.kw_idx", "_size",
-                once(F.transform(F.call_function("split", "_t", F.col("k.quoted"), F.lit(-1)), F.char_length)).alias("_cut"))
-        .select("path", "seg_idx", "kw_idx", "_size", F.posexplode("_cut").alias("_i", "_length"))
-    )
-    group = Window.partitionBy("path", "seg_idx", "kw_idx").orderBy("_i")
-    upto = F.sum("_length").over(group.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (
-        pieces.withColumn("_upto", upto).withColumn("_last", F.lead("_i").over(group).isNull())
-        .filter(~F.col("_last"))
-        .select("path", "seg_idx", "kw_idx", (F.col("_upto") + F.col("_i") * F.col("_size")).alias("position"))
-    )
+    found = normal.withColumn("k", F.explode(F.filter(keywords, lambda k: F.contains(F.col("_t"), k["norm"]))))
+    every = matching.literal_positions(F.col("_t"), F.col("k.norm"), F.col("k.quoted"), 2**31 - 2)
+    return found.select("path", "seg_idx", "k.kw_idx", F.explode(every).alias("position"))
 
 
 def line_offsets(texts: DataFrame) -> DataFrame:
     """``(path, line_no, offset)``: where each line of ``(path, text)`` starts, in characters.
 
-    A CR LF pair is one terminator of two characters; every other terminator is one.
+    A CR LF pair is one terminator of two characters; every other terminator is one. Sums inside the row, no shuffle.
     """
     unified = F.replace(F.col("text"), F.lit("\r\n"), F.lit("\x00\n"))  # keeps the width of the pair
-    lengths = F.transform(split_lines(F.when(F.col("text").contains("\r\n"), unified).otherwise(F.col("text"))), F.char_length)
-    lines = texts.select("path", once(lengths).alias("_cut")).select("path", F.posexplode("_cut").alias("i", "size"))
-    starts = running_total(lines, ["path"], ["i"], F.col("size") + 1, "offset")
-    return starts.select("path", (F.col("i") + 1).cast("bigint").alias("line_no"), F.col("offset").cast("bigint").alias("offset"))
+    lines = split_lines(F.when(F.col("text").contains("\r\n"), unified).otherwise(F.col("text")))
+    steps = F.transform(lines, lambda line: (F.char_length(line) + 1).cast("bigint"))
+    cut = texts.select("path", once(steps).alias("_steps"))
+    ends = cut.select("path", "_steps", once(matching.running_sums(F.col("_steps"))).alias("_ends"))
+    starts = F.zip_with("_ends", "_steps", lambda end, step: end - step)
+    return ends.select("path", F.posexplode(starts).alias("i", "offset")).select(
+        "path", (F.col("i") + 1).cast("bigint").alias("line_no"), "offset")

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from linetrawl.operators.spread import spread_small
 from linetrawl.sources.plaintext import text_segments
 
 EXTS = (".txt", ".MD", ".csv", ".xlsx", ".docx", ".pdf", ".png", ".ppt", "", ".tmp", ".json", ".log")
@@ -18,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Deal the rows over all cores: each given table is a single row group, which one task would read alone."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
+    return rows.repartition(tasks, *keys)
+
+
 def _path() -> Column:
     doc = F.col("doc_id").cast("string")
     folder = F.when(F.col("doc_id") % 17 == 0, ".git").otherwise(F.col("lang"))
@@ -32,7 +37,7 @@ def _mtime(minutes: Column) -> Column:
 
 def documents(spark, sf_dir):
     """Whole-file rows: file_ord, path, size, mtime, text."""
-    return as_files(spread_small(table(spark, sf_dir, "documents"), "doc_id"))
+    return as_files(spread(table(spark, sf_dir, "documents"), "doc_id"))
 
 
 def arriving_documents(spark, sf_dir):
@@ -69,7 +74,7 @@ def segments_v(spark, sf_dir):
 
 
 def turns_v(spark, sf_dir):
-    return spread_small(table(spark, sf_dir, "conversations"), "conv_id", "turn").select(
+    return spread(table(spark, sf_dir, "conversations"), "conv_id", "turn").select(
         F.concat(F.lit("/chat/"), F.col("conv_id").cast("string")).alias("path"),
         F.col("turn").cast("int").alias("idx"), F.col("role").alias("locator"), "text")
 

@@ -76,7 +76,7 @@ QUERIES = {
     "rels_path": lambda s, d: fx.files_v(s, d).select("path", paths.rels_path(F.col("path")).alias("rels")),
     "resolve_path": lambda s, d: fx.files_v(s, d).select("path", paths.resolve_target(F.col("path"), F.concat(F.lit(".././../X/"), paths.basename(F.col("path")))).alias("rel"),
                            paths.resolve_target(F.col("path"), F.concat(F.lit("/"), F.upper(F.col("path")))).alias("abs")),
-    "col_letter": lambda s, d: fx.files_v(s, d).select("path", *[paths.column_letters(F.col("file_ord") * m - 3).alias(f"c{m}") for m in (1, 31, 977)]),
+    "col_letter": lambda s, d: fx.files_v(s, d).select("path", *[paths.column_letters(F.col("file_ord") * m - 3).alias(f"c{m}") for m in (1, 31, 977, 8_353_082_583)]),
     "sanitize_ctrl": lambda s, d: fx.documents(s, d).select("path", F.md5(text.sanitize_control(_noisy(F.col("text")))).alias("digest")),
     "html_escape": lambda s, d: fx.documents(s, d).select("path", F.md5(text.html_escape(F.concat(F.lit("<a href=\"x\">&'"), F.col("text")))).alias("digest")),
     "locators": lambda s, d: fx.table(s, d, "conversations").select("conv_id", "turn", *[
@@ -93,13 +93,15 @@ QUERIES = {
 }
 
 _F, _FD = fx.with_views("files_v"), fx.with_views("docs")
-_LETTER3 = """CASE WHEN {n} < 1 THEN '' WHEN {n} <= 26 THEN chr(CAST(64 + {n} AS INT))
-  WHEN {n} <= 702 THEN chr(CAST(65 + ({n} - 27) // 26 AS INT)) || chr(CAST(65 + ({n} - 27) % 26 AS INT))
-  WHEN {n} <= 18278 THEN chr(CAST(65 + ({n} - 703) // 676 AS INT)) || chr(CAST(65 + (({n} - 703) % 676) // 26 AS INT)) || chr(CAST(65 + ({n} - 703) % 26 AS INT))
-  WHEN {n} <= 475254 THEN chr(CAST(65 + ({n} - 18279) // 17576 AS INT)) || chr(CAST(65 + (({n} - 18279) % 17576) // 676 AS INT))
-    || chr(CAST(65 + (({n} - 18279) % 676) // 26 AS INT)) || chr(CAST(65 + ({n} - 18279) % 26 AS INT))
-  ELSE chr(CAST(65 + ({n} - 475255) // 456976 AS INT)) || chr(CAST(65 + (({n} - 475255) % 456976) // 17576 AS INT)) || chr(CAST(65 + (({n} - 475255) % 17576) // 676 AS INT))
-    || chr(CAST(65 + (({n} - 475255) % 676) // 26 AS INT)) || chr(CAST(65 + ({n} - 475255) % 26 AS INT)) END"""
+def _letters_sql(n):
+    """Column name of a BIGINT: the digits of a bijective base 26, most significant first."""
+    below = [(26 ** k - 26) // 25 for k in range(1, 15)]  # numbers of fewer than k letters
+    name = lambda k: " || ".join(
+        f"chr(CAST(65 + ((({n}) - {below[k - 1] + 1}) // {26 ** i}) % 26 AS INT))" for i in range(k - 1, -1, -1))
+    cases = " ".join(f"WHEN ({n}) <= {below[k]} THEN {name(k)}" for k in range(1, 14))
+    return f"CASE WHEN ({n}) < 1 THEN '' {cases} ELSE {name(14)} END"
+
+
 # One decimal with halves to even, in exact integer arithmetic.
 _TENTHS = "(({n} * 10) // {u} + CASE WHEN 2 * (({n} * 10) % {u}) > {u} OR (2 * (({n} * 10) % {u}) = {u} AND (({n} * 10) // {u}) % 2 = 1) THEN 1 ELSE 0 END)"
 
@@ -125,7 +127,7 @@ ORACLES = {
     "rels_path": _F + f"SELECT path, regexp_replace(path, '([^/]+)$', '_rels/\\1.rels') AS rels FROM files_v",
     "resolve_path": _F + f"SELECT path, lower('/share/x/' || {fx.BASE_SQL}) AS rel, lower(ltrim(path, '/')) AS abs FROM files_v",
     "col_letter": _F + "SELECT path, " + ", ".join(
-        f"{_LETTER3.format(n=f'(file_ord * {m} - 3)')} AS c{m}" for m in (1, 31, 977)) + " FROM files_v",
+        f"{_letters_sql(f'CAST(file_ord AS HUGEINT) * {m} - 3')} AS c{m}" for m in (1, 31, 977, 8_353_082_583)) + " FROM files_v",
     "sanitize_ctrl": _FD + "SELECT path, md5(regexp_replace('a b c d e' || chr(9) || 'f' || chr(10) || text, '[\\x01-\\x08\\x0b\\x0c\\x0e-\\x1f]', ' ', 'g')) AS digest FROM docs",
     "html_escape": _FD + """SELECT path, md5('&lt;a href=&quot;x&quot;&gt;&amp;&#x27;' ||
       replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS digest FROM docs""",
@@ -133,12 +135,12 @@ ORACLES = {
       CASE WHEN turn % 2 = 0 THEN '図形「' || role || '」' ELSE '図形' END AS textbox,
       'コメント #' || turn || CASE WHEN turn % 2 = 1 THEN ' (' || role || ')' ELSE '' END AS note,
       'スライド ' || turn || CASE WHEN turn % 2 = 0 THEN ' / ' || role ELSE '' END AS slide, 'スライド ' || turn || ' / ノート' AS notes,
-      '行 ' || turn AS line, role || '!' || {_LETTER3.format(n='(conv_id + 1)')} || turn AS cell FROM conversations""",
+      '行 ' || turn AS line, role || '!' || {_letters_sql('CAST(conv_id AS HUGEINT) + 1')} || turn AS cell FROM conversations""",
     "agg_concat": fx.with_views("turns_v", w="SELECT path, string_agg(text, chr(10) ORDER BY idx) AS w FROM turns_v GROUP BY path")
       + "SELECT path, CAST(length(w) AS BIGINT) AS n, md5(w) AS digest FROM w",
     "segments_union": fx.with_views("segments_v", "turns_v") + """SELECT path, 0 AS part_ord, idx, locator, md5(text) AS digest FROM segments_v
       UNION ALL SELECT path, 1, idx, locator, md5(text) FROM turns_v""",
-    "grid_to_cells": f"""SELECT '/old/' || conv_id || '.xls' AS path, role || '!' || {_LETTER3.format(n='(conv_id + 1)')} || (turn + 1) AS locator, text
+    "grid_to_cells": f"""SELECT '/old/' || conv_id || '.xls' AS path, role || '!' || {_letters_sql('CAST(conv_id AS HUGEINT) + 1')} || (turn + 1) AS locator, text
       FROM conversations WHERE turn % 5 <> 4 AND text IS NOT NULL""",
     "xlsx_part_join": """SELECT '/book/' || conv_id AS path, 'XL/Drawings/drawing' || turn || '.xml' AS part,
       CASE WHEN turn > 0 THEN role || ' ' || turn ELSE '' END AS sheet, md5(text) AS digest FROM conversations""",

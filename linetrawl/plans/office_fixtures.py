@@ -9,7 +9,6 @@ from xml.sax.saxutils import escape, quoteattr
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from linetrawl.operators.spread import spread_small
 from linetrawl.plans import fixtures as fx
 from linetrawl.sources.office import REL_COMMENTS, REL_DRAWING, REL_THREADS
 from linetrawl.sources.packages import A, P, PKG, REL_ID, SS, TC, W, WP, XDR
@@ -124,7 +123,7 @@ def _write(rows: DataFrame, build) -> DataFrame:
 
 def _conversations(spark, sf_dir, ext):
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    return spread_small(fx.table(spark, sf_dir, "conversations"), "conv_id").groupBy("conv_id").agg(turns.alias("turns")).select(
+    return fx.spread(fx.table(spark, sf_dir, "conversations"), "conv_id").groupBy("conv_id").agg(turns.alias("turns")).select(
         F.concat(F.lit("/office/conv"), "conv_id", F.lit(ext)).alias("path"), F.col("conv_id").alias("key"), "turns")
 
 

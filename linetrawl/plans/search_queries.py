@@ -18,9 +18,13 @@ KEYWORDS = ("the", "license", "123", "@")
 BOTH = ("the", "and", "license")
 PATTERNS = ("licen[a-z]+", "[0-9]{3,}", "[a-z0-9.]+@[a-z0-9.]+")
 NAMED = (r"(?P<host>[a-z0-9]+)\.(?:com|org|net)", r"(?P<n>[0-9]{2,})-(?:[0-9]+)")
+GROUPS = ("(?:th|an)+e", "(?:er|in){2,}g?")
+#: Printable ASCII and its full-width forms, which NFKC turns back.
+ASCII, WIDE = "".join(map(chr, range(0x21, 0x7F))), "".join(map(chr, range(0xFF01, 0xFF5F)))
 FUZZY = ("license", "copyright notice", "identification")
 OR_SPEC = SearchSpec(KEYWORDS, operator="or")
 AND_SPEC = SearchSpec(BOTH)
+RX_SPEC = SearchSpec(PATTERNS, mode="regex")
 HITS = ["path", "seg_idx", "locator", "kw_idx", "position", "matched", "snippet"]
 _HIT_COLS = ", ".join(HITS)
 
@@ -69,7 +73,10 @@ QUERIES = {
     "kw_segments_large_cap": lambda s, d: search_segments(
         fx.segments_v(s, d), SearchSpec(("the", "and"), operator="or", max_hits_per_file=150)),
     "kw_positions": lambda s, d: all_positions(fx.segments_v(s, d), SearchSpec(BOTH)),
-    "agg_kw": lambda s, d: keyword_counts(_hits_or(s, d)),
+    "agg_kw": lambda s, d: keyword_counts(_hits_or(s, d), OR_SPEC),
+    "agg_kw_rx": lambda s, d: keyword_counts(search_texts(fx.documents(s, d), RX_SPEC), RX_SPEC),
+    "rx_groups": lambda s, d: search_texts(fx.documents(s, d), SearchSpec(GROUPS, mode="regex")),
+    "kw_segments_and_large_cap": lambda s, d: search_segments(fx.segments_v(s, d), SearchSpec(("the", "and"), max_hits_per_file=5000)),
     "rx_filter": lambda s, d: fx.segments_v(s, d).filter(F.col("text").rlike(java_pattern(PATTERNS[0], False))).select("path", "idx", "text"),
     "rx_positions": lambda s, d: search_texts(fx.documents(s, d), SearchSpec(PATTERNS, mode="regex")),
     "rx_exact_lane": lambda s, d: search_texts(fx.documents(s, d), SearchSpec(NAMED, mode="regex")),
@@ -80,7 +87,7 @@ QUERIES = {
     "hits_ordered": lambda s, d: explode_hits(_searched(s, d), "file_ord").orderBy("file_ord", "seg_idx", "kw_idx", "position"),
     "limit_files": lambda s, d: _first_files(s, d, 7),
     "limit_first": lambda s, d: _first_files(s, d, 1),
-    "norm_nfkc": _norm(nfkc),
+    "norm_nfkc": _norm(lambda text: nfkc(F.translate(text, ASCII, WIDE))),
     "norm_casefold": _norm(casefold),
     "norm_text": _norm(normalize),
     "snippet": lambda s, d: fx.segments_v(s, d).select(
@@ -99,7 +106,11 @@ ORACLES = {
     "kw_segments_and": fx.with_views("turns_v", **fx.keyword_hits_ctes("turns_v", ("the", "and", "with"), both=True)) + f"SELECT {_HIT_COLS} FROM hits",
     "kw_segments_large_cap": fx.with_views("segments_v", **fx.keyword_hits_ctes("segments_v", ("the", "and"), 150)) + f"SELECT {_HIT_COLS} FROM hits",
     "kw_positions": fx.with_views("segments_v", **fx.keyword_hits_ctes("segments_v", BOTH, None)) + "SELECT path, seg_idx, kw_idx, position FROM every_hit",
-    "agg_kw": _or_sql("SELECT matched, count(DISTINCT path) AS n_files, count(*) AS n_hits FROM hits GROUP BY matched"),
+    "rx_groups": fx.with_views("segments_v", **fx.regex_hits_ctes("segments_v", GROUPS)) + f"SELECT {_HIT_COLS} FROM hits",
+    "kw_segments_and_large_cap": fx.with_views("segments_v", **fx.keyword_hits_ctes("segments_v", ("the", "and"), 5000, both=True)) + f"SELECT {_HIT_COLS} FROM hits",
+    "agg_kw_rx": fx.with_views("segments_v", **fx.regex_hits_ctes("segments_v", PATTERNS)) + (
+        f"SELECT ({list(PATTERNS)!r})[CAST(kw_idx + 1 AS INT)] AS keyword, count(DISTINCT path) AS n_files, count(*) AS n_hits FROM hits GROUP BY kw_idx"),
+    "agg_kw": _or_sql("SELECT matched AS keyword, count(DISTINCT path) AS n_files, count(*) AS n_hits FROM hits GROUP BY matched"),
     "rx_filter": fx.with_views("segments_v") + f"SELECT path, idx, text FROM segments_v WHERE regexp_matches(text, '(?i){PATTERNS[0]}')",
     "rx_positions": fx.with_views("segments_v", **fx.regex_hits_ctes("segments_v", PATTERNS)) + f"SELECT {_HIT_COLS} FROM hits",
     "rx_exact_lane": fx.with_views("segments_v", **fx.regex_hits_ctes("segments_v", NAMED)) + f"SELECT {_HIT_COLS} FROM hits",

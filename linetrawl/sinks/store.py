@@ -25,7 +25,9 @@ class SegmentStore:
     def _read(self, name: str, schema: str) -> DataFrame:
         try:
             return self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}").parquet(f"{self.root}/{name}")
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # anything else must not pass for an empty store
+                raise
             return self.spark.createDataFrame([], schema)
 
     def _log(self) -> DataFrame:
@@ -42,10 +44,10 @@ class SegmentStore:
     def segments(self) -> DataFrame:
         """Live segments. Superseded (path, gen) pairs are few between compactions; they are taken
         out by an anti join whose strategy Spark picks by their actual size."""
-        generations = [r.gen for r in self._log().select("gen").distinct().collect()]  # one per put
+        generations = self._log().select("gen").distinct()
         live = self.files().select("path", "gen")
         dead = self._log().select("path", "gen").join(live, ["path", "gen"], "left_anti")
-        stored = self._read("segments", SEGMENTS).filter(F.col("gen").isin(generations) if generations else F.lit(False))
+        stored = self._read("segments", SEGMENTS).join(generations, "gen", "left_semi")
         return stored.join(dead, ["path", "gen"], "left_anti").select("path", "idx", "locator", "text")
 
     def lookup(self, manifest: DataFrame, granularity: str = "cell") -> DataFrame:

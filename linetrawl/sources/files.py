@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import posixpath
+from dataclasses import replace
 from functools import reduce
 
 import pyarrow as pa
@@ -36,6 +37,8 @@ def filter_manifest(files: DataFrame, spec: ScanSpec, roots: list[str] | None =
         files = files.filter(~F.arrays_overlap(parts, F.array(*map(F.lit, spec.exclude_dirs))))
     for pattern in spec.exclude_patterns:
         files = files.filter(~name.rlike(glob_to_regex(pattern)))
+    if spec.manifest_name:
+        files = files.filter(name != spec.manifest_name)
     if spec.max_size_mb:
         files = files.filter(F.col("size") <= spec.max_size_mb * 1024 * 1024)
     return files
@@ -155,13 +158,13 @@ def walk_files(spark: SparkSession, roots: list[str], spec: ScanSpec = ScanSpec(
     depth = 0
     while not level.isEmpty():
         out = f"{base}/level={depth}"
-        level.repartition("path").mapInArrow(list_level, _LISTING).write.parquet(out)
+        level.repartition(max(spark.sparkContext.defaultParallelism, level.rdd.getNumPartitions()), "path").mapInArrow(list_level, _LISTING).write.parquet(out)
         listed = spark.read.schema(_LISTING).parquet(out)
         files = files.unionByName(listed.filter(~F.col("is_dir")).drop("is_dir"))
         level = listed.filter("is_dir").select("path", "root")
         depth += 1
     # Exclusion already happened on descent, so only name, extension and size remain.
-    rest = ScanSpec(spec.extensions, (), spec.exclude_patterns, spec.max_size_mb, spec.xlsx_granularity)
+    rest = replace(spec, exclude_dirs=())
     return filter_manifest(files, rest).select("path", "size", "mtime")
 
 

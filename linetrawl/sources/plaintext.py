@@ -34,26 +34,11 @@ def decode_utf8(content: Column) -> Column:
 @F.arrow_udf(T.StringType())
 def guess_decode(content: pa.Array) -> pa.Array:
     """Text under the most likely charset; NULL in, NULL out, and NULL where none fits."""
-    try:
-        from charset_normalizer import from_bytes
-    except ImportError:
-        from_bytes = None
+    from charset_normalizer import from_bytes  # a worker without it fails: another guess would be another text
 
     def decode(data):
-        if data is None:
-            return None
-        try:
-            if from_bytes is not None:
-                best = from_bytes(data).best()
-                return None if best is None else str(best).encode("utf-8", "replace").decode("utf-8")
-        except Exception:
-            return None
-        for name in ("utf-16", "cp932", "euc_jp", "cp1252"):
-            try:
-                return data.decode(name)
-            except UnicodeDecodeError:
-                continue
-        return None
+        best = None if data is None else from_bytes(data).best()
+        return None if best is None else str(best).encode("utf-8", "replace").decode("utf-8")
 
     return pa.array([decode(v) for v in content.to_pylist()], pa.string())
 

@@ -16,7 +16,7 @@ DEFAULT_EXTENSIONS = (
     ".pptx", ".ppt",
 )
 DEFAULT_EXCLUDE_DIRS = (".git", ".svn", "node_modules", "__pycache__", ".venv", "venv")
-DEFAULT_EXCLUDE_PATTERNS = ("~$*", "*.tmp", ".DS_Store", "Thumbs.db", "_*_meta.json")  # the last: export manifests
+DEFAULT_EXCLUDE_PATTERNS = ("~$*", "*.tmp", ".DS_Store", "Thumbs.db")
 
 
 @dataclass(frozen=True)
@@ -54,13 +54,14 @@ class SearchSpec:
 
 @dataclass(frozen=True)
 class ScanSpec:
-    """Which files to look at."""
+    """Which files to look at. ``manifest_name`` is the one file name under which exports keep their manifest."""
 
     extensions: tuple[str, ...] = DEFAULT_EXTENSIONS
     exclude_dirs: tuple[str, ...] = DEFAULT_EXCLUDE_DIRS
     exclude_patterns: tuple[str, ...] = DEFAULT_EXCLUDE_PATTERNS
     max_size_mb: int | None = 100
     xlsx_granularity: str = "cell"
+    manifest_name: str | None = None
 
     @property
     def extension_filter(self) -> list[str] | None:

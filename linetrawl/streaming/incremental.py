@@ -37,14 +37,18 @@ def extract(files: DataFrame, spec: ScanSpec = ScanSpec(), office: bool = False)
 
 
 def ingest(files: DataFrame, store: SegmentStore, checkpoint: str, spec: ScanSpec = ScanSpec(),
-           name: str = "ingest", office: bool = False) -> StreamingQuery:
-    """Keep a segment store current. Each micro-batch is one generation, tagged with its number, so a
-    batch replayed after a failure is recognised and written once."""
+           roots: list[str] | None = None, office: bool = False) -> StreamingQuery:
+    """Keep a segment store current with files that arrive below ``roots``.
+
+    Excluded directory names count only below the roots. Each micro-batch is one generation, tagged
+    with the identity that its checkpoint keeps and its number, so a batch replayed after a
+    failure is recognised and written once, and batches of other checkpoints never are.
+    """
     def write(batch: DataFrame, epoch: int) -> None:
-        tag = f"{name}:{epoch}"
+        tag = f"{batch.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId')}:{epoch}"
         if store.has_tag(tag):
             return
-        wanted = filter_manifest(batch, spec)
+        wanted = filter_manifest(batch, spec, roots)
         store.put(wanted, extract(wanted, spec, office), spec.xlsx_granularity, tag)
 
     return (

@@ -74,8 +74,11 @@ def test_ingest_equals_batch_and_is_idempotent(spark, tmp_path):
     run("cp")
     assert len(texts(store.segments())) == 3
     generations = store.files().select("gen").distinct().count()
-    run("fresh checkpoint")  # replays the first batch under a known tag
+    run("cp")  # nothing new
     assert store.files().select("gen").distinct().count() == generations
+    (src / "d.txt").write_text("only the fresh checkpoint sees this first")
+    run("fresh checkpoint")  # its batches have numbers that the store knows from the other
+    assert str(src / "d.txt") in {r.path for r in store.files().collect()} and len(texts(store.segments())) == 4
     (src / "a.txt").write_text("changed in place")
     os.utime(src / "a.txt", (time.time() + 5, time.time() + 5))
     from linetrawl.sources.files import walk_files
@@ -83,6 +86,42 @@ def test_ingest_equals_batch_and_is_idempotent(spark, tmp_path):
     assert [os.path.basename(r.path) for r in store.misses(listed).collect()] == ["a.txt"]
 
 
+def test_ingest_two_folders_below_an_excluded_name(spark, tmp_path):
+    """Excluded names count below the root only, and two checkpoints never take each other's batches for replays."""
+    store = SegmentStore(spark, str(tmp_path / "store"))
+    for name in ("one", "two"):
+        src = tmp_path / "venv" / name
+        (src / ".git").mkdir(parents=True)
+        (src / "a_b_meta.json").write_text("{}")
+        (src / "_x_meta.json").write_text("mine")
+        (src / f"{name}.txt").write_text(name)
+        (src / ".git" / "hidden.txt").write_text("no")
+        files = incremental.arriving_files(spark, str(src))
+        incremental.ingest(files, store, str(tmp_path / f"cp-{name}"), ScanSpec(("*",)), [str(src)]).awaitTermination()
+    assert sorted(os.path.basename(r.path) for r in store.files().collect()) == ["a_b_meta.json", "a_b_meta.json", "one.txt", "two.txt"]
+
+
+def test_replayed_batch_is_stored_once(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.txt").write_text("foo")
+    store = SegmentStore(spark, str(tmp_path / "store"))
+    run = lambda: incremental.ingest(incremental.arriving_files(spark, str(src)), store, str(tmp_path / "cp"), ScanSpec(("*",))).awaitTermination()
+    run()
+    for commit in (tmp_path / "cp/commits").glob("*0*"):
+        commit.unlink()  # as if the job had died before the batch counted as done
+    run()
+    assert store.files().select("gen").distinct().count() == 1 and store._next_generation() == 1
+
+
+def test_unreadable_log_is_not_an_empty_store(spark, tmp_path):
+    store = SegmentStore(spark, str(tmp_path / "store"))
+    (tmp_path / "store/files/gen=0").mkdir(parents=True)
+    (tmp_path / "store/files/gen=0/part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception, match="part-0|CANNOT_READ|footer|FAILED"):
+        store._next_generation()
+
+
 def test_standing_searches_equal_batch(spark, tmp_path):
     spec = SearchSpec(("foo", "bar"), max_hits_per_file=3)
     whole = spark.createDataFrame([("/a", "foo bar foo foo"), ("/b", "foo"), ("/c", "x\nbar foo")], "path string, text string")
