@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from linetrawl.functions.paths import display_path, extension, format_timestamp, human_bytes
@@ -14,6 +16,7 @@ from linetrawl.spec import SearchSpec
 
 # Label of files without an extension, and summary keys.
 NO_EXTENSION = "(なし)"
+_SPAN = '<span class="hl">'
 SUMMARY_KEYS = {
     "n_files": "走査ファイル数", "n_hit_files": "ヒットファイル数", "n_hits": "ヒット件数合計",
     "n_skipped": "スキップ数", "n_errors": "エラー数", "mode": "検索モード", "operator": "演算子",
@@ -79,26 +82,39 @@ def console_lines(searched: DataFrame) -> DataFrame:
 
 
 def highlight(snippet: Column, spec: SearchSpec) -> Column:
-    """Escaped snippet with every keyword in a span, in one pass over the text.
+    """Escaped snippet with every keyword in a span.
 
-    Keywords are escaped like the snippet; longer ones are tried first.
+    Keywords are found in the raw snippet in one pass, longer ones first, and the pieces are escaped
+    afterwards, so a keyword never meets a tag or an entity. Patterns outside the portable
+    subset are found by Python.
     """
+    if spec.mode == "regex" and not all(map(is_portable, spec.keywords)):
+        return _highlight_exact(spec)(snippet)
     if spec.mode == "regex":
-        usable = [p for p in spec.keywords if is_portable(p)]
-        if not usable:
-            return html_escape(snippet)
-        body, flags = "|".join(f"(?:{p})" for p in usable), java_pattern("", spec.case_sensitive)
+        pattern = java_pattern("|".join(f"(?:{p})" for p in spec.keywords), spec.case_sensitive)
     else:
-        escaped = [_escape(k) for k in spec.keywords]
-        body = "|".join(quote_literal(k) for k in sorted(escaped, key=len, reverse=True))
-        flags = "" if spec.case_sensitive else "(?iu)"
-    return F.regexp_replace(html_escape(snippet), f"{flags}({body})", '<span class="hl">$1</span>')
+        pattern = ("" if spec.case_sensitive else "(?iu)") + "|".join(quote_literal(k) for k in sorted(spec.keywords, key=len, reverse=True))
+    spans = F.transform(F.regexp_extract_all(snippet, F.lit(pattern), F.lit(0)), lambda m: F.concat(F.lit(_SPAN), html_escape(m), F.lit("</span>")))
+    pieces = F.zip_with(F.split(snippet, pattern, -1), spans, lambda piece, span: F.concat(html_escape(piece), F.coalesce(span, F.lit(""))))
+    return F.array_join(pieces, "")
 
 
-def _escape(keyword: str) -> str:
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
-        keyword = keyword.replace(a, b)
-    return keyword
+def _highlight_exact(spec: SearchSpec):
+    pattern = re.compile("|".join(f"(?:{p})" for p in spec.keywords), 0 if spec.case_sensitive else re.IGNORECASE)
+
+    def one(text):
+        out, at = [], 0
+        for m in pattern.finditer(text):
+            if m.end() > m.start():
+                out += [html.escape(text[at:m.start()]), _SPAN, html.escape(m[0]), "</span>"]
+                at = m.end()
+        return "".join(out) + html.escape(text[at:])
+
+    @F.arrow_udf("string")
+    def mark(snippets: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else one(t) for t in snippets.to_pylist()], pa.string())
+
+    return mark
 
 
 def facet_match(path: Column, ext: Column, snippets: Column, want_ext: str = "", query: str = "") -> Column:

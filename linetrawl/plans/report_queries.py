@@ -36,7 +36,7 @@ QUERIES = {
     "report_results_inline": lambda s, d: report.results_inline(explode_hits(_searched(s, d), "mtime")),
     "report_console": _console,
     "report_highlight": lambda s, d: _hits_or(s, d).select(
-        "path", "seg_idx", "kw_idx", "position", report.highlight(F.col("snippet"), OR_SPEC).alias("fragment")),
+        "path", "seg_idx", "kw_idx", "position", report.highlight(F.translate("snippet", "ou", "&<"), OR_SPEC).alias("fragment")),
     "report_facet_filter": lambda s, d: _facets(s, d).filter("shown").select("path"),
     "agg_shown": lambda s, d: _facets(s, d).agg(F.count_if("shown").alias("shown"), F.count("*").alias("total")),
     "agg_ext_facet": lambda s, d: _searched(s, d).filter(F.size("hits") > 0).select(
@@ -58,7 +58,7 @@ ORACLES = {
     "report_console": _or_sql("""SELECT path, path || '  (' || count(*) || ' hits)' || chr(10) ||
       string_agg('  - [' || locator || '] ' || snippet, chr(10) ORDER BY seg_idx, kw_idx, position) AS block FROM hits GROUP BY path"""),
     "report_highlight": _or_sql(f"""SELECT path, seg_idx, kw_idx, position,
-      regexp_replace({_ESCAPE.format('snippet')}, '(?i)(license|the|123|@)', '<span class="hl">\\1</span>', 'g') AS fragment FROM hits"""),
+      regexp_replace({_ESCAPE.format("translate(snippet, 'ou', '&<')")}, '(?i)(license|the|123|@)', '<span class="hl">\\1</span>', 'g') AS fragment FROM hits"""),
     "report_facet_filter": _or_sql(f"SELECT path FROM ({_FACET}) WHERE shown"),
     "agg_shown": _or_sql(f"SELECT count_if(shown) AS shown, count(*) AS total FROM ({_FACET})"),
     "agg_ext_facet": _or_sql(f"SELECT DISTINCT {fx.EXT_SQL} AS ext FROM hits"),

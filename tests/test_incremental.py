@@ -205,7 +205,9 @@ def test_highlight_is_one_pass(spark):
     df = spark.createDataFrame([("a <b> span & SPAN $1 \\E",)], "t string")
     show = lambda *k, **o: df.select(report.highlight(F.col("t"), SearchSpec(k, **o))).first()[0]
     hl = lambda s: f'<span class="hl">{s}</span>'
-    assert show("span", "a") == f'{hl("a")} &lt;b&gt; {hl("span")} &{hl("a")}mp; {hl("SPAN")} $1 \\E'
+    assert show("span", "a") == f'{hl("a")} &lt;b&gt; {hl("span")} &amp; {hl("SPAN")} $1 \\E'
+    assert show("amp", "&") == f'a &lt;b&gt; span {hl("&amp;")} SPAN $1 \\E'
+    assert show(r"\bspan\b", "b>", mode="regex") == f'a &lt;{hl("b&gt;")} {hl("span")} &amp; {hl("SPAN")} $1 \\E'
     assert show("<b>", "\\E") == f'a {hl("&lt;b&gt;")} span &amp; SPAN $1 {hl(chr(92) + "E")}'
     assert show("span", case_sensitive=True) == f'a &lt;b&gt; {hl("span")} &amp; SPAN $1 \\E'
     assert show("s[a-z]+n", mode="regex") == f'a &lt;b&gt; {hl("span")} &amp; {hl("SPAN")} $1 \\E'
