@@ -7,12 +7,9 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 from linetrawl.llm import texts
 from linetrawl.llm.common import NULL_ID, groups, stored
@@ -109,132 +106,97 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     texts and texts without words have no links and are classes of their own. Rows of a null id count as
     documents, but name a class only if it has no other; repeated rows are linked like any copies. An empty table gives no rows.
 
-    Equal sets become one node with a number of copies. Nodes shuffle on their band hashes, and each is
-    compared with the least node of its bands, by full sets. What these links connect is a tight
-    group: its members are compared with one another in blocks, inside tasks, and only sums leave them. Nodes that share a
-    band across groups are compared pair by pair. So a group of near copies never becomes rows of pairs.
+    Equal sets become one node with a number of copies. Nodes shuffle on their band hashes, and each bucket names
+    its least node; what these names connect is a candidate group, which holds every pair that
+    shares a band. Its members are compared with one another in blocks of about ``BLOCK``, by full sets, inside
+    tasks; only a row per node and pair of blocks leaves them, with a sum and one link of a spanning forest. So a group of
+    near copies never becomes rows of pairs. The work still grows with the square of a group.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     features = stored(ids.mapInArrow(_features(*banding(threshold, recall)), "doc_id long, set_key binary, n int, bands array<long>"), "features")
     nodes = features.filter("set_key IS NOT NULL").groupBy("set_key").agg(
-        F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+        F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.first("bands").alias("bands"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     entries = nodes.select("node", F.explode("bands").alias("band"))
     leaders = entries.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    entries = stored(entries.join(leaders, "band"), "bands")
-    stars = stored(entries.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "stars")
-    sets = _sets(ids, nodes, stars)
-    verified = _verified(stars, sets, threshold)
-    tight = components(verified)
-    entries = entries.join(tight, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = entries.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
-    entries = stored(entries.join(mixed, "band"), "mixed")
-    left, right = (entries.select("band", F.col("node").alias(n), F.col("root").alias(f"{n}_root")) for n in "ab")
-    pairs = left.join(right, "band").filter("a_root < b_root").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    across = stored(_verified(pairs.join(stars, ["a", "b"], "left_anti"), sets, threshold), "across")
-    copies = nodes.select("node", "copies")
-    linked = _links_inside(tight, sets.join(copies, "node"), threshold)
-    for one, other in ("ab", "ba"):
-        linked = linked.union(across.join(copies.withColumnRenamed("node", other), other).select(F.col(one).alias("node"), F.col("copies").alias("links")))
-    linked = linked.groupBy("node").agg(F.sum("links").alias("links"))
-    merged = components(_rooted(_rooted(across, "a", tight), "b", tight))
-    placed = (
-        nodes.select("node", "set_key", "copies", "first").join(tight, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        .join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("top", F.coalesce("top", "root"))
-        .join(linked, "node", "left").select("set_key", "top", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    placed = stored(placed, "placed")
-    names = placed.groupBy("top").agg(F.min("first").alias("class_id"))
-    placed = placed.join(names, "top").select("set_key", "class_id", "n_links")
+    stars = entries.join(leaders, "band").filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    groups_ = components(stars)
+    compared = stored(_compared(groups_, _sets(ids, nodes, groups_), threshold), "compared")
+    links = compared.groupBy("node").agg(F.sum("links").alias("links"))
+    classes = components(compared.select(F.col("node").alias("a"), F.col("linked").alias("b")))
+    placed = stored(
+        nodes.select("node", "set_key", "copies", "first").join(links, "node", "left")
+        .join(classes, "node", "left").select(
+            "set_key", F.coalesce("root", "node").alias("root"), "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "placed")
+    placed = placed.join(placed.groupBy("root").agg(F.min("first").alias("class_id")), "root").select("set_key", "class_id", "n_links")
     return features.select("doc_id", "set_key").join(placed, "set_key", "left").select(
         "doc_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _rooted(edges: DataFrame, end: str, tight: DataFrame) -> DataFrame:
-    names = tight.select(F.col("node").alias(end), F.col("root").alias("__root"))
-    return edges.join(names, end, "left").select(*[F.coalesce("__root", c).alias(c) if c == end else c for c in "ab"])
-
-
-def _sets(ids: DataFrame, nodes: DataFrame, stars: DataFrame) -> DataFrame:
-    """``node, n, grams`` of every node that has a candidate, from one of its documents."""
-    wanted = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct().join(nodes.select("node", "set_key", F.coalesce("first", F.lit(NULL_ID)).alias("key")), "node")
+def _sets(ids: DataFrame, nodes: DataFrame, groups_: DataFrame) -> DataFrame:
+    """``node, copies, grams`` of every node in a group, from one of its documents."""
+    wanted = groups_.select("node").join(nodes.select("node", "set_key", "copies", F.coalesce("first", F.lit(NULL_ID)).alias("key")), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
-            nodes_, keys, found = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
-            sets = [ngram_set(t.as_py() or "", words) for t in found]
+            keys = batch.column(2).to_pylist()
+            sets = [ngram_set(t.as_py() or "", words) for t in batch.column(3)]
             right = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == k for s, k in zip(sets, keys)]
             yield pa.RecordBatch.from_arrays(
-                [nodes_, pa.array(map(len, sets), pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "grams"]).filter(pa.array(right, pa.bool_()))
-
-    found = ids.withColumn("key", F.coalesce("doc_id", F.lit(NULL_ID))).join(wanted, "key").select("node", "set_key", "text").mapInArrow(run, "node long, n int, grams binary")
-    return stored(found.dropDuplicates(["node"]), "sets")
-
-
-@pandas_udf(DoubleType())
-def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = np.empty(len(a))
-    for i, (x, y) in enumerate(zip(a, b)):
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        if len(x) > len(y):
-            x, y = y, x
-        place = np.searchsorted(y, x)
-        place[place == len(y)] = 0
-        shared = int((y[place] == x).sum())
-        out[i] = shared / (len(x) + len(y) - shared)
-    return pd.Series(out)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs ``a, b`` of nodes whose sets are similar enough."""
-    sized = pairs
-    for end in "ab":
-        sized = sized.join(sets.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}")), end)
-    sized = sized.filter(F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b")).select("a", "b")
-    for end in "ab":
-        sized = sized.join(sets.select(F.col("node").alias(end), F.col("grams").alias(f"grams_{end}")), end)
-    return sized.filter(_jaccard("grams_a", "grams_b") >= F.lit(threshold)).select("a", "b")
-
-
-def _links_inside(tight: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
-    """``node, links``: linked copies in the node's own group, added up over pairs of blocks."""
-    blocks = tight.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = tight.join(blocks, "root").join(members, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+                [batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "copies", "grams"]).filter(pa.array(right, pa.bool_()))
+
+    found = ids.withColumn("key", F.coalesce("doc_id", F.lit(NULL_ID))).join(wanted, "key").select("node", "copies", "set_key", "text")
+    return stored(found.mapInArrow(run, "node long, copies long, grams binary").dropDuplicates(["node"]), "sets")
+
+
+def _compared(groups_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``node, links, linked`` per node and pair of blocks: copies it is linked to, and a node that links lead to."""
+    blocks = groups_.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = groups_.join(blocks, "root").join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "copies", "grams")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, low, high), rows in groups(batches, 3):
             block, nodes, copies = (np.array(rows[i]) for i in (3, 4, 5))
-            sets = [np.frombuffer(g, np.uint64) for g in rows[6]]
-            links = _count_links(sets, copies, block if low != high else None, threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(links, pa.int64())], names=["node", "links"])
+            links, linked = count_links([np.frombuffer(g, np.uint64) for g in rows[6]], copies, block if low != high else None, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(links, pa.int64()), pa.array(nodes[linked], pa.int64())], names=["node", "links", "linked"])
 
     keys = ["root", "low", "high"]
-    return members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "node long, links long")
+    return members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "node long, links long, linked long")
 
 
-def _count_links(sets, copies, block, threshold) -> np.ndarray:
-    """Copies that each set is linked to: among all, or between the two blocks only."""
-    order = np.arange(len(sets)) if block is None else np.argsort(block, kind="stable")
-    sizes = np.array([len(sets[i]) for i in order])
-    weights = copies[order]
+def count_links(sets: list[np.ndarray], copies: np.ndarray, block: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Copies that each set is linked to, among all or between two blocks only, and a member of its component."""
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    sizes, weights = np.array([len(sets[i]) for i in order]), copies[order]
+    side = None if block is None else block[order]
     starts = np.concatenate([[0], np.cumsum(sizes)])
     _, names = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
     marked = np.zeros(names.max() + 1, np.int64)
-    links = np.zeros(len(sets), np.int64)
-    half = len(sets) - 1 if block is None else int((block == block.min()).sum())
-    for i in range(half):
-        after = i + 1 if block is None else half
+    links, root = np.zeros(len(sets), np.int64), np.arange(len(sets))
+    for i in range(len(sets) - 1):
+        end = np.searchsorted(sizes, sizes[i] / threshold * (1 + 1e-9), side="right")
+        if end <= i + 1:
+            continue
         mine = names[starts[i]:starts[i + 1]]
         marked[mine] = 1
-        shared = np.add.reduceat(marked[names[starts[after]:]], starts[after:-1] - starts[after])
+        shared = np.add.reduceat(marked[names[starts[i + 1]:starts[end]]], starts[i + 1:end] - starts[i + 1])
         marked[mine] = 0
-        similar = np.flatnonzero(shared / (sizes[i] + sizes[after:] - shared) >= threshold)
-        links[order[i]] += weights[after:][similar].sum()
-        links[order[after + similar]] += weights[i]
-    return links
+        similar = shared / (sizes[i] + sizes[i + 1:end] - shared) >= threshold
+        if side is not None:
+            similar &= side[i + 1:end] != side[i]
+        similar = i + 1 + np.flatnonzero(similar)
+        if len(similar):
+            links[order[i]] += weights[similar].sum()
+            links[order[similar]] += weights[i]
+            met = np.unique(root[np.append(similar, i)])
+            root[np.isin(root, met)] = met[0]
+    linked = np.empty(len(sets), np.int64)
+    linked[order] = order[root]
+    return links, linked
 
 
 def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:

@@ -535,3 +535,16 @@ def test_neighbours_hard_rows(spark):
 def test_stopping_quantile():
     draw = np.random.default_rng(0).chisquare(ann.DIMS, 200_000)
     assert np.mean(draw <= ann._quantile(0.97)) == pytest.approx(0.97, abs=0.002)
+
+
+def test_links_between_blocks_add_up():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 30, rng.integers(1, 30))).astype(np.uint64) for _ in range(60)]
+    copies, block = rng.integers(1, 4, 60), rng.integers(0, 2, 60)
+    whole, _ = neardup.count_links(sets, copies, None, 0.5)
+    parts = neardup.count_links(sets, copies, block, 0.5)[0]
+    for b in (0, 1):
+        rows = np.flatnonzero(block == b)
+        parts[rows] += neardup.count_links([sets[i] for i in rows], copies[rows], None, 0.5)[0]
+    assert parts.tolist() == whole.tolist() == [
+        sum(int(copies[j]) for j in range(60) if j != i and len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.5) for i in range(60)]
