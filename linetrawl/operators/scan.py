@@ -62,6 +62,7 @@ def package_parts(routes: dict[str, DataFrame]) -> dict[str, DataFrame]:
     Documents and slides have two readers, their segments and their errors, so what was unpacked is
     written to the shared folder once.
     """
+    routes = {kind: rows.filter(F.col("content").isNotNull()) for kind, rows in routes.items()}
     parts = {"xlsx": office_source.xlsx_parts(routes["xlsx"])}
     for kind, unpack in (("docx", office_source.docx_parts), ("pptx", office_source.pptx_parts)):
         if kind in routes:
@@ -102,6 +103,10 @@ def scan(files: DataFrame | dict[str, DataFrame], spec: SearchSpec, office: bool
             names = names.unionByName(routes[kind].select("path"))
             failed = office_source.extract_errors(parts[kind])
             found = found.unionByName(failed.select("path", F.lit(None).cast("bigint").alias("n_hits"), "error"))
+    for kind in parts:
+        if "error" in routes[kind].columns:
+            unread = routes[kind].filter(F.col("error").isNotNull())
+            found = found.unionByName(unread.select("path", F.lit(None).cast("bigint").alias("n_hits"), "error"))
     packages = names.join(found, "path", "left")
     n_hits, no_reason = F.coalesce("n_hits", F.lit(0)).cast("bigint"), F.lit(None).cast("string")
     outcomes = texts.select("path", "outcome", "reason", "error", "n_hits").unionByName(

@@ -8,6 +8,7 @@ from dataclasses import replace
 from functools import reduce
 
 import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from linetrawl.functions.paths import basename, dir_parts, extension, glob_to_regex
@@ -16,6 +17,8 @@ from linetrawl.spec import ScanSpec
 from linetrawl.workspace import shared_dir
 
 FILE_SCHEMA = "path string, size bigint, mtime timestamp"
+#: A value of a column holds no more.
+MAX_BYTES = 2**31 - 65536
 _LISTING = FILE_SCHEMA + ", root string, is_dir boolean"
 
 
@@ -83,31 +86,57 @@ def read_binary(spark: SparkSession, roots: list[str], spec: ScanSpec = ScanSpec
 
 
 def read_routes(spark: SparkSession, roots: list[str], spec: ScanSpec = ScanSpec(), office: bool = False) -> dict[str, DataFrame]:
-    """Files with content, split by route when listed.
+    """Files with content, split by route, on mounted directories and on any file system that Arrow reads.
 
-    The source cannot skip content by a predicate on the path, so each route lists only the names it
-    reads, and files skipped by name are listed without content.
+    Files are listed, filtered and routed by name first, and only those that a route searches are opened. One
+    that cannot be read gets an ``error`` instead of content.
     """
-    def named(exts):
-        alternatives = ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in exts]
-        return "*{" + ",".join(alternatives) + "}"
-
-    groups = {"xlsx": XLSX, **({"docx": (".docx",), "pptx": (".pptx",)} if office else {})}
-    allowed = spec.extension_filter
-    taken = [e for exts in groups.values() for e in exts]
-    routes = {}
-    for kind, exts in groups.items():
-        routes[kind] = read_binary(spark, roots, spec, named(exts))
-    plain = named([e for e in allowed if e not in taken]) if allowed and set(allowed) - set(taken) else None
-    rest = read_binary(spark, roots, spec, plain)
-    routes["text"] = rest.filter(route(F.col("path"), office) == "text")
-    routes["skip"] = rest.drop("content").filter(route(F.col("path"), office) == "skip").withColumn(
-        "content", F.lit(None).cast("binary"))
+    manifest = walk_files(spark, roots, spec)
+    kinds = ("text", "xlsx", "docx", "pptx") if office else ("text", "xlsx")
+    routes = {kind: read_content(manifest.filter(route(F.col("path"), office) == kind)) for kind in kinds}
+    routes["skip"] = manifest.filter(route(F.col("path"), office) == "skip").withColumns(
+        {"content": F.lit(None).cast("binary"), "error": F.lit(None).cast("string")})
     return routes
 
 
+def _list_local(path: str) -> list[tuple]:
+    """``(name, is_dir, size, ms)`` of the entries; size is None for one that cannot be looked at. Linked directories are left out."""
+    found = []
+    with os.scandir(path) as entries:
+        for e in entries:
+            is_dir = e.is_dir()
+            if is_dir and e.is_symlink():
+                continue
+            try:
+                stat = e.stat()
+                found.append((e.name, is_dir, stat.st_size, stat.st_mtime_ns // 1_000_000))
+            except OSError:
+                found.append((e.name, False, None, None))
+    return found
+
+
+def _list_remote(path: str) -> list[tuple]:
+    files, bare = arrow_fs.FileSystem.from_uri(path)
+    found = files.get_file_info(arrow_fs.FileSelector(bare))
+    return [(f.base_name, f.type == arrow_fs.FileType.Directory, f.size, None if f.mtime_ns is None else f.mtime_ns // 1_000_000) for f in found]
+
+
+def _stat(root: str) -> tuple[bool, int | None, int | None] | None:
+    """``(is_dir, size, ms)`` of a root, None if there is no such path."""
+    if "://" in root:
+        files, bare = arrow_fs.FileSystem.from_uri(root)
+        f = files.get_file_info(bare)
+        if f.type == arrow_fs.FileType.NotFound:
+            return None
+        return f.type == arrow_fs.FileType.Directory, f.size, None if f.mtime_ns is None else f.mtime_ns // 1_000_000
+    if not os.path.exists(root):
+        return None
+    stat = os.stat(root)
+    return os.path.isdir(root), stat.st_size, stat.st_mtime_ns // 1_000_000
+
+
 def walk_files(spark: SparkSession, roots: list[str], spec: ScanSpec = ScanSpec()) -> DataFrame:
-    """Manifest of mounted directories with hidden names included.
+    """Manifest of mounted directories and of URIs that Arrow reads, with hidden names included.
 
     One job per directory level: every task lists some directories of the level, excluded ones are
     never descended into, and each level is a table in the shared folder, so a lost executor costs
@@ -115,7 +144,7 @@ def walk_files(spark: SparkSession, roots: list[str], spec: ScanSpec = ScanSpec(
     milliseconds, like those of the built-in source.
     """
     excluded = set(spec.exclude_dirs)
-    seeds = [(r, os.path.isdir(r)) for r in roots if r and os.path.exists(r)]
+    seeds = [(r, found) for r in roots if r and (found := _stat(r))]
     base = shared_dir(spark, "walk")
 
     def list_level(batches):
@@ -123,20 +152,12 @@ def walk_files(spark: SparkSession, roots: list[str], spec: ScanSpec = ScanSpec(
             found = []
             for root, path in zip(batch["root"].to_pylist(), batch["path"].to_pylist()):
                 try:
-                    with os.scandir(path) as entries:
-                        for e in entries:
-                            is_dir = e.is_dir()
-                            if is_dir and (e.name in excluded or e.is_symlink()):
-                                continue
-                            try:
-                                stat = e.stat()
-                            except OSError:
-                                found.append((posixpath.join(path, e.name), None, None, root, False))
-                                continue
-                            found.append((posixpath.join(path, e.name), stat.st_size,
-                                          stat.st_mtime_ns // 1_000_000, root, is_dir))
+                    entries = _list_remote(path) if "://" in path else _list_local(path)
                 except OSError:
                     continue
+                for name, is_dir, size, ms in entries:
+                    if not (is_dir and name in excluded):
+                        found.append((posixpath.join(path, name), size, ms, root, is_dir))
             if found:
                 paths, sizes, times, rts, dirs = zip(*found)
                 yield pa.RecordBatch.from_arrays([
@@ -145,15 +166,11 @@ def walk_files(spark: SparkSession, roots: list[str], spec: ScanSpec = ScanSpec(
                     pa.array(dirs, pa.bool_()),
                 ], names=["path", "size", "mtime", "root", "is_dir"])
 
-    single = [r for r, is_dir in seeds if not is_dir]
-    rows = []
-    for path in single:
-        stat = os.stat(path)
-        rows.append((path, stat.st_size, stat.st_mtime_ns // 1_000_000, posixpath.dirname(path)))
+    rows = [(path, size, ms, posixpath.dirname(path)) for path, (is_dir, size, ms) in seeds if not is_dir]
     files = spark.createDataFrame(rows, "path string, size bigint, mtime bigint, root string").select(
         "path", "size", F.timestamp_millis("mtime").alias("mtime"), "root")
     level = spark.createDataFrame(
-        [(r, i) for i, (r, is_dir) in enumerate(seeds) if is_dir], "path string, ord int"
+        [(r, i) for i, (r, (is_dir, _, _)) in enumerate(seeds) if is_dir], "path string, ord int"
     ).select("path", F.col("path").alias("root"))
     depth = 0
     while not level.isEmpty():
@@ -168,8 +185,21 @@ def walk_files(spark: SparkSession, roots: list[str], spec: ScanSpec = ScanSpec(
     return filter_manifest(files, rest).select("path", "size", "mtime")
 
 
+def _content(path: str) -> bytes:
+    if "://" in path:
+        files, bare = arrow_fs.FileSystem.from_uri(path)
+        with files.open_input_file(bare) as f:
+            if f.size() > MAX_BYTES:
+                raise OSError(f"{f.size()} bytes")
+            return f.read()
+    with open(path, "rb") as f:
+        if os.fstat(f.fileno()).st_size > MAX_BYTES:
+            raise OSError(f"{os.fstat(f.fileno()).st_size} bytes")
+        return f.read()
+
+
 def read_content(manifest: DataFrame) -> DataFrame:
-    """Add ``content`` to a manifest of mounted files; a file that cannot be read gets ``error``."""
+    """Add ``content`` to a manifest; a file that cannot be read, or not into one value, gets ``error``."""
     schema = manifest.schema.simpleString()[len("struct<"):-1].replace(":", " ")
 
     def load(batches):
@@ -177,8 +207,7 @@ def read_content(manifest: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 try:
-                    with open(row["path"][0].as_py(), "rb") as f:
-                        content, error = f.read(), None
+                    content, error = _content(row["path"][0].as_py()), None
                 except OSError as e:
                     content, error = None, f"extract_error: {e}"
                 yield pa.RecordBatch.from_arrays(

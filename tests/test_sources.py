@@ -235,3 +235,22 @@ def test_routes_are_split_when_listed(spark, tmp_path):
         assert sorted(r.path for df in routes.values() for r in df.collect()) == sorted(r.path for r in listed.collect())
         outcomes = [sorted(map(tuple, scan(f, SearchSpec(("needle",)), office_on)[0].collect())) for f in (routes, listed)]
         assert outcomes[0] == outcomes[1]
+
+
+@pytest.mark.parametrize("uri", [False, True])
+def test_routes_open_only_what_is_searched(spark, tmp_path, uri):
+    """Hidden names are read, files skipped by name never are, and unreadable ones become errors."""
+    top = tmp_path / "share"
+    (top / "deep").mkdir(parents=True)
+    (top / "deep" / "_list.txt").write_text("foo here")
+    (top / ".notes.md").write_text("foo there")
+    (top / "bad.xlsx").write_text("no package")
+    os.mkfifo(top / "film.mp4")  # opening it would wait for ever
+    (top / "gone.txt").symlink_to(top / "missing")
+    root = f"file://{top}" if uri else str(top)
+    routes = fs.read_routes(spark, [root], ScanSpec(("*",)))
+    outcomes, hits = scan(routes, SearchSpec(("foo",)))
+    got = {os.path.basename(r.path): (r.outcome, r.n_hits) for r in outcomes.collect()}
+    assert got.pop("gone.txt", ("error", 0)) == ("error", 0)
+    assert got == {"_list.txt": ("hit", 1), ".notes.md": ("hit", 1), "bad.xlsx": ("no_hit", 0), "film.mp4": ("skip", 0)}
+    assert sorted(os.path.basename(r.path) for r in hits.collect()) == [".notes.md", "_list.txt"]
