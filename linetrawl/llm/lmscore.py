@@ -30,6 +30,9 @@ _END, _NEW = b"", b" "
 
 BLOCKS = ("block long, doc_id long, held_out boolean, n_bytes long, n_tokens int, ids binary, "
           "token binary, kind int, n long, place int")
+TYPES = "token binary, kind int, n long, c long, first boolean"
+#: Kinds of the token before: start, sentence end, other mark, word.
+KINDS = 4
 
 
 def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -56,35 +59,40 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
     blocks = stored(rows.mapInArrow(_blocks, BLOCKS), "blocks")
     entries = blocks.filter("token IS NOT NULL").select("block", "token", "kind", "n", "place")
-    types = stored(entries.groupBy("token", "kind").agg(F.sum("n").alias("n")), "types")
-    counts = types.groupBy("token").agg(F.sum("n").alias("c"))
-    once = types.groupBy("token").agg(F.sum("n").alias("c"), F.max(F.when(F.col("n") > 0, F.col("kind"))).alias("kind")).filter("c = 1")
-    new = once.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit(_NEW).alias("token"), "kind", "n")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    types = stored(_by_head(entries.select("token", "kind", "n")).mapInArrow(_types, TYPES), "types")
+    once = F.when((F.col("c") == 1) & (F.col("n") == 1), 1).otherwise(0)
+    sums = types.agg(F.sum("n"), F.count(F.when(F.col("first") & (F.col("c") > 0), 1)), *[F.sum(F.when(F.col("kind") == k, once)) for k in range(KINDS)]).first()
+    total, distinct, new = sums[0] or 0, sums[1], np.array([x or 0 for x in sums[2:]], np.int64)
 
-    tables = _tables(types.unionByName(new))
+    tables = _tables(types.select("token", "kind", "n"), new)
     shared = docs.sparkSession.sparkContext.broadcast(tables)
-    ordered = types.withColumn("head", F.substring("token", 1, SHORT - 1)).repartition("head").sortWithinPartitions("head", "token")
-    weights, refine = _learned(ordered.unionByName(new.withColumn("head", F.col("token"))), shared)
-    unknown = Mixer(tables, weights, refine).run([_NEW] * 4, np.arange(4, dtype=np.int32), np.zeros(4, np.int64))
+    weights, refine = _learned(_by_head(types.filter("n > 0").select("token", "kind", "n")), shared, new)
+    unknown = Mixer(tables, weights, refine).run([_NEW] * KINDS, np.arange(KINDS, dtype=np.int32), np.zeros(KINDS, np.int64))
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer = Mixer(shared.value, weights, refine)
-        for token, kind, n in _chunks(batches):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(token, pa.binary()), pa.array(kind), pa.array(_per_token(token, n)), pa.array(mixer.run(token, kind, n))], names=["token", "kind", "c", "logp"])
-
-    scored = ordered.mapInArrow(scores, "token binary, kind int, c long, logp double")
-    known = entries.join(scored, ["token", "kind"]).select("block", "place", "kind", "c", "logp")
+        for token, kind, n, block, place in _chunks(batches):
+            token, kind, n, entry = _merged(token, kind, n)
+            c, logp = _per_token(token, n)[entry], mixer.run(token, kind, n)[entry]
+            order = np.argsort(block, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block[rows[:1]]), pa.array([_packed(place[rows])]), pa.array([_packed(np.minimum(c[rows], 2**31 - 1))]), pa.array([_packed(kind[entry[rows]])]),
+                     pa.array([logp[rows].astype(np.float32).tobytes()]), pa.array([c[rows][c[rows] >= 2**31 - 1].tolist()], pa.list_(pa.int64()))],
+                    names=["block", "place", "c", "kind", "logp", "large"])
+
+    known = _by_head(entries).mapInArrow(scores, "block long, place binary, c binary, kind binary, logp binary, large array<long>")
     texts_ = blocks.filter("token IS NULL").select(*[F.col(c).alias(c) for c in ("block", "doc_id", "held_out", "n_bytes", "ids")])
     floor = math.log10(total + 0.5 * (distinct + 1))
 
     def total_up(key: tuple, vocabulary: pa.Table, docs: pa.Table) -> pa.Table:
-        place = np.asarray(vocabulary.column("place"))
+        place = np.concatenate([_unpacked(x.as_py()) for x in vocabulary.column("place")])
         c, logp, spelt = np.zeros(len(place)), np.zeros(len(place)), np.zeros(len(place))
-        c[place], logp[place] = np.asarray(vocabulary.column("c")), np.asarray(vocabulary.column("logp"))
+        found = np.concatenate([_unpacked(x.as_py()) for x in vocabulary.column("c")]).astype(float)
+        found[found >= 2**31 - 1] = np.array([x for large in vocabulary.column("large").to_pylist() for x in large])
+        c[place], logp[place] = found, np.concatenate([np.frombuffer(x.as_py(), np.float32) for x in vocabulary.column("logp")])
         escape = np.zeros(len(place))
-        escape[place] = unknown[np.asarray(vocabulary.column("kind"))]
+        escape[place] = unknown[np.concatenate([_unpacked(x.as_py()) for x in vocabulary.column("kind")])]
         spelt[c == 0] = logp[c == 0]
         logp[c == 0] = escape[c == 0]
         base = np.log10(c + 0.5) - floor
@@ -100,6 +108,11 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
         total_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 
 
+def _by_head(entries: DataFrame) -> DataFrame:
+    """All entries whose tokens begin alike in one task, sorted."""
+    return entries.withColumn("head", F.substring("token", 1, SHORT - 1)).repartition("head").sortWithinPartitions("head", "token", "kind")
+
+
 # ------------------------------------------------------------------------------------ tokens
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -164,50 +177,74 @@ class _Block:
         for at in range(0, len(self.docs), 1000):
             some = list(zip(*self.docs[at:at + 1000]))
             yield batch(len(some[0]), block=[number] * len(some[0]), doc_id=some[0], held_out=some[1], n_bytes=some[2], n_tokens=some[3], ids=some[4])
-        for at in range(0, len(self.entries), 50000):
-            some = self.entries[at:at + 50000]
-            counts = np.zeros(len(some), np.int64)
-            counted = self.counts[at:at + len(some)]
-            counts[:len(counted)] = counted
-            yield batch(len(some), block=[number] * len(some), token=[w for w, _ in some], kind=[k for _, k in some], n=counts, place=np.arange(at, at + len(some)))
+        counts = np.zeros(len(self.entries), np.int64)
+        counts[:len(self.counts)] = self.counts[:len(counts)]
+        order = sorted(range(len(self.entries)), key=self.entries.__getitem__)  # neighbours share their beginnings and compress
+        for at in range(0, len(order), 50000):
+            some = order[at:at + 50000]
+            word, kind = zip(*[self.entries[i] for i in some])
+            yield batch(len(some), block=[number] * len(some), token=word, kind=kind, n=counts[some], place=some)
 
 
 def _packed(ids: np.ndarray) -> bytes:
     """Byte planes, compressed: most ids are small."""
-    return zstandard.compress(np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(ids.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
+    if not data:
+        return np.empty(0, np.int32)
     planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view(np.int32).reshape(-1)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]):
-    """Entries ``(tokens, kinds, counts)`` in the order of their codes, cut only between different heads."""
-    held: list[list] = [[], [], [], []]
+    """Entries ``(tokens, kinds, counts, and any further columns)`` in the order of their codes, cut only between different heads."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
-        names = batch.schema.names
-        held = [h + batch.column(names.index(c)).to_pylist() for h, c in zip(held, ("head", "token", "kind", "n"))]
-        if len(held[0]) >= CHUNK and held[0][0] != held[0][-1]:
-            cut = next(i for i in range(len(held[0]) - 1, 0, -1) if held[0][i] != held[0][i - 1])
-            yield _sorted([h[:cut] for h in held])
-            held = [h[cut:] for h in held]
-    if held[0]:
-        yield _sorted(held)
-
-
-def _sorted(held: list[list]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    _, token, kind, n = held
-    order = range(len(token))
+        held.append(batch)
+        size += batch.num_rows
+        if size >= CHUNK:
+            table = pa.Table.from_batches(held).combine_chunks()
+            head = table.column("head").to_pylist()
+            cut = next((i for i in range(len(head) - 1, 0, -1) if head[i] != head[i - 1]), 0)
+            if cut:
+                yield _sorted(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+            size = len(head) - cut
+    if size:
+        yield _sorted(pa.Table.from_batches(held))
+
+
+def _sorted(table: pa.Table) -> tuple:
+    token = table.column("token").to_pylist()
+    columns = [np.asarray(table.column(c)) for c in ("kind", "n", "block", "place") if c in table.column_names]
     if re.search(rb"[\x00-\x1f]", b"".join(token)):  # a byte below the space that ends a code
-        order = sorted(order, key=lambda i: (_code(token[i]), kind[i]))
-    return [token[i] for i in order], np.array([kind[i] for i in order], np.int32), np.array([n[i] for i in order], np.int64)
+        order = sorted(range(len(token)), key=lambda i: (_code(token[i]), columns[0][i]))
+        token, columns = [token[i] for i in order], [c[order] for c in columns]
+    return token, *columns
+
+
+def _merged(token: list[bytes], kind: np.ndarray, n: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbouring entries of the same token and kind as one with their sum, and the one of each entry."""
+    new = np.concatenate([[True], np.array([a != b for a, b in zip(token, token[1:])], bool) | (kind[1:] != kind[:-1])])
+    first = np.flatnonzero(new)
+    return [token[i] for i in first], kind[first], np.add.reduceat(n, first), np.cumsum(new) - 1
+
+
+def _types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each token and kind once, with its count, that of the token, and whether it is the token's first."""
+    for token, kind, n in _chunks(batches):
+        token, kind, n, _ = _merged(token, kind, n)
+        first = [True] + [a != b for a, b in zip(token, token[1:])]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(token, pa.binary()), pa.array(kind), pa.array(n), pa.array(_per_token(token, n)), pa.array(first)], names=["token", "kind", "n", "c", "first"])
 
 
 def _per_token(token: list[bytes], n: np.ndarray) -> np.ndarray:
     """For each entry the count of its token after whatever kind; equal tokens are neighbours."""
-    first = np.array([True] + [a != b for a, b in zip(token, token[1:])])
-    starts = np.flatnonzero(first)
+    starts = np.flatnonzero(np.array([True] + [a != b for a, b in zip(token, token[1:])]))
     return np.repeat(np.add.reduceat(n, starts), np.diff([*starts, len(token)]))
 
 
@@ -239,12 +276,15 @@ def _before(flat: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return [one, one | two << np.uint64(8), one | two << np.uint64(8) | three << np.uint64(16)]
 
 
-def _tables(types: DataFrame) -> np.ndarray:
-    """Counts of zeros and ones by slot, ``2 x (PREDICTORS * SLOTS)``; at most so many sums reach the driver."""
-    grams = types.filter("n > 0").select("token", "kind", "n").mapInArrow(_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+def _tables(types: DataFrame, new: np.ndarray) -> np.ndarray:
+    """Counts of zeros and ones by slot, ``PREDICTORS * SLOTS x 2``; at most so many sums reach the driver."""
+    grams = types.filter("n > 0").mapInArrow(_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     sums = grams.mapInArrow(_gram_bits, "slot int, zeros long, ones long").groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
-    tables = np.zeros((2, PREDICTORS * SLOTS), np.float32)
-    tables[:, np.asarray(sums.column("slot"))] = np.asarray(sums.column("zeros")), np.asarray(sums.column("ones"))
+    tables = np.zeros((PREDICTORS * SLOTS, 2), np.float32)
+    tables[np.asarray(sums.column("slot"))] = np.column_stack([np.asarray(sums.column("zeros")), np.asarray(sums.column("ones"))])
+    unseen = pa.RecordBatch.from_arrays([pa.array([_NEW] * KINDS, pa.binary()), pa.array(range(KINDS), pa.int32()), pa.array(new)], names=["token", "kind", "n"])
+    for batch in _gram_bits(_grams(iter([unseen]))):
+        tables[np.asarray(batch.column(0))] += np.column_stack([np.asarray(batch.column(1)), np.asarray(batch.column(2))])
     return tables
 
 
@@ -320,6 +360,7 @@ class Mixer:
         self.slopes = np.full((_GATES, PREDICTORS + 1), 1e-3)
         self.mass = np.zeros(_GATES)
         self.refine = np.zeros((_GATES, _STEPS, 2)) if refine is None else refine
+        self.ones, self.seen = self.refine[:, :, 1].ravel(), self.refine.sum(2).ravel()
 
     def run(self, token: list[bytes], kind: np.ndarray, n: np.ndarray) -> np.ndarray:
         """log10 probability of each entry; entries are sorted by token."""
@@ -367,42 +408,50 @@ class Mixer:
     def _bit(self, contexts, value, i, n, deep, once):
         """Log probability of bit ``i`` of each value."""
         node = np.uint64(1 << i) | value >> np.uint64(8 - i)
-        bit = (value >> np.uint64(7 - i) & np.uint64(1)).astype(float)
-        counts = []
-        for table, context in enumerate(contexts):
-            slot = _slot(table, context, node)
-            counts.append((self.tables[0][slot], self.tables[1][slot]))
+        one = (value >> np.uint64(7 - i) & np.uint64(1)).astype(bool)
+        bit = one.astype(np.float32)
+        counts = [self.tables[_slot(table, context, node)].T for table, context in enumerate(contexts)]
         if deep is not None:
             counts += [deep[:2], deep[2:]]
-        inputs = np.empty((len(value), PREDICTORS + 1))
-        inputs[:, -1] = 1
+        inputs = np.empty((PREDICTORS + 1, len(value)), np.float32)
+        inputs[-1] = 1
         gate = []
         for k, (zeros, ones) in enumerate(counts):
+            zeros, ones = zeros.astype(np.float32), ones.astype(np.float32)
             if self.learns:
                 zeros, ones = np.maximum(zeros - (1 - bit), 0), np.maximum(ones - bit, 0)
-            inputs[:, k] = np.log((ones + 0.4) / (zeros + 0.4))
+            np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4)), out=inputs[k])
             if k >= 3:
                 gate.append(np.frexp(zeros + ones)[1])
         gate = np.minimum(gate[0], 15) * 3 + np.minimum(gate[1], 2)
-        raw = np.clip((inputs * self.weights[gate]).sum(1), -12, 12)
+        raw = np.zeros(len(value), np.float32)
+        for k in range(PREDICTORS + 1):
+            raw += inputs[k] * self.weights[:, k].astype(np.float32)[gate]
+        np.clip(raw, -12, 12, out=raw)
         p = 1 / (1 + np.exp(-raw))
-        step = np.rint((raw + 12) * ((_STEPS - 1) / 24)).astype(np.int64)
+        step = np.rint((raw + 12) * np.float32((_STEPS - 1) / 24)).astype(np.int64)
+        cell = gate * _STEPS + step
         if self.learns:
             n = np.where(once & (gate >= 3), 0, n)  # without itself the word is new: it teaches spelling only
-            np.add.at(self.refine, (gate, step, bit.astype(np.int64)), n)
+            self.refine += np.bincount(cell * 2 + one, n, self.refine.size).reshape(self.refine.shape)
             error = (bit - p) * n
             mass = np.bincount(gate, n, _GATES)
-            slopes = np.stack([np.bincount(gate, error * inputs[:, k], _GATES) for k in range(PREDICTORS + 1)], 1) / np.maximum(mass, 1)[:, None]
+            slopes = np.stack([np.bincount(gate, error * inputs[k], _GATES) for k in range(PREDICTORS + 1)], 1) / np.maximum(mass, 1)[:, None]
             self.slopes += slopes * slopes
             self.weights += _RATE * slopes / np.sqrt(self.slopes)
             self.mass += mass
-        seen = self.refine[gate, step]
-        mapped = (seen[:, 1] + 8 * p) / (seen.sum(1) + 8)
-        p = np.clip((p + mapped) / 2, 1e-7, 1 - 1e-7)
-        return np.log(np.where(bit > 0, p, 1 - p))
+            return 0.0
+        p = np.clip((p + (self.ones[cell] + 8 * p) / (self.seen[cell] + 8)) / 2, 1e-7, 1 - 1e-7)
+        return np.log(np.where(one, p, 1 - p))
+
+
+def _with_new(ordered: DataFrame, new: np.ndarray) -> DataFrame:
+    """The entries, and in a partition of their own how often a new word comes after each kind."""
+    rows = [(_NEW, k, int(n), _NEW) for k, n in enumerate(new) if n]
+    return ordered.unionByName(ordered.sparkSession.createDataFrame(rows, "token binary, kind int, n long, head binary")) if rows else ordered
 
 
-def _learned(ordered: DataFrame, tables) -> tuple[np.ndarray, np.ndarray]:
+def _learned(ordered: DataFrame, tables, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights, averaged over the tasks by what each has seen of a gate, and the summed refinement map."""
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer = Mixer(tables.value, learns=True)
@@ -411,10 +460,10 @@ def _learned(ordered: DataFrame, tables) -> tuple[np.ndarray, np.ndarray]:
         values = np.concatenate([(mixer.weights * mixer.mass[:, None]).ravel(), mixer.mass, mixer.refine.ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)), pa.int32()), pa.array(values)], names=["i", "value"])
 
-    sums = ordered.filter("n > 0").mapInArrow(learn, "i int, value double").groupBy("i").agg(F.sum("value").alias("value")).orderBy("i").toArrow()
+    sums = _with_new(ordered, new).mapInArrow(learn, "i int, value double").groupBy("i").agg(F.sum("value").alias("value")).orderBy("i").toArrow()
     values = np.asarray(sums.column("value")) if sums.num_rows else np.zeros(_GATES * (PREDICTORS + 2 + 2 * _STEPS))
     cut = _GATES * (PREDICTORS + 1)
     mass = values[cut:cut + _GATES]
-    start = Mixer(np.zeros((2, 1), np.float32)).weights
+    start = Mixer(np.zeros((1, 2), np.float32)).weights
     weights = np.where(mass[:, None] > 0, values[:cut].reshape(_GATES, -1) / np.maximum(mass, 1e-9)[:, None], start)
     return weights, values[cut + _GATES:].reshape(_GATES, _STEPS, 2)

@@ -137,7 +137,7 @@ def test_scores_whole_table(spark, sf_dir, documents):
 def test_mixer_is_a_distribution():
     """Over all words of up to two letters of a small alphabet, and all that begin otherwise, probabilities sum to 1 at most."""
     token = sorted([b"a", b"ab", b"abcdefgh", b"abcdefgx", b"b"])
-    tables = np.zeros((2, lmscore.PREDICTORS * lmscore.SLOTS), np.float32)
+    tables = np.zeros((lmscore.PREDICTORS * lmscore.SLOTS, 2), np.float32)
     n = np.array([4, 3, 2, 2, 9])
     mixer = lmscore.Mixer(tables)
     seen = mixer.run([*token, lmscore._NEW], np.zeros(6, np.int32), np.array([*n, 1]))
