@@ -8,10 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from linetrawl.llm.common import stored
+from linetrawl.llm.common import groups, stored
 
 #: Slots of each hashed table of bit counts.
 SLOTS = 1 << 20
@@ -29,31 +31,40 @@ _M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _END, _NEW = b"", b" "
 
 BLOCKS = ("block long, doc_id long, held_out boolean, n_bytes long, n_tokens int, ids binary, "
-          "token binary, kind int, n long, place int")
+          "token binary, kind int, n long, place int, bucket int, keys binary, counts binary, words binary")
 TYPES = "token binary, kind int, n long, c long, first boolean"
 #: Kinds of the token before: start, sentence end, other mark, word.
 KINDS = 4
+#: Runs of two and of three tokens are counted by hashes of so many bits, in so many ranges each.
+RUN_BITS, _RANGE_BITS = 48, 9
+RANGES = 1 << _RANGE_BITS
+#: Classes of how often a word context was seen, by powers of two; tokens that one step of learning their weights takes.
+SEEN, STEP = 32, 1 << 16
 
 
 def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` of every row.
 
     Texts (null: empty) are lower-cased in A to Z and cut into words at the six ASCII white spaces; one end follows. A
-    word is coded as its bytes and a space, the end and any word not seen in learning as one byte, bit by bit. Every bit is predicted from
+    word is coded as its bytes and a space, the end as one byte, and so, for ``score_unknown_class``, any word not seen in learning, bit by bit. Every bit is predicted from
     the counts of its context: the last 1, 2 and 3 bytes of the token, its whole prefix, and the prefix and the kind
     of token before (start, sentence end, other mark, word). The predictions are mixed in the
     logistic domain with weights gated by the counts of the two last, and refined by an adaptive map of
-    the mixed probability. All counts are those of the rows that are not held out; weights and map are learned online from
+    the mixed probability. That probability of a token is then mixed with the shares it has after the previous word and after the
+    previous two, ``(1 - v)((1 - u) p1 + u p2) + v p3``, with weights ``u`` and ``v`` gated by how often the one or two
+    words were seen; so what is mixed stays a distribution over tokens. All counts are those of the rows that are not held out; weights, gates and map are learned online from
     the same tokens, each without its own occurrence: so a word that occurs once teaches how likely a new one is.
     ``score`` is the log10 probability of the token sequence, new words counting as one unknown word, as they do in
-    ``base_score``; ``bits_per_byte`` adds the bits that spell the new words and divides by the bytes of the text and its end.
+    ``base_score``; ``bits_per_byte`` spells the new words and divides by the bytes of the text and its end.
 
     ``base_score`` is the smoothed unigram score of the same tokens, ``n_known`` counts those seen in learning. Without
     rows to learn from all predictions are even. Repeated rows count and are scored each; an empty
     table gives no rows; other columns are ignored.
 
     Tokens are counted per block of documents, so a frequent word is one row a block, and scored once: its
-    probability then goes to the blocks that hold it. The counts of prefixes beyond ``SHORT`` bytes stay in the
+    bit-wise probability then goes to the blocks that hold it. Runs of two and three tokens are counted per
+    block as well, and summed by ranges of their hashes, so no run is hot; the sums go back to the blocks, whose texts are
+    mixed token by token. Rows to learn from do not count their own token in its word contexts. The counts of prefixes beyond ``SHORT`` bytes stay in the
     partition of those bytes; the other contexts are tables of ``SLOTS`` slots, broadcast.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
@@ -81,30 +92,32 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
                      pa.array([logp[rows].astype(np.float32).tobytes()]), pa.array([c[rows][c[rows] >= 2**31 - 1].tolist()], pa.list_(pa.int64()))],
                     names=["block", "place", "c", "kind", "logp", "large"])
 
-    known = _by_head(entries).mapInArrow(scores, "block long, place binary, c binary, kind binary, logp binary, large array<long>")
-    texts_ = blocks.filter("token IS NULL").select(*[F.col(c).alias(c) for c in ("block", "doc_id", "held_out", "n_bytes", "ids")])
+    known = stored(_by_head(entries).mapInArrow(scores, "block long, place binary, c binary, kind binary, logp binary, large array<long>"), "known")
+    runs = blocks.filter("keys IS NOT NULL").select("bucket", "block", "keys", "counts").repartition("bucket").sortWithinPartitions("bucket")
+    runs = stored(runs.mapInArrow(_run_sums, "block long, bucket int, sums binary"), "runs")
+    words = blocks.filter("words IS NOT NULL").select("block", "words")
+    parts = known.unionByName(runs, allowMissingColumns=True).unionByName(words, allowMissingColumns=True).groupBy("block")
+    texts_ = blocks.filter("ids IS NOT NULL").select(*[F.col(c).alias(c) for c in ("block", "doc_id", "held_out", "n_bytes", "ids")]).groupBy("block")
+
+    def gates(key: tuple, parts: pa.Table, docs: pa.Table) -> pa.Table:
+        stats = _gate_stats(_Texts(parts, docs, unknown))
+        return pa.table({"i": pa.array(np.arange(stats.size), pa.int32()), "value": pa.array(stats.ravel())})
+
+    found = parts.cogroup(texts_)
+    sums = found.applyInArrow(gates, "i int, value double").groupBy("i").agg(F.sum("value").alias("value")).orderBy("i").toArrow()
+    gate = _gate_weights(np.asarray(sums.column("value")).reshape(4, SEEN) if sums.num_rows else np.zeros((4, SEEN)))
     floor = math.log10(total + 0.5 * (distinct + 1))
 
-    def total_up(key: tuple, vocabulary: pa.Table, docs: pa.Table) -> pa.Table:
-        place = np.concatenate([_unpacked(x.as_py()) for x in vocabulary.column("place")])
-        c, logp, spelt = np.zeros(len(place)), np.zeros(len(place)), np.zeros(len(place))
-        found = np.concatenate([_unpacked(x.as_py()) for x in vocabulary.column("c")]).astype(float)
-        found[found >= 2**31 - 1] = np.array([x for large in vocabulary.column("large").to_pylist() for x in large])
-        c[place], logp[place] = found, np.concatenate([np.frombuffer(x.as_py(), np.float32) for x in vocabulary.column("logp")])
-        escape = np.zeros(len(place))
-        escape[place] = unknown[np.concatenate([_unpacked(x.as_py()) for x in vocabulary.column("kind")])]
-        spelt[c == 0] = logp[c == 0]
-        logp[c == 0] = escape[c == 0]
-        base = np.log10(c + 0.5) - floor
-        found = [_unpacked(b.as_py()) for b in docs.column("ids")]
-        score, spelling = (np.array([x[i].sum() for i in found]) for x in (logp, spelt))
+    def total_up(key: tuple, parts: pa.Table, docs: pa.Table) -> pa.Table:
+        t = _Texts(parts, docs, unknown)
+        score, whole = t.per_doc(t.mixed(gate, spells=False)), t.per_doc(t.mixed(gate))
         return pa.table({
-            "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(map(len, found), pa.int64()),
-            "n_known": pa.array([int((c[i] > 0).sum()) for i in found], pa.int64()), "train_tokens": pa.array([total] * len(found), pa.int64()),
-            "base_score": pa.array([float(base[i].sum()) for i in found], pa.float64()), "score": pa.array(score, pa.float64()),
-            "bits_per_byte": pa.array(-(score + spelling) * math.log2(10) / (np.asarray(docs.column("n_bytes")) + 1), pa.float64())})
+            "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(t.sizes, pa.int64()),
+            "n_known": pa.array(t.per_doc((t.c > 0)[t.ids].astype(float)).astype(np.int64)), "train_tokens": pa.array([total] * len(t.sizes), pa.int64()),
+            "base_score": pa.array(t.per_doc((np.log10(t.c + 0.5) - floor)[t.ids]), pa.float64()), "score": pa.array(score, pa.float64()),
+            "bits_per_byte": pa.array(-whole * math.log2(10) / (np.asarray(docs.column("n_bytes")) + 1), pa.float64())})
 
-    return known.groupBy("block").cogroup(texts_.groupBy("block")).applyInArrow(
+    return found.applyInArrow(
         total_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 
 
@@ -145,6 +158,7 @@ class _Block:
         self.places: tuple[dict, ...] = ({}, {}, {}, {})
         self.entries: list[tuple[bytes, int]] = []
         self.after: list[int] = []
+        self.words: list[int] = []
         self.counts = np.zeros(1, np.int64)
 
     def add(self, doc_id, held_out, text) -> None:
@@ -156,6 +170,7 @@ class _Block:
                 place = places[kind][word] = len(entries)
                 entries.append((word, kind))
                 after.append(_kind_after(word) if word else 0)
+                self.words.append(xxhash.xxh3_64_intdigest(word))
             ids.append(place)
             kind = after[place]
         ids = np.array(ids, np.int32)
@@ -184,6 +199,21 @@ class _Block:
             some = order[at:at + 50000]
             word, kind = zip(*[self.entries[i] for i in some])
             yield batch(len(some), block=[number] * len(some), token=word, kind=kind, n=counts[some], place=some)
+        words = np.array(self.words, np.uint64)
+        yield batch(1, block=[number], words=[words.tobytes()])
+        found = [_unpacked(d[4]) for d in self.docs]
+        sizes = np.array([len(x) for x in found])
+        learned = np.repeat(np.array([not d[1] for d in self.docs], float), sizes)
+        for order, runs in enumerate(_runs(words[np.concatenate(found)], sizes)):
+            keys, place = np.unique(runs, return_inverse=True)
+            n = np.bincount(place, learned, len(keys)).astype(np.int64)
+            cuts = _range_cuts(keys)
+            filled = np.flatnonzero(np.diff(cuts))
+            for at in range(0, len(filled), 64):
+                some = filled[at:at + 64]
+                yield batch(len(some), block=[number] * len(some), bucket=some + order * RANGES,
+                            keys=[_planes(np.diff(keys[cuts[i]:cuts[i + 1]], prepend=np.uint64(i << RUN_BITS - _RANGE_BITS)), 5) for i in some],
+                            counts=[_planes(n[cuts[i]:cuts[i + 1]], 4) for i in some])
 
 
 def _packed(ids: np.ndarray) -> bytes:
@@ -198,6 +228,139 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.int32).reshape(-1)
 
 
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of each value as planes, compressed."""
+    return zstandard.compress(np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes(), 1)
+
+
+def _from_planes(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view(np.uint64).ravel()
+
+
+# ------------------------------------------------------------------------------------ word contexts
+def _runs(words: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Hashes of each token with the one and with the two before it; texts of ``sizes`` tokens follow each other."""
+    first = np.cumsum(sizes) - sizes
+    one = _previous(words, first, np.uint64(1))
+    two = _previous(one, first, np.uint64(2))
+    run = words
+    for before, factor in ((one, _M[0]), (two, _M[1])):
+        run = (run ^ (before * factor)) * _M[0]
+        run ^= run >> np.uint64(29)
+        yield run * _M[1] >> np.uint64(64 - RUN_BITS)
+
+
+def _previous(values: np.ndarray, first: np.ndarray, start) -> np.ndarray:
+    out = np.concatenate([values[:1], values[:-1]])
+    out[first] = start
+    return out
+
+
+def _range_cuts(keys: np.ndarray) -> np.ndarray:
+    return np.searchsorted(keys, np.arange(RANGES + 1, dtype=np.uint64) << np.uint64(RUN_BITS - _RANGE_BITS))
+
+
+def _run_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block and range the sums over all blocks, in the order of the block's hashes."""
+    for (bucket,), rows in groups(batches, 1):
+        keys = [np.cumsum(_from_planes(k, 5)) for k in rows[2]]
+        n = np.concatenate([_from_planes(c, 4) for c in rows[3]]).astype(float)
+        _, place = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.bincount(place, n)[place].astype(np.int64)
+        cuts = np.cumsum([len(k) for k in keys])[:-1]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(rows[1], pa.int64()), pa.array([bucket] * len(keys), pa.int32()), pa.array([_planes(x, 6) for x in np.split(sums, cuts)], pa.binary())],
+            names=["block", "bucket", "sums"])
+
+
+class _Texts:
+    """The tokens of a block's texts with their counts, alone and after one and two words."""
+
+    def __init__(self, parts: pa.Table, docs: pa.Table, unknown: np.ndarray):
+        vocabulary = parts.filter(pa.compute.is_valid(parts.column("place")))
+        place = np.concatenate([_unpacked(x.as_py()) for x in vocabulary.column("place")])
+        found = np.concatenate([_unpacked(x.as_py()) for x in vocabulary.column("c")]).astype(float)
+        found[found >= 2**31 - 1] = np.array([x for large in vocabulary.column("large").to_pylist() for x in large])
+        #: By place: count in learning, log10 probability that spells a token, and that of a new token.
+        self.c, self.spelt, self.escape = np.zeros((3, len(place)))
+        self.c[place], self.spelt[place] = found, np.concatenate([np.frombuffer(x.as_py(), np.float32) for x in vocabulary.column("logp")])
+        self.escape[place] = unknown[np.concatenate([_unpacked(x.as_py()) for x in vocabulary.column("kind")])]
+
+        found = [_unpacked(b.as_py()) for b in docs.column("ids")]
+        self.sizes = np.array([len(x) for x in found])
+        self.first, self.ids = np.cumsum(self.sizes) - self.sizes, np.concatenate(found)
+        self.own = np.repeat(~np.asarray(docs.column("held_out").combine_chunks().fill_null(False)).astype(bool), self.sizes)
+        words = np.frombuffer(next(x for x in parts.column("words").to_pylist() if x is not None), np.uint64)
+        texts_ = self.c[self.ids[self.sizes.cumsum()[0] - 1]]  # the end of a text: as many as texts were learned
+        sums = parts.filter(pa.compute.is_valid(parts.column("sums"))).select(["bucket", "sums"]).sort_by("bucket")
+        bucket = np.asarray(sums.column("bucket"))
+        #: By token: how often its context was seen, and it after that; each without the token itself where it was learned.
+        self.seen, self.after = [], []
+        context = self.c[self.ids]
+        for order, runs in enumerate(_runs(words[self.ids], self.sizes)):
+            part = sums.column("sums").filter(pa.array(bucket // RANGES == order))
+            after = np.concatenate([_from_planes(x.as_py(), 6) for x in part]).astype(float)[np.unique(runs, return_inverse=True)[1]]
+            self.seen.append(np.maximum(_previous(context, self.first, texts_) - self.own, 0))
+            self.after.append(np.maximum(after - self.own, 0))
+            context = after
+
+    def per_doc(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, self.first)
+
+    def gates(self, some=slice(None)) -> list[np.ndarray]:
+        return [np.minimum(np.frexp(seen[some])[1], SEEN - 1) for seen in self.seen]
+
+    def shares(self, some=slice(None)) -> list[np.ndarray]:
+        return [after[some] / np.maximum(seen[some], 1) for seen, after in zip(self.seen, self.after)]
+
+    def mixed(self, weights: np.ndarray, spells: bool = True) -> np.ndarray:
+        """log10 probability of each token; unless it ``spells``, any new token is the same one.
+
+        The bits of a new word lead off the known ones, which pays for its being new. What is spelt never takes
+        the code of an unknown word, whose probability goes to all others.
+        """
+        alone = (self.spelt - np.log1p(-10 ** self.escape) / math.log(10) if spells else np.where(self.c == 0, self.escape, self.spelt))[self.ids]
+        u, v = (w[g] for w, g in zip(weights, self.gates()))
+        p2, p3 = self.shares()
+        with np.errstate(divide="ignore"):
+            after = np.log((1 - v) * u * p2 + v * p3)
+        return np.logaddexp(alone * math.log(10) + np.log((1 - u) * (1 - v)), after) / math.log(10)
+
+
+def _gate_stats(t: _Texts) -> np.ndarray:
+    """By gate of the previous word and of the two: what their shares explain of the learned tokens, and all there is to explain.
+
+    Expectation-maximisation in steps: each takes ``STEP`` tokens with the weights of the steps before. A token
+    learned once is a new one without itself.
+    """
+    alone = np.where(t.c <= 1, t.escape + t.spelt, t.spelt)
+    stats = np.zeros((4, SEEN))
+    rows = np.flatnonzero(t.own)
+    for at in range(0, len(rows), STEP):
+        some = rows[at:at + STEP]
+        p1, (p2, p3), (g2, g3) = 10 ** alone[t.ids[some]], t.shares(some), t.gates(some)
+        for _ in range(1 if at else 5):
+            u, v = (w[g] for w, g in zip(_gate_weights(stats), (g2, g3)))
+            one, two, three = (1 - v) * (1 - u) * p1, (1 - v) * u * p2, v * p3
+            whole = np.maximum(one + two + three, 1e-300)
+            step = np.stack([np.bincount(g, w, SEEN) for g, w in ((g2, two / whole), (g2, (one + two) / whole), (g3, three / whole), (g3, np.ones(len(some))))])
+            if not at:
+                stats = step
+        if at:
+            stats += step
+    return stats
+
+
+def _gate_weights(stats: np.ndarray) -> np.ndarray:
+    """Weights of the previous word and of the two by gate; an unseen context has none."""
+    weights = np.clip((stats[::2] + 0.5) / (stats[1::2] + 1), 0, 1 - 1e-6)
+    weights[:, 0] = 0
+    return weights
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]):
     """Entries ``(tokens, kinds, counts, and any further columns)`` in the order of their codes, cut only between different heads."""
     held: list[pa.RecordBatch] = []

@@ -161,6 +161,54 @@ def test_long_token_and_hard_rows(spark, hard, empty):
     assert lmscore.score_documents(hard, F.lit(True)).count() == len(HARD)
 
 
+def test_scores_follow_the_order_of_words(spark):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(40)]
+    learned = [" ".join(rng.choices(vocabulary, k=12)) for _ in range(60)]
+    phrase = learned[0].split()
+    mixed = rng.sample(phrase, len(phrase))
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(learned * 3)] + [(1000, " ".join(phrase), "en", "s", 1), (1001, " ".join(mixed), "en", "s", 1)]
+    got = {r.doc_id: r for r in lmscore.score_documents(spark.createDataFrame(rows, DOCS).repartition(3), F.col("doc_id") >= 1000).collect()}
+    assert got[1000].base_score == pytest.approx(got[1001].base_score) and got[1000].score > got[1001].score + 5
+
+
+def test_word_contexts_against_counters():
+    """Counts after one and two words, summed over blocks, and a mix that is a distribution."""
+    import pyarrow as pa
+    rng = random.Random(6)
+    docs = [(i, i % 4 == 3, " ".join(rng.choices("abcde", k=rng.randint(0, 30)))) for i in range(60)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [d[0] for d in half], "held_out": [d[1] for d in half], "text": [d[2] for d in half]}) for half in (docs[:30], docs[30:])]
+    blocks = []
+    for number, batch in enumerate(batches):
+        block = lmscore._Block()
+        for row in batch.to_pylist():
+            block.add(row["doc_id"], row["held_out"], row["text"])
+        blocks.append(pa.Table.from_batches(list(block.rows(number))))
+    runs = pa.concat_tables(blocks).select(["bucket", "block", "keys", "counts"])
+    runs = runs.filter(pa.compute.is_valid(runs.column("keys"))).sort_by("bucket")
+    sums = pa.Table.from_batches(list(lmscore._run_sums(runs.to_batches())))
+    learned = [(["", ""] + d[2].split() + ["$"]) for d in docs if not d[1]]
+    counts = [collections.Counter(tuple(t[i - k:i + 1]) for t in learned for i in range(2, len(t))) for k in range(3)]
+    for number, block in enumerate(blocks):
+        entries = block.filter(pa.compute.is_valid(block.column("token")))
+        c = [counts[0][(t.decode() or "$",)] for t in entries.column("token").to_pylist()]
+        parts = pa.table({
+            "place": [lmscore._packed(np.asarray(entries.column("place"))), None], "c": [lmscore._packed(np.array(c)), None], "kind": [lmscore._packed(np.asarray(entries.column("kind"))), None],
+            "logp": [np.full(len(c), -1, np.float32).tobytes(), None], "large": [[], None], "words": [None, block.column("words").drop_null()[0].as_py()]})
+        parts = pa.concat_tables([parts, sums.filter(pa.compute.equal(sums.column("block"), number)).select(["bucket", "sums"])], promote_options="default")
+        texts = lmscore._Texts(parts, block.filter(pa.compute.is_valid(block.column("ids"))), np.full(4, -1.0))
+        at = 0
+        for d in docs[30 * number:30 * number + 30]:
+            t = ["", ""] + d[2].split() + ["$"]
+            for i in range(2, len(t)):
+                for k in (1, 2):
+                    context = counts[k - 1][tuple(t[i - k:i])] if i > 2 else len(learned)
+                    assert (texts.seen[k - 1][at], texts.after[k - 1][at]) == (context - (not d[1]), counts[k][tuple(t[i - k:i + 1])] - (not d[1]))
+                at += 1
+        assert at == len(texts.ids)
+        assert (texts.mixed(lmscore._gate_weights(lmscore._gate_stats(texts))) < 0).all()
+
+
 # ------------------------------------------------------------------------------------ 3 mix
 def water_fill(sizes, weights):
     total, full = sum(sizes), set()
