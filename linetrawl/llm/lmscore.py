@@ -43,7 +43,7 @@ SEEN, STEP = 32, 1 << 16
 
 
 def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` of every row.
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte, score_unknown_class`` of every row.
 
     Texts (null: empty) are lower-cased in A to Z and cut into words at the six ASCII white spaces; one end follows. A
     word is coded as its bytes and a space, the end as one byte, and so, for ``score_unknown_class``, any word not seen in learning, bit by bit. Every bit is predicted from
@@ -54,8 +54,9 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     previous two, ``(1 - v)((1 - u) p1 + u p2) + v p3``, with weights ``u`` and ``v`` gated by how often the one or two
     words were seen; so what is mixed stays a distribution over tokens. All counts are those of the rows that are not held out; weights, gates and map are learned online from
     the same tokens, each without its own occurrence: so a word that occurs once teaches how likely a new one is.
-    ``score`` is the log10 probability of the token sequence, new words counting as one unknown word, as they do in
-    ``base_score``; ``bits_per_byte`` spells the new words and divides by the bytes of the text and its end.
+    ``score`` is the log10 probability of the text: a new word costs the bits that spell it. ``bits_per_byte``
+    divides it by the bytes of the text and its end. ``score_unknown_class`` leaves the spelling out, so that new words
+    count as one unknown word, as they do in ``base_score``.
 
     ``base_score`` is the smoothed unigram score of the same tokens, ``n_known`` counts those seen in learning. Without
     rows to learn from all predictions are even. Repeated rows count and are scored each; an empty
@@ -110,15 +111,16 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
 
     def total_up(key: tuple, parts: pa.Table, docs: pa.Table) -> pa.Table:
         t = _Texts(parts, docs, unknown)
-        score, whole = t.per_doc(t.mixed(gate, spells=False)), t.per_doc(t.mixed(gate))
+        score = t.per_doc(t.mixed(gate))
         return pa.table({
             "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(t.sizes, pa.int64()),
             "n_known": pa.array(t.per_doc((t.c > 0)[t.ids].astype(float)).astype(np.int64)), "train_tokens": pa.array([total] * len(t.sizes), pa.int64()),
             "base_score": pa.array(t.per_doc((np.log10(t.c + 0.5) - floor)[t.ids]), pa.float64()), "score": pa.array(score, pa.float64()),
-            "bits_per_byte": pa.array(-whole * math.log2(10) / (np.asarray(docs.column("n_bytes")) + 1), pa.float64())})
+            "bits_per_byte": pa.array(-score * math.log2(10) / (np.asarray(docs.column("n_bytes")) + 1), pa.float64()),
+            "score_unknown_class": pa.array(t.per_doc(t.mixed(gate, spells=False)), pa.float64())})
 
     return found.applyInArrow(
-        total_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+        total_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double, score_unknown_class double")
 
 
 def _by_head(entries: DataFrame) -> DataFrame:

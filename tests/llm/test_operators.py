@@ -161,6 +161,14 @@ def test_long_token_and_hard_rows(spark, hard, empty):
     assert lmscore.score_documents(hard, F.lit(True)).count() == len(HARD)
 
 
+def test_new_words_cost_what_spells_them(spark):
+    learned = [(i, "the cat sat on the mat and the dog ran to the cat", "en", "s", 1) for i in range(20)]
+    new = [(100, "the zq", "en", "s", 1), (101, "the " + "zq" * 500, "en", "s", 1), (102, "the xj", "en", "s", 1)]
+    got = {r.doc_id: r for r in lmscore.score_documents(spark.createDataFrame(learned + new, DOCS), F.col("doc_id") >= 100).collect()}
+    assert got[101].score < got[100].score - 100
+    assert got[101].score_unknown_class == pytest.approx(got[100].score_unknown_class) and got[100].score < got[100].score_unknown_class
+
+
 def test_scores_follow_the_order_of_words(spark):
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(40)]
