@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from linetrawl.llm import texts
 from linetrawl.llm.common import NULL_ID, groups, stored
@@ -18,8 +18,8 @@ from linetrawl.llm.components import components
 NGRAM, THRESHOLD = 5, 0.8
 #: Chance that a pair at the threshold shares a band, and how many minima a document may have.
 RECALL, HASHES = 0.9999, 128
-#: Members of a class are compared in blocks of about this many.
-BLOCK = 256
+#: Documents are compared in blocks of about this many at most, fewer if their sets are larger than ``SET`` on average.
+BLOCK, SET = 2048, 512
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -107,21 +107,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     documents, but name a class only if it has no other; repeated rows are linked like any copies. An empty table gives no rows.
 
     Equal sets become one node with a number of copies. Nodes shuffle on their band hashes, and each bucket names
-    its least node; what these names connect is a candidate group, which holds every pair that
-    shares a band. Its members are compared with one another in blocks of about ``BLOCK``, by full sets, inside
-    tasks; only a row per node and pair of blocks leaves them, with a sum and one link of a spanning forest. So a group of
-    near copies never becomes rows of pairs. The work still grows with the square of a group.
+    its least node; what these names connect is a candidate group, which holds every pair that shares a band. A group of up to a
+    block is compared as a whole. In a larger one, either its buckets are compared, each pair in the first band that it shares, or the
+    whole group, whichever copies fewer sets: chained documents share few buckets, near copies almost all. Both go
+    in blocks ordered by size of set, and blocks whose sizes exclude the threshold never meet. Full sets are compared inside
+    tasks; only a row per node and pair of blocks leaves them, with a sum and one link of a spanning forest. So
+    near copies never become rows of pairs. The work still grows with the square of a group of near copies, whose links it counts.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     features = stored(ids.mapInArrow(_features(*banding(threshold, recall)), "doc_id long, set_key binary, n int, bands array<long>"), "features")
     nodes = features.filter("set_key IS NOT NULL").groupBy("set_key").agg(
-        F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.first("bands").alias("bands"))
+        F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     entries = nodes.select("node", F.explode("bands").alias("band"))
     leaders = entries.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("m")).filter("m > 1").drop("m")
     stars = entries.join(leaders, "band").filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     groups_ = components(stars)
-    compared = stored(_compared(groups_, _sets(ids, nodes, groups_), threshold), "compared")
+    compared = stored(_compared(_units(groups_, entries, nodes, threshold), _sets(ids, nodes, groups_), threshold), "compared")
     links = compared.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(compared.select(F.col("node").alias("a"), F.col("linked").alias("b")))
     placed = stored(
@@ -151,28 +153,58 @@ def _sets(ids: DataFrame, nodes: DataFrame, groups_: DataFrame) -> DataFrame:
     return stored(found.mapInArrow(run, "node long, copies long, grams binary").dropDuplicates(["node"]), "sets")
 
 
-def _compared(groups_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _units(groups_: DataFrame, entries: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """``unit, low, high, block, node, bands`` for every node and pair of blocks to compare it in; a unit without bands is a group."""
+    large = stored(groups_.groupBy("root").agg(F.count("*").alias("m")).filter(F.col("m") > BLOCK), "large")
+    members = entries.join(groups_.join(large.select("root"), "root"), "node")
+    buckets = stored(members.groupBy("root", "band").agg(F.count("*").alias("shared")).filter("shared > 1"), "buckets")
+    copied = buckets.groupBy("root").agg(F.sum(F.col("shared") * F.ceil(F.col("shared") / BLOCK)).alias("copied"))
+    chained = large.join(copied, "root").filter(F.col("copied") < F.col("m") * F.ceil(F.col("m") / BLOCK)).select("root")
+    whole = groups_.join(chained, "root", "left_anti").select(F.col("root").alias("unit"), "node", F.lit(False).alias("by_band"))
+    parted = members.join(chained, "root", "left_semi").join(buckets.select("root", "band"), ["root", "band"])
+    sized = nodes.select("node", "n", "bands")
+    rows = stored(whole.union(parted.select(F.col("band").alias("unit"), "node", F.lit(True).alias("by_band"))).join(sized, "node").select(
+        "by_band", "unit", "node", "n", F.when(F.col("by_band"), F.col("bands")).alias("bands")), "units")
+    unit = ["by_band", "unit"]
+    before = Window.partitionBy(*unit).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    cost = F.greatest("n", F.lit(SET)).cast("long")
+    sizes = rows.groupBy(*unit, "n").agg(F.count("*").alias("m")).withColumn("start", F.coalesce(F.sum(cost * F.col("m")).over(before), F.lit(0)))
+    within = F.pmod(F.xxhash64("node"), F.col("m")) * cost  # sets of a size are dealt by hash: no unit is sorted
+    rows = rows.join(sizes, [*unit, "n"]).withColumn("block", F.floor((F.col("start") + within) / (BLOCK * SET)))
+    blocks = rows.groupBy(*unit, "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    other = blocks.select(*unit, *[F.col(c).alias(f"other_{c}") for c in ("block", "least", "most")])
+    near = blocks.join(other, unit).filter(F.greatest("least", "other_least") <= F.least("most", "other_most") / threshold * (1 + 1e-9))
+    pairs = near.select(*unit, "block", F.least("block", "other_block").alias("low"), F.greatest("block", "other_block").alias("high"))
+    return rows.join(pairs, [*unit, "block"]).select(*unit, "low", "high", "block", "node", "bands")
+
+
+def _compared(units: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """``node, links, linked`` per node and pair of blocks: copies it is linked to, and a node that links lead to."""
-    blocks = groups_.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = groups_.join(blocks, "root").join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "copies", "grams")
+    members = units.join(sets, "node").select("by_band", "unit", "low", "high", "block", "node", "copies", "grams", "bands")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, low, high), rows in groups(batches, 3):
-            block, nodes, copies = (np.array(rows[i]) for i in (3, 4, 5))
-            links, linked = count_links([np.frombuffer(g, np.uint64) for g in rows[6]], copies, block if low != high else None, threshold)
+        for (by_band, unit, low, high), rows in groups(batches, 4):
+            block, nodes, copies = (np.array(rows[i]) for i in (4, 5, 6))
+            earlier = None
+            if by_band:
+                bands = np.array(rows[8], np.int64)
+                earlier = bands[:, :int(np.flatnonzero(bands[0] == unit)[0])]
+            links, linked = count_links([np.frombuffer(g, np.uint64) for g in rows[7]], copies, block if low != high else None, threshold, earlier)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(links, pa.int64()), pa.array(nodes[linked], pa.int64())], names=["node", "links", "linked"])
 
-    keys = ["root", "low", "high"]
+    keys = ["by_band", "unit", "low", "high"]
     return members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "node long, links long, linked long")
 
 
-def count_links(sets: list[np.ndarray], copies: np.ndarray, block: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Copies that each set is linked to, among all or between two blocks only, and a member of its component."""
+def count_links(sets: list[np.ndarray], copies: np.ndarray, block: np.ndarray | None, threshold: float, earlier: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Copies that each set is linked to, among all or between two blocks only, and a member of its component.
+
+    Pairs that agree in a column of ``earlier`` do not count.
+    """
     order = np.argsort([len(s) for s in sets], kind="stable")
     sizes, weights = np.array([len(sets[i]) for i in order]), copies[order]
     side = None if block is None else block[order]
+    earlier = None if earlier is None or not earlier.shape[1] else earlier[order]
     starts = np.concatenate([[0], np.cumsum(sizes)])
     _, names = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
     marked = np.zeros(names.max() + 1, np.int64)
@@ -189,6 +221,8 @@ def count_links(sets: list[np.ndarray], copies: np.ndarray, block: np.ndarray |
         if side is not None:
             similar &= side[i + 1:end] != side[i]
         similar = i + 1 + np.flatnonzero(similar)
+        if earlier is not None and len(similar):
+            similar = similar[~(earlier[similar] == earlier[i]).any(1)]
         if len(similar):
             links[order[i]] += weights[similar].sum()
             links[order[similar]] += weights[i]

@@ -310,6 +310,46 @@ def test_large_group_of_near_copies(spark):
     assert got == dict(enumerate(zip(root, links)))
 
 
+def chained_texts(many):
+    """Each shares a passage with the next, far below the threshold; some have near copies."""
+    rng = random.Random(8)
+    texts = []
+    for i in range(many):
+        words = [f"p{i}_{j}" for j in range(20)] + [f"p{i + 1}_{j}" for j in range(20)]
+        texts.append(" ".join(words))
+        if i % 5 == 0:
+            words[rng.randrange(40)] = "x"
+            texts.append(" ".join([*words, "y", "z"]))
+    return texts
+
+
+@pytest.mark.parametrize("block", [3, 16])
+def test_large_groups_in_blocks(spark, monkeypatch, block):
+    """Chains are compared by bucket, each pair once, and copies by group; sizes that exclude a link never meet."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = random.Random(9)
+    texts = chained_texts(60)
+    for i in range(60):
+        copy = [f"w{j}" for j in range(40 + i)]
+        copy[rng.randrange(len(copy))] = f"x{i}"
+        texts.append(" ".join(copy))
+    links, root = brute_links(texts)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(zip(root, links)))
+
+
+def test_chained_documents_are_compared_in_their_buckets(spark, monkeypatch):
+    """A chain of documents that share few bands is not compared, or copied, as one group."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    many = 200
+    nodes = [(i, 100, [10 ** 6 + i, 10 ** 3 + i // 2, 10 ** 4 + (i + 1) // 2]) for i in range(many)]
+    nodes = spark.createDataFrame(nodes, "node long, n int, bands array<long>")
+    groups = nodes.select("node", F.lit(0).cast("long").alias("root"))
+    rows = neardup._units(groups, nodes.select("node", F.explode("bands").alias("band")), nodes, 0.8).collect()
+    assert len(rows) <= 2 * many and all(r.by_band for r in rows)
+    assert {tuple(sorted(r.node for r in rows if r.unit == u)) for u in {r.unit for r in rows}} == {(i, i + 1) for i in range(many - 1)}
+
+
 def test_near_duplicates_hard_rows(hard, empty):
     got = sorted(((r.doc_id, r.class_id, r.n_links) for r in neardup.near_duplicates(hard).collect()), key=str)
     assert (1, 1, 0) in got and (2, 2, 0) in got and got.count((4, 3, 2)) == 2 and (3, 3, 2) in got and (None, None, 0) in got
