@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linetrawl.llm import ann, chat, decontaminate, langid, lmscore, mixing, neardup, quality, sharding, warc
+from linetrawl.llm import alignment, ann, chat, decontaminate, exactdup, fim, langid, lmscore, mixing, neardup, quality, sharding, warc
 from linetrawl.llm.common import crc, stored, table
 
 
@@ -77,7 +77,28 @@ def op10_ann(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_lm, op3_mix, op4_jaccard, op5_language, op6_warc, op7_decontaminate, op8_quality, op9_shard, op10_ann)}
+def op11_fim(spark, sf_dir):
+    """Every document cut for filling in the middle, and put together again."""
+    back = fim.restore(fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    sha = lambda name: F.sha2(F.encode(name, "UTF-8"), 256)
+    return back.select(
+        "doc_id", "n", "form", F.char_length("prefix").cast("long").alias("prefix_chars"), F.char_length("middle").cast("long").alias("middle_chars"),
+        sha("fim").alias("output_sha256"), sha("restored").alias("restored_sha256"))
+
+
+def op12_align(spark, sf_dir):
+    """Every document's tokens in two vocabularies, grouped, with the corpus-wide counts of its links."""
+    return alignment.score_links(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_exact(spark, sf_dir):
+    """Every document and the one that stays of all with its text."""
+    return exactdup.mark_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_chat, op2_lm, op3_mix, op4_jaccard, op5_language, op6_warc, op7_decontaminate, op8_quality, op9_shard, op10_ann, op11_fim, op12_align,
+    op13_exact)}
 _ESCAPED = r"replace(replace({}, '\', '\\'), '<|', '<\|')"
 _CHAT = f"""WITH turns AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -121,5 +142,24 @@ _WARC = """WITH p AS (
     CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
     CASE WHEN page_id <> first THEN first END AS refers_to FROM digests"""
 
+_FIM = r"""WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+      sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex FROM documents),
+  h AS (SELECT *, CAST(len(units) AS BIGINT) AS n, list_transform([0, 1, 2, 3], lambda i: CAST('0x' || substr(hex, i * 8 + 1, 8) AS BIGINT)) AS h FROM d),
+  c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+      WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+  p AS (SELECT *, coalesce(array_to_string(units[1:a], ''), '') AS prefix, coalesce(array_to_string(units[a + 1:b], ''), '') AS middle,
+    coalesce(array_to_string(units[b + 1:n], ''), '') AS suffix FROM c)
+  SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+_EXACT = r"""WITH d AS (
+    SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[ 	-]', '', 'g') AS normal FROM documents)
+  SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY normal) AS group_size,
+    row_number() OVER w = 1 AS kept, sha256(normal) AS text_sha256 FROM d WINDOW w AS (PARTITION BY normal ORDER BY chars DESC, doc_id)"""
+
 #: The other operators hash, draw at random or iterate; tests compare them with brute force or held-out labels.
-ORACLES: dict[str, str] = {"op1_chat": _CHAT, "op3_mix": _MIX, "op6_warc": _WARC}
+ORACLES: dict[str, str] = {"op1_chat": _CHAT, "op3_mix": _MIX, "op6_warc": _WARC, "op11_fim": _FIM, "op13_exact": _EXACT}
