@@ -9,14 +9,17 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, functions as F
+from pyspark import Broadcast
+from pyspark.sql import Column, SparkSession, functions as F
 
 from linetrawl.functions.similarity import best_match, cluster_pattern, could_match
 from linetrawl.functions.text import (
     has_rare_break, normalize_literal, quote_literal, snippet, split_lines,
 )
+from linetrawl.operators.automaton import CHUNK as CHUNK_CHARS, Keywords, code_points
 from linetrawl.spec import SearchSpec
 
 HIT_TYPE = (
@@ -138,6 +141,146 @@ def keyword_hits(segs: Column, present: Column, spec: SearchSpec) -> Column:
     return _until_full(matching, hits_of, limit)
 
 
+# ------------------------------------------------------------------------------- many keywords
+#: Up to this many distinct keywords are sought one by one in the JVM, more by one pass of an automaton.
+AUTOMATON_FROM = 32
+
+
+def is_many(spec: SearchSpec) -> bool:
+    return spec.mode == "keyword" and len({norm for _, norm in _needles(spec)}) > AUTOMATON_FROM
+
+
+def share_keywords(spark: SparkSession, spec: SearchSpec) -> Broadcast:
+    """The automata of the keywords, built here once; a broadcast as large as the list that the caller wrote."""
+    return spark.sparkContext.broadcast(Keywords(_needles(spec)))
+
+
+def _pieces(sizes: list[int], texts: list[str], whole: bool):
+    """Lists of ``(row, from, to)``: segments of about ``CHUNK_CHARS`` characters; a row is cut between segments unless ``whole``."""
+    held, chars, at = [], 0, 0
+    for row, size in enumerate(sizes):
+        begin, at = at, at + size
+        for j in range(begin, at):
+            chars += len(texts[j]) + 1
+            if chars >= CHUNK_CHARS and (not whole or j == at - 1):
+                yield [*held, (row, begin, j + 1)]
+                held, chars, begin = [], 0, j + 1
+        if begin < at:
+            held.append((row, begin, at))
+    if held:
+        yield held
+
+
+def _found(keywords: Keywords, pieces: list[tuple[int, int, int]], texts: list[str]):
+    """``(row, segment, position, word)`` of occurrences, and ``(row, word)`` of those that cross segments.
+
+    The segments of a row are laid end to end with line breaks between, so a keyword with line breaks can be seen to be there.
+    """
+    points, starts = code_points(["\n".join(texts[a:b]) for _, a, b in pieces])
+    at, words = keywords.occurrences(points, starts)
+    segments = np.concatenate([np.arange(a, b) for _, a, b in pieces])
+    rows = np.repeat([r for r, _, _ in pieces], [b - a for _, a, b in pieces])
+    sizes = np.fromiter((len(texts[j]) for j in segments), np.int64, len(segments))
+    # One more for the break after a segment, but for the last one of its piece.
+    steps = sizes + 1
+    steps[np.cumsum([b - a for _, a, b in pieces]) - 1] -= 1
+    begins = np.cumsum(steps) - steps
+    nth = np.searchsorted(begins, at, "right") - 1
+    inside = at + keywords.lengths[words] <= begins[nth] + sizes[nth]
+    crossing = rows[nth[~inside]], words[~inside]
+    nth, at, words = nth[inside], at[inside] - begins[nth[inside]], words[inside]
+    order = np.lexsort((at, words, nth))
+    nth, at, words = nth[order], at[order], words[order]
+    kept = keywords.apart(nth, at, words)
+    nth, at, words = nth[kept], at[kept], words[kept]
+    return (rows[nth], segments[nth], at, words), crossing
+
+
+def automaton_hits(segs: Column, spec: SearchSpec, shared: Broadcast, gate: bool) -> Column:
+    """Hits of all keywords in one pass; with ``gate`` a row has hits only if it holds every keyword."""
+    limit, chars, raws = spec.max_hits_per_file, spec.snippet_chars, spec.keywords
+    breaks = gate and any("\n" in norm for _, norm in _needles(spec))
+
+    @F.arrow_udf(HIT_TYPE)
+    def find(segs: pa.Array) -> pa.Array:
+        keywords: Keywords = shared.value
+        flat, sizes = segs.flatten(), pc.list_value_length(segs).fill_null(0).to_pylist()
+        texts = flat.field("text").fill_null("").to_pylist()
+        idxs, lines = flat.field("seg_idx").to_pylist(), flat.field("line_no").to_pylist()
+        out: list[list[dict]] = [[] for _ in sizes]
+        present = [np.zeros(0, np.int64)]
+        for pieces in _pieces(sizes, texts, breaks):
+            if not gate:
+                pieces = [p for p in pieces if len(out[p[0]]) < limit]
+            if not pieces:
+                continue
+            (row, segment, at, word), (over_row, over_word) = _found(keywords, pieces, texts)
+            if gate:
+                present.append(np.unique(np.concatenate([row, over_row]) * len(keywords.words) + np.concatenate([word, over_word])))
+            which, place = keywords.listed(word)
+            order = np.lexsort((at[which], place, segment[which]))
+            which, place = which[order], place[order]
+            row = row[which]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            few = rank < limit
+            for r, j, p, w, k in zip(row[few].tolist(), segment[which[few]].tolist(), at[which[few]].tolist(), word[which[few]].tolist(), place[few].tolist()):
+                if len(out[r]) < limit:
+                    out[r].append({"seg_idx": idxs[j], "line_no": lines[j], "kw_idx": k, "position": p, "matched": raws[k],
+                                   "snippet": _cut(texts[j], p, p + int(keywords.lengths[w]), chars)})
+        if gate:
+            rows = np.unique(np.concatenate(present)) // len(keywords.words)
+            full = np.bincount(rows, minlength=len(sizes)) == len(keywords.words)
+            out = [hits if ok else [] for hits, ok in zip(out, full.tolist())]
+        return pa.array(out, type=_HIT_ARROW)
+
+    return find.asNondeterministic()(segs)
+
+
+def _per_text(texts: pa.Array, keywords: Keywords):
+    """``(row, position, word)`` of occurrences in every text, chunk by chunk; null counts as empty."""
+    listed = [t or "" for t in texts.to_pylist()]
+    for pieces in _pieces([1] * len(listed), listed, True):
+        (row, _, at, word), _ = _found(keywords, pieces, listed)
+        yield row, at, word
+
+
+def _as_lists(rows: list[np.ndarray], n: int, values: pa.Array) -> pa.Array:
+    counts = np.bincount(np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64), minlength=n)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), values)
+
+
+def automaton_places(text: Column, shared: Broadcast) -> Column:
+    """Every hit of every keyword, ``array<struct<kw_idx, position>>``, by keyword and position."""
+    @F.arrow_udf("array<struct<kw_idx:int,position:bigint>>")
+    def find(texts: pa.Array) -> pa.Array:
+        keywords: Keywords = shared.value
+        none = np.zeros(0, np.int64)
+        rows, places, positions = [none], [none], [none]
+        for row, at, word in _per_text(texts, keywords):
+            which, place = keywords.listed(word)
+            order = np.lexsort((at[which], place, row[which]))
+            rows.append(row[which][order])
+            places.append(place[order])
+            positions.append(at[which][order])
+        values = pa.StructArray.from_arrays(
+            [pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(positions), pa.int64())], names=["kw_idx", "position"])
+        return _as_lists(rows, len(texts), values)
+
+    return find.asNondeterministic()(text)
+
+
+def automaton_present(text: Column, shared: Broadcast) -> Column:
+    """The distinct keywords in a text, numbered in the order of :class:`Keywords`."""
+    @F.arrow_udf("array<int>")
+    def find(texts: pa.Array) -> pa.Array:
+        keywords: Keywords = shared.value
+        keys = [np.unique(row * len(keywords.words) + word) for row, _, word in _per_text(texts, keywords)]
+        keys = np.concatenate([np.zeros(0, np.int64), *keys])
+        return _as_lists([keys // len(keywords.words)], len(texts), pa.array(keys % len(keywords.words), pa.int32()))
+
+    return find.asNondeterministic()(text)
+
+
 # ---------------------------------------------------------------------------------------- regex
 def is_portable(pattern: str) -> bool:
     """Whether Java finds exactly what Python finds, with a positive width for every match."""

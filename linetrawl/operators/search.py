@@ -58,14 +58,21 @@ def file_hits(files: DataFrame, spec: SearchSpec, text: str = "text") -> DataFra
     if spec.mode == "fuzzy":
         return _with_hits(normal, kept, line_segments(F.col("_norm")), spec)
 
+    if matching.is_many(spec):
+        rows = normal.select(*kept, once(line_segments(F.col("_norm"))).alias("_segs"))
+        shared = matching.share_keywords(files.sparkSession, spec)
+        hits = matching.automaton_hits(F.col("_segs"), spec, shared, gate=spec.operator == "and")
+        return rows.select(*kept, F.coalesce(hits, F.array().cast(matching.HIT_TYPE)).alias("hits"))
+
     keywords = matching.keyword_array(spec)
     normal = normal.withColumn(
         "_present", F.filter(keywords, lambda k: F.contains(F.col("_norm"), k["norm"]))
     )
-    wanted = F.size("_present") == F.size(keywords) if spec.operator == "and" else F.size("_present") > 0
+    breaks = spec.operator == "and" and any(_has_break(k) for k in spec.keywords)
+    wanted = F.size("_present") == F.size(keywords) if spec.operator == "and" and not breaks else F.size("_present") > 0
     segs = F.when(wanted, line_segments(F.col("_norm")))
-    if spec.operator == "and" and any(_has_break(k) for k in spec.keywords):
-        # Blank lines and line-break variants matter to such keywords: gate on the joined segments.
+    if breaks:
+        # Blank lines and line-break variants matter to such keywords: gate on the joined segments alone.
         normal = normal.withColumn("_segs", segs)
         joined = F.array_join(F.transform("_segs", lambda s: s["text"]), "\n")
         segs = F.when(F.forall(keywords, lambda k: F.contains(joined, k["norm"])), F.col("_segs"))
@@ -103,7 +110,8 @@ def search_segments(segments: DataFrame, spec: SearchSpec) -> DataFrame:
         raw = raw.withColumn("text", normalize(F.col("text"), spec.case_sensitive, spec.normalize_width))
     found = cap_hits(_segment_hits(raw, spec), spec.max_hits_per_file).select(*HIT_COLUMNS)
     if spec.mode == "keyword" and spec.operator == "and":
-        found = found.join(_files_with_all(raw, list(_norms(spec).values())), "path", "left_semi")
+        gate = _files_with_many if matching.is_many(spec) else _files_with_all
+        found = found.join(gate(raw, list(_norms(spec).values())), "path", "left_semi")
     return found
 
 
@@ -119,11 +127,19 @@ def _segment_hits(raw: DataFrame, spec: SearchSpec) -> DataFrame:
     one = F.array(F.struct(
         F.lit(0).alias("seg_idx"), F.lit(None).cast("int").alias("line_no"), F.col("text").alias("text")
     ))
+    if matching.is_many(spec):
+        shared = matching.share_keywords(raw.sparkSession, spec)
+        rows = raw.select("path", "seg_idx", "locator", once(one).alias("_segs"))
+        found = rows.select("path", "seg_idx", "locator", matching.automaton_hits(F.col("_segs"), spec, shared, gate=False).alias("hits"))
+        return _exploded(found)
     if spec.mode == "keyword":
         keywords = matching.keyword_array(spec)
         raw = raw.withColumn("_present", F.filter(keywords, lambda k: F.contains(F.col("text"), k["norm"])))
         raw = raw.filter(F.size("_present") > 0)
-    found = _with_hits(raw, ["path", "seg_idx", "locator"], one, spec, multiline=True)
+    return _exploded(_with_hits(raw, ["path", "seg_idx", "locator"], one, spec, multiline=True))
+
+
+def _exploded(found: DataFrame) -> DataFrame:
     return (
         found.select("path", "seg_idx", "locator", F.posexplode("hits").alias("hit_ord", "h"))
         .select("path", "seg_idx", "locator", "hit_ord",
@@ -170,6 +186,22 @@ def _files_with_all(raw: DataFrame, norms: list[str]) -> DataFrame:
     return verdict.select("path")
 
 
+def _files_with_many(raw: DataFrame, norms: list[str]) -> DataFrame:
+    """The same gate for many keywords: the distinct ones per file are counted, partially in every task.
+
+    The few with line breaks, which may lie across segments, are gated as before.
+    """
+    single = sorted({n for n in norms if "\n" not in n})
+    if not single:
+        return _files_with_all(raw, norms)
+    spec = SearchSpec(tuple(single), case_sensitive=True, normalize_width=False)
+    shared = matching.share_keywords(raw.sparkSession, spec)
+    present = raw.select("path", F.explode(matching.automaton_present(F.col("text"), shared)).alias("_word"))
+    full = present.distinct().groupBy("path").count().filter(F.col("count") == len(single)).select("path")
+    across = sorted({n for n in norms if "\n" in n})
+    return full.join(_files_with_all(raw, across), "path", "left_semi") if across else full
+
+
 def cap_hits(hits: DataFrame, n: int) -> DataFrame:
     """First ``n`` hits of each file in (segment, hit) order."""
     order = [F.col("seg_idx"), F.col("hit_ord")]
@@ -184,12 +216,16 @@ def cap_hits(hits: DataFrame, n: int) -> DataFrame:
 def all_positions(segments: DataFrame, spec: SearchSpec) -> DataFrame:
     """Every non-overlapping occurrence of every keyword: ``(path, seg_idx, kw_idx, position)``.
 
-    Decided inside the row: the text is cut at the keyword and the lengths of the pieces are summed up.
+    Decided inside the row: the text is cut at the keyword and the lengths of the pieces are summed up, or, for many
+    keywords, one pass of an automaton finds them all.
     """
-    keywords = matching.keyword_array(spec)
     normal = segments.select(
         "path", F.col("idx").alias("seg_idx"),
         normalize(F.col("text"), spec.case_sensitive, spec.normalize_width).alias("_t"))
+    if matching.is_many(spec):
+        places = matching.automaton_places(F.col("_t"), matching.share_keywords(segments.sparkSession, spec))
+        return normal.select("path", "seg_idx", F.explode(places).alias("h")).select("path", "seg_idx", "h.kw_idx", "h.position")
+    keywords = matching.keyword_array(spec)
     found = normal.withColumn("k", F.explode(F.filter(keywords, lambda k: F.contains(F.col("_t"), k["norm"]))))
     every = matching.literal_positions(F.col("_t"), F.col("k.norm"), F.col("k.quoted"), 2**31 - 2)
     return found.select("path", "seg_idx", "k.kw_idx", F.explode(every).alias("position"))

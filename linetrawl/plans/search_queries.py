@@ -21,6 +21,10 @@ NAMED = (r"(?P<host>[a-z0-9]+)\.(?:com|org|net)", r"(?P<n>[0-9]{2,})-(?:[0-9]+)"
 GROUPS = ("(?:th|an)+e", "(?:er|in){2,}g?")
 #: Printable ASCII and its full-width forms, which NFKC turns back.
 ASCII, WIDE = "".join(map(chr, range(0x21, 0x7F))), "".join(map(chr, range(0xFF01, 0xFF5F)))
+#: Thousands of keywords by rule, and some that long texts hold all of.
+_VOWELS, _CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
+MANY = tuple(a + b + c for a in _CONSONANTS for b in _VOWELS for c in _CONSONANTS)
+COMMON = tuple("en nt es er re ea ne on st de ee na te et as he ni it ti ha nd ei ou ie ta le io ng ra nl no ns ht rt at".split())
 FUZZY = ("license", "copyright notice", "identification")
 OR_SPEC = SearchSpec(KEYWORDS, operator="or")
 AND_SPEC = SearchSpec(BOTH)
@@ -73,6 +77,12 @@ QUERIES = {
     "kw_segments_large_cap": lambda s, d: search_segments(
         fx.segments_v(s, d), SearchSpec(("the", "and"), operator="or", max_hits_per_file=150)),
     "kw_positions": lambda s, d: all_positions(fx.segments_v(s, d), SearchSpec(BOTH)),
+    "kw_many": lambda s, d: search_texts(fx.documents(s, d), SearchSpec(MANY, operator="or")),
+    "kw_many_and": lambda s, d: search_texts(fx.documents(s, d), SearchSpec(COMMON, max_hits_per_file=50)),
+    "kw_many_segments": lambda s, d: search_segments(fx.turns_v(s, d), SearchSpec(MANY, operator="or")),
+    "kw_many_segments_and": lambda s, d: search_segments(fx.turns_v(s, d), SearchSpec(COMMON)),
+    "agg_kw_many": lambda s, d: all_positions(fx.segments_v(s, d), SearchSpec(MANY)).groupBy("kw_idx").agg(
+        F.count("*").alias("n_hits"), F.sum("position").alias("positions")),
     "agg_kw": lambda s, d: keyword_counts(_hits_or(s, d), OR_SPEC),
     "agg_kw_rx": lambda s, d: keyword_counts(search_texts(fx.documents(s, d), RX_SPEC), RX_SPEC),
     "rx_groups": lambda s, d: search_texts(fx.documents(s, d), SearchSpec(GROUPS, mode="regex")),
@@ -106,6 +116,12 @@ ORACLES = {
     "kw_segments_and": fx.with_views("turns_v", **fx.keyword_hits_ctes("turns_v", ("the", "and", "with"), both=True)) + f"SELECT {_HIT_COLS} FROM hits",
     "kw_segments_large_cap": fx.with_views("segments_v", **fx.keyword_hits_ctes("segments_v", ("the", "and"), 150)) + f"SELECT {_HIT_COLS} FROM hits",
     "kw_positions": fx.with_views("segments_v", **fx.keyword_hits_ctes("segments_v", BOTH, None)) + "SELECT path, seg_idx, kw_idx, position FROM every_hit",
+    "kw_many": fx.with_views("segments_v", **fx.keyword_hits_ctes("segments_v", MANY)) + f"SELECT {_HIT_COLS} FROM hits",
+    "kw_many_and": fx.with_views("segments_v", **fx.keyword_hits_ctes("segments_v", COMMON, 50, both=True)) + f"SELECT {_HIT_COLS} FROM hits",
+    "kw_many_segments": fx.with_views("turns_v", **fx.keyword_hits_ctes("turns_v", MANY)) + f"SELECT {_HIT_COLS} FROM hits",
+    "kw_many_segments_and": fx.with_views("turns_v", **fx.keyword_hits_ctes("turns_v", COMMON, both=True)) + f"SELECT {_HIT_COLS} FROM hits",
+    "agg_kw_many": fx.with_views("segments_v", **fx.keyword_hits_ctes("segments_v", MANY, None)) + (
+        "SELECT kw_idx, count(*) AS n_hits, CAST(sum(position) AS BIGINT) AS positions FROM every_hit GROUP BY kw_idx"),
     "rx_groups": fx.with_views("segments_v", **fx.regex_hits_ctes("segments_v", GROUPS)) + f"SELECT {_HIT_COLS} FROM hits",
     "kw_segments_and_large_cap": fx.with_views("segments_v", **fx.keyword_hits_ctes("segments_v", ("the", "and"), 5000, both=True)) + f"SELECT {_HIT_COLS} FROM hits",
     "agg_kw_rx": fx.with_views("segments_v", **fx.regex_hits_ctes("segments_v", PATTERNS)) + (
