@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import re
 
@@ -18,7 +19,7 @@ VOCABULARY_B = "/opt/tokenizers/piece_bpe_32k.model"
 #: Pre-tokens of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts are encoded in pieces of about this many characters; pairs of tokens are expanded about as many at a time.
-PIECE_CHARS, CHUNK_CHARS, PAIRS = 1 << 17, 1 << 20, 1 << 21
+PIECE_CHARS, CHUNK_CHARS, PAIRS = 1 << 17, 1 << 18, 1 << 19
 #: Counts of at most this many pairs of ids are broadcast.
 BROADCAST_PAIRS = 1 << 19
 #: Where a long text may be cut: neither tokenizer joins a letter to a space after it, nor looks across.
@@ -56,24 +57,28 @@ class Encoders:
         self.size_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of space + text in both; nothing where the bytes of either differ from it."""
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, list[int]]]:
+        """Ids of space + text in both; nothing where the bytes of either differ from it.
+
+        Merging bytes loses none, so for the first side their number tells.
+        """
         pieces, owner = [], []
         for i, text in enumerate(texts):
             for piece in _pieces(" " + text) if text else ():
                 pieces.append(piece)
                 owner.append(i)
-        found = [([], []) for _ in texts]
+        found: list[tuple[list, list]] = [([], []) for _ in texts]
         of_b = self.b.encode([p[1:] for p in pieces], num_threads=1) if pieces else []
         for i, piece, b in zip(owner, pieces, of_b):
-            found[i][0].extend(self.a.encode_ordinary(piece))
+            found[i][0].append(self.a.encode_to_numpy(piece, disallowed_special=()))
             found[i][1].extend(b)
-        for i, text in enumerate(texts):
-            a, b = found[i]
+        out = []
+        for text, (parts, b) in zip(texts, found):
+            a = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
             whole = (" " + text).encode()
-            if b"".join(map(self.bytes_a.__getitem__, a)) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
-                found[i] = ([], [])
-        return found
+            same = self.size_a[a].sum() == len(whole) and b"".join(map(self.bytes_b.__getitem__, b)) == whole
+            out.append((a, b) if same else (a[:0], []))
+        return out
 
 
 def _byte_letters() -> dict[str, int]:
@@ -119,27 +124,33 @@ def label_groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np
     token of the first side that ends where that one ends is terminal and points to itself. The successors are doubled
     until they stand still, in as many rounds as the logarithm of the longest chain. Both sides must end at the same byte.
     """
-    n = len(ends_a)
-    over_b = np.searchsorted(ends_b, ends_a)
-    over_a = np.searchsorted(ends_a, ends_b)
+    n, total = len(ends_a), int(ends_a[-1])
+    over_b, over_a = _ends_before(ends_b, total)[ends_a - 1], _ends_before(ends_a, total)[ends_b - 1]
     successor = np.concatenate([np.where(ends_b[over_b] == ends_a, np.arange(n), n + over_b), over_a])
     while True:
         doubled = successor[successor]
         if np.array_equal(doubled, successor):
             break
         successor = doubled
-    terminals = np.flatnonzero(successor[:n] == np.arange(n))
-    groups = np.searchsorted(terminals, successor)
+    terminal = successor[:n] == np.arange(n)
+    groups = (np.cumsum(terminal) - 1)[successor]
     return groups[:n], groups[n:]
 
 
+def _ends_before(ends: np.ndarray, total: int) -> np.ndarray:
+    """For every byte, how many tokens have ended when it begins: the number of the token that holds it."""
+    marks = np.zeros(total, np.int64)
+    marks[ends[:-1]] = 1
+    return np.cumsum(marks)
+
+
 def _batch(encoders: Encoders, texts: list[str]):
     """Flat ids, lengths per text, and the group of every token over all texts of a chunk."""
     encoded = encoders.encode(texts)
     count_a = np.array([len(a) for a, _ in encoded], np.int64)
     count_b = np.array([len(b) for _, b in encoded], np.int64)
-    a = np.fromiter((x for ids, _ in encoded for x in ids), np.int64, count_a.sum())
-    b = np.fromiter((x for _, ids in encoded for x in ids), np.int64, count_b.sum())
+    a = np.concatenate([np.zeros(0, np.int64), *[ids for ids, _ in encoded]])
+    b = np.fromiter(itertools.chain.from_iterable(ids for _, ids in encoded), np.int64, count_b.sum())
     if not len(a):
         return a, b, count_a, count_b, a, b
     # The two sides of a text have equally many bytes, so texts can be laid end to end.
@@ -175,7 +186,7 @@ def _tokens(batches, vocabulary_a, model_b):
     for rows, texts in _chunks(batches):
         a, b, count_a, count_b, group_a, group_b = _batch(encoders, texts)
         groups = int(group_a[-1]) + 1 if len(a) else 0
-        first = np.searchsorted(group_a, np.arange(groups))
+        first = _bounds(np.bincount(group_a, minlength=groups))[:-1]
         owner = np.repeat(np.arange(len(rows)), count_a)[first]
         bounds = _bounds(np.bincount(owner, minlength=len(rows)))
         ids, docs = zip(*rows)
@@ -224,23 +235,30 @@ def links(docs: DataFrame, vocabulary_a: str = VOCABULARY_A, vocabulary_b: str =
 
 
 @functools.cache
-def _words(ids: int, ends: str) -> list[str]:
-    """Decimal ids with each of two characters behind: entry 2 i + k is id i with ``ends[k]``."""
-    return [f"{i}{end}" for i in range(ids) for end in ends]
+def _digits(ids: int) -> tuple[np.ndarray, np.ndarray]:
+    """Decimal digits of the ids below ``ids``, and how many they are."""
+    text = np.array([str(i) for i in range(ids)], "S")
+    return text.view(np.uint8).reshape(ids, -1), np.char.str_len(text)
 
 
-def _spelt(a, b, group_a, group_b, encoders) -> list[str]:
-    """The groups as words, in order: an id and the character behind it."""
-    last_a = np.append(group_a[1:] != group_a[:-1], True)
-    last_b = np.append(group_b[1:] != group_b[:-1], True)
-    words_a, words_b = _words(len(encoders.bytes_a), ",|"), _words(len(encoders.bytes_b), ",;")
-    out = np.empty(len(a) + len(b), object)
+def _spelt(a, b, group_a, group_b, count_a, count_b, ids: int) -> tuple[np.ndarray, np.ndarray]:
+    """The groups as bytes, and where each text begins and ends in them."""
+    groups = int(group_a[-1]) + 1
+    first_a, first_b = (_bounds(np.bincount(g, minlength=groups)) for g in (group_a, group_b))
     # A token's place: all earlier ones of its side, and those of the other side in earlier groups (or this one).
-    at_a = np.arange(len(a)) + np.searchsorted(group_b, group_a)
-    at_b = np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")
-    out[at_a] = list(map(words_a.__getitem__, (2 * a + last_a).tolist()))
-    out[at_b] = list(map(words_b.__getitem__, (2 * b + last_b).tolist()))
-    return out.tolist()
+    at_a, at_b = np.arange(len(a)) + first_b[group_a], np.arange(len(b)) + first_a[group_b + 1]
+    token, behind = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+    token[at_a], token[at_b] = a, b
+    behind[at_a[first_a[1:] - 1]], behind[at_b[first_b[1:] - 1]] = ord("|"), ord(";")
+    digits, width = _digits(ids)
+    width = width[token]
+    ends = np.cumsum(width + 1)
+    out = np.empty(ends[-1], np.uint8)
+    out[ends - 1] = behind
+    for place in range(int(width.max())):
+        there = np.flatnonzero(width > place)
+        out[ends[there] - width[there] - 1 + place] = digits[token[there], place]
+    return out, np.append(0, ends)[_bounds(count_a + count_b)]
 
 
 def _counted(doc: np.ndarray, group: np.ndarray, ids: np.ndarray, many: np.ndarray):
@@ -262,12 +280,13 @@ def _pairs(doc_a, doc_b, a, b, group_a, group_b, width_b):
     sizes_a, sizes_b = np.bincount(group_a, minlength=groups), np.bincount(group_b, minlength=groups)
     many = sizes_a * sizes_b > 256
     doc, group, ids, times = _counted(doc_a, group_a, a, many)
-    order = np.lexsort((ids, doc))
+    order = np.argsort((doc << 40) + ids)
     doc, group, ids, times = doc[order], group[order], ids[order], times[order]
     _, group_other, other, times_other = _counted(doc_b, group_b, b, many)
-    order = np.argsort(group_other, kind="stable")
-    group_other, other, times_other = group_other[order], other[order], times_other[order]
-    first = np.searchsorted(group_other, np.arange(groups + 1))
+    if many.any():
+        order = np.argsort(group_other)
+        group_other, other, times_other = group_other[order], other[order], times_other[order]
+    first = _bounds(np.bincount(group_other, minlength=groups))
     fan = first[group + 1] - first[group]
     before = _bounds(fan)
     changes = np.append(np.flatnonzero((doc[1:] != doc[:-1]) | (ids[1:] != ids[:-1])) + 1, len(doc))
@@ -278,12 +297,16 @@ def _pairs(doc_a, doc_b, a, b, group_a, group_b, width_b):
         end = int(changes[at])
         mine = np.repeat(np.arange(start, end), fan[start:end])
         theirs = np.arange(len(mine)) - (before[mine] - before[start]) + first[group[mine]]
-        linked = times[mine] * times_other[theirs]
         keys = (doc[mine] << 40) + ids[mine] * width_b + other[theirs]
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys = keys[order]
         heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        yield keys[heads] >> 40, (keys[heads] & ((1 << 40) - 1)) // width_b, (keys[heads] & ((1 << 40) - 1)) % width_b, np.add.reduceat(linked[order], heads)
+        if many.any():
+            linked = np.add.reduceat((times[mine] * times_other[theirs])[order], heads)
+        else:
+            linked = np.diff(np.append(heads, len(keys)))
+        pairs = keys[heads] & ((1 << 40) - 1)
+        yield keys[heads] >> 40, pairs // width_b, pairs % width_b, linked
         start = end
 
 
@@ -295,12 +318,13 @@ def _links(batches, vocabulary_a, model_b):
         n = len(rows)
         groups = int(group_a[-1]) + 1 if len(a) else 0
         doc_a, doc_b = np.repeat(np.arange(n), count_a), np.repeat(np.arange(n), count_b)
-        owner = doc_a[np.searchsorted(group_a, np.arange(groups))]
+        owner = doc_a[_bounds(np.bincount(group_a, minlength=groups))[:-1]]
         per_doc = np.bincount(owner, minlength=n)
         linked = np.zeros(n, np.int64)
         np.add.at(linked, owner, np.bincount(group_a, minlength=groups) * np.bincount(group_b, minlength=groups))
-        words, ends = _spelt(a, b, group_a, group_b, encoders) if groups else [], _bounds(count_a + count_b).tolist()
-        shas = [hashlib.sha256("".join(words[s:e])[:-1].encode()).hexdigest() if e > s else "" for s, e in zip(ends, ends[1:])]
+        largest = max(len(encoders.bytes_a), len(encoders.bytes_b))
+        spelt, ends = _spelt(a, b, group_a, group_b, count_a, count_b, largest) if groups else (a, np.zeros(n + 1, np.int64))
+        shas = [hashlib.sha256(spelt[s:e - 1]).hexdigest() if e > s else "" for s, e in zip(ends.tolist(), ends[1:].tolist())]
         ids, docs = zip(*rows)
         parts = _pairs(doc_a, doc_b, a, b, group_a, group_b, len(encoders.bytes_b)) if groups else iter(())
         parts_of = np.zeros(n, np.int64)
