@@ -9,6 +9,7 @@ from linetrawl.operators.search import explode_hits, file_hits, search_segments
 from linetrawl.sources import office as office_source
 from linetrawl.sources.plaintext import decode_text
 from linetrawl.sources.route import route, skip_reason
+from linetrawl.sources.splits import split_segments
 from linetrawl.spec import SearchSpec
 from linetrawl.workspace import shared_dir
 
@@ -62,7 +63,7 @@ def package_parts(routes: dict[str, DataFrame]) -> dict[str, DataFrame]:
     Documents and slides have two readers, their segments and their errors, so what was unpacked is
     written to the shared folder once.
     """
-    routes = {kind: rows.filter(F.col("content").isNotNull()) for kind, rows in routes.items()}
+    routes = {kind: rows.filter(F.col("content").isNotNull()) for kind, rows in routes.items() if kind in ("xlsx", "docx", "pptx")}
     parts = {"xlsx": office_source.xlsx_parts(routes["xlsx"])}
     for kind, unpack in (("docx", office_source.docx_parts), ("pptx", office_source.pptx_parts)):
         if kind in routes:
@@ -88,7 +89,8 @@ def scan(files: DataFrame | dict[str, DataFrame], spec: SearchSpec, office: bool
     ``sources.files.read_routes``.
 
     Packages yield many segments per file, so only their trimmed hits and the package file names
-    meet in a join; text files are finished inside their row.
+    meet in a join; text files are finished inside their row. Files of the route ``large``, where there is one,
+    are read in splits and searched by segment.
     """
     routes = files if isinstance(files, dict) else by_route(files, office)
     plain = routes["text"].unionByName(routes["skip"], allowMissingColumns=True)
@@ -113,6 +115,14 @@ def scan(files: DataFrame | dict[str, DataFrame], spec: SearchSpec, office: bool
         packages.select("path", outcome(F.col("error"), no_reason, n_hits).alias("outcome"),
                         no_reason.alias("reason"), "error", n_hits.alias("n_hits"))
     )
+    if "large" in routes:
+        segments, files = split_segments(routes["large"])
+        more = search_segments(segments.select("path", "idx", "locator", "text"), spec)
+        hits = hits.withColumn("seg_idx", F.col("seg_idx").cast("bigint")).unionByName(more)
+        counted = files.join(more.groupBy("path").agg(F.count("*").alias("n_hits")), "path", "left")
+        reason = F.when(F.col("error").isNull() & ~F.col("is_text"), F.lit("binary"))
+        outcomes = outcomes.unionByName(counted.select(
+            "path", outcome(F.col("error"), reason, n_hits).alias("outcome"), reason.alias("reason"), "error", n_hits.alias("n_hits")))
     seg_hits = hits.withColumn("seg_idx", F.col("seg_idx").cast("bigint"))
     text_hits = explode_hits(texts).withColumn("seg_idx", F.col("seg_idx").cast("bigint"))
     return outcomes, text_hits.unionByName(seg_hits)

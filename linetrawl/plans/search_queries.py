@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linetrawl import SearchSpec
+from linetrawl import ScanSpec, SearchSpec
 from linetrawl.functions.similarity import ratio
 from linetrawl.functions.text import casefold, nfkc, normalize, snippet
 from linetrawl.operators.matching import java_pattern
@@ -13,6 +13,10 @@ from linetrawl.operators.search import (
     all_positions, explode_hits, file_hits, limit_hit_files, line_offsets, search_segments, search_texts,
 )
 from linetrawl.plans import fixtures as fx
+from linetrawl.sinks.files import write_files
+from linetrawl.sources.files import walk_files
+from linetrawl.sources.splits import split_segments
+from linetrawl.workspace import shared_dir
 
 KEYWORDS = ("the", "license", "123", "@")
 BOTH = ("the", "and", "license")
@@ -55,6 +59,21 @@ def _first_files_sql(n):
         first_files=f"SELECT d.path FROM docs d WHERE d.path IN (SELECT path FROM hits) ORDER BY d.file_ord LIMIT {n}")
 
 
+def _written(spark, sf_dir):
+    """Every document as a file in the shared folder; returns its root and the manifest."""
+    root = shared_dir(spark, "files")
+    docs = fx.documents(spark, sf_dir)
+    write_files(docs.select("path", F.encode("text", "UTF-8").alias("content")), root).write.format("noop").mode("overwrite").save()
+    return root, walk_files(spark, [root], ScanSpec(("*",), (), (), None))
+
+
+def _split_lines(spark, sf_dir):
+    """Segments of files that are read in byte ranges of 1,000 bytes."""
+    root, files = _written(spark, sf_dir)
+    segments, _ = split_segments(files, 1000)
+    return segments.select(F.expr(f"substr(path, {len(root) + 1})").alias("path"), F.col("idx").cast("int").alias("idx"), "line_no", "locator", "text")
+
+
 def _norm(column):
     def run(spark, sf_dir):
         return fx.table(spark, sf_dir, "documents").select("doc_id", column(F.col("text")).alias("t")).select(
@@ -68,6 +87,7 @@ def _norm_sql(expr):
 
 QUERIES = {
     "segment_lines": lambda s, d: fx.segments_v(s, d),
+    "segment_lines_split": _split_lines,
     "line_offsets": lambda s, d: line_offsets(fx.documents(s, d).select("path", "text")),
     "kw_or": _hits_or,
     "kw_and": lambda s, d: search_texts(fx.documents(s, d), AND_SPEC),
@@ -106,6 +126,7 @@ QUERIES = {
 
 ORACLES = {
     "segment_lines": fx.with_views("segments_v") + "SELECT path, idx, line_no, locator, text FROM segments_v",
+    "segment_lines_split": fx.with_views("segments_v") + "SELECT path, idx, line_no, locator, text FROM segments_v",
     "line_offsets": fx.with_views("lines") + (
         "SELECT path, line_no, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY path ORDER BY line_no "
         "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM lines"),

@@ -19,6 +19,8 @@ from linetrawl.workspace import shared_dir
 FILE_SCHEMA = "path string, size bigint, mtime timestamp"
 #: A value of a column holds no more.
 MAX_BYTES = 2**31 - 65536
+#: Text files up to this size are one value of a row, larger ones are read in splits.
+WHOLE_BYTES = 256 << 20
 _LISTING = FILE_SCHEMA + ", root string, is_dir boolean"
 
 
@@ -85,15 +87,20 @@ def read_binary(spark: SparkSession, roots: list[str], spec: ScanSpec = ScanSpec
     return filter_manifest(reduce(DataFrame.unionAll, map(one, live)), spec, live)
 
 
-def read_routes(spark: SparkSession, roots: list[str], spec: ScanSpec = ScanSpec(), office: bool = False) -> dict[str, DataFrame]:
+def read_routes(spark: SparkSession, roots: list[str], spec: ScanSpec = ScanSpec(), office: bool = False,
+                whole_bytes: int = WHOLE_BYTES) -> dict[str, DataFrame]:
     """Files with content, split by route, on mounted directories and on any file system that Arrow reads.
 
     Files are listed, filtered and routed by name first, and only those that a route searches are opened. One
-    that cannot be read gets an ``error`` instead of content.
+    that cannot be read gets an ``error`` instead of content. Text files beyond ``whole_bytes`` are the route ``large``,
+    without content, which the scan reads in splits.
     """
     manifest = walk_files(spark, roots, spec)
-    kinds = ("text", "xlsx", "docx", "pptx") if office else ("text", "xlsx")
+    kinds = ("xlsx", "docx", "pptx") if office else ("xlsx",)
     routes = {kind: read_content(manifest.filter(route(F.col("path"), office) == kind)) for kind in kinds}
+    large = (route(F.col("path"), office) == "text") & (F.col("size") > whole_bytes)
+    routes["text"] = read_content(manifest.filter((route(F.col("path"), office) == "text") & ~F.coalesce(large, F.lit(False))))
+    routes["large"] = manifest.filter(large)
     routes["skip"] = manifest.filter(route(F.col("path"), office) == "skip").withColumns(
         {"content": F.lit(None).cast("binary"), "error": F.lit(None).cast("string")})
     return routes
