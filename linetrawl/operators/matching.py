@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession, functions as F
 
+from linetrawl.functions.literals import java_test, required
 from linetrawl.functions.similarity import best_match, cluster_pattern, could_match
 from linetrawl.functions.text import (
     has_rare_break, normalize_literal, quote_literal, snippet, split_lines,
@@ -349,6 +350,18 @@ def _arrow_hits(matcher, spec: SearchSpec):
     return find.asNondeterministic()
 
 
+def exact_test(spec: SearchSpec) -> str | None:
+    """A Java pattern that finds something in every text that any of the patterns matches; None if there is none."""
+    runs = [required(p, not spec.case_sensitive) for p in spec.keywords]
+    return java_test([run for alternatives in runs for run in alternatives]) if all(runs) else None
+
+
+def regex_candidates(segs: Column, spec: SearchSpec) -> Column:
+    """Segments that hold what some pattern cannot match without; only they go to Python."""
+    test = exact_test(spec)
+    return segs if test is None else F.filter(segs, lambda s: s["text"].rlike(test))
+
+
 def regex_hits_exact(segs: Column, spec: SearchSpec) -> Column:
     """Patterns outside the portable subset, with Python's own regex semantics."""
     flags = 0 if spec.case_sensitive else re.IGNORECASE

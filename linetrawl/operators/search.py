@@ -31,6 +31,8 @@ def _with_hits(rows: DataFrame, kept: list[str], segs: Column, spec: SearchSpec,
     if _in_python(spec):
         if spec.mode == "fuzzy":
             segs = matching.fuzzy_candidates(segs, spec, multiline)
+        else:
+            segs = matching.regex_candidates(segs, spec)
         rows = rows.select(*kept, once(segs).alias("_segs"))
         lane = matching.fuzzy_hits if spec.mode == "fuzzy" else matching.regex_hits_exact
         return rows.select(*kept, F.coalesce(lane(F.col("_segs"), spec), empty).alias("hits"))
@@ -52,7 +54,10 @@ def file_hits(files: DataFrame, spec: SearchSpec, text: str = "text") -> DataFra
         return files.withColumn("hits", F.array().cast(matching.HIT_TYPE))
     kept = files.columns
     if spec.mode == "regex":
-        return _with_hits(files, kept, line_segments(F.col(text)), spec)
+        segs = line_segments(F.col(text))
+        if _in_python(spec) and (test := matching.exact_test(spec)):
+            segs = F.when(F.col(text).rlike(test), segs)
+        return _with_hits(files, kept, segs, spec)
 
     normal = files.withColumn("_norm", normalize(F.col(text), spec.case_sensitive, spec.normalize_width))
     if spec.mode == "fuzzy":

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from linetrawl import ScanSpec, SearchSpec
 from linetrawl.functions.similarity import ratio
 from linetrawl.functions.text import casefold, nfkc, normalize, snippet
-from linetrawl.operators.matching import java_pattern
+from linetrawl.operators.matching import exact_test, java_pattern
 from linetrawl.operators.report import keyword_counts
 from linetrawl.operators.search import (
     all_positions, explode_hits, file_hits, limit_hit_files, line_offsets, search_segments, search_texts,
@@ -110,6 +110,7 @@ QUERIES = {
     "rx_filter": lambda s, d: fx.segments_v(s, d).filter(F.col("text").rlike(java_pattern(PATTERNS[0], False))).select("path", "idx", "text"),
     "rx_positions": lambda s, d: search_texts(fx.documents(s, d), SearchSpec(PATTERNS, mode="regex")),
     "rx_exact_lane": lambda s, d: search_texts(fx.documents(s, d), SearchSpec(NAMED, mode="regex")),
+    "rx_candidates": lambda s, d: fx.segments_v(s, d).filter(F.col("text").rlike(exact_test(SearchSpec(NAMED, mode="regex")))).select("path", "idx"),
     "fz_hits": lambda s, d: search_texts(fx.documents(s, d), SearchSpec(FUZZY, mode="fuzzy")),
     "fz_segments": lambda s, d: search_segments(fx.turns_v(s, d), SearchSpec(("than the", "ention"), mode="fuzzy")),
     "fz_ratio": lambda s, d: fx.segments_v(s, d).select(
@@ -151,6 +152,7 @@ ORACLES = {
     "rx_filter": fx.with_views("segments_v") + f"SELECT path, idx, text FROM segments_v WHERE regexp_matches(text, '(?i){PATTERNS[0]}')",
     "rx_positions": fx.with_views("segments_v", **fx.regex_hits_ctes("segments_v", PATTERNS)) + f"SELECT {_HIT_COLS} FROM hits",
     "rx_exact_lane": fx.with_views("segments_v", **fx.regex_hits_ctes("segments_v", NAMED)) + f"SELECT {_HIT_COLS} FROM hits",
+    "rx_candidates": fx.with_views("segments_v") + "SELECT path, idx FROM segments_v WHERE regexp_matches(text, '(?i)com|org|net') OR contains(text, '-')",
     "hits_ordered": _or_sql("SELECT hits.*, docs.file_ord FROM hits JOIN docs USING (path)"),
     "limit_files": _first_files_sql(7),
     "limit_first": _first_files_sql(1),
