@@ -9,6 +9,8 @@ from linetrawl.functions.paths import format_timestamp
 from linetrawl.operators import report
 from linetrawl.operators.scan import scan
 from linetrawl.plans import fixtures as fx
+from linetrawl.plans.search_queries import written
+from linetrawl.sources.datasource import source_files
 from linetrawl.sources.files import filter_manifest, union_roots, with_extra_root
 from linetrawl.sources.plaintext import decode_text, guess_decode, looks_like_text
 from linetrawl.sources.route import BINARY, route, skip_reason
@@ -47,6 +49,13 @@ def _guessed(spark, sf_dir):
     return docs.select("path", F.char_length("t").cast("bigint").alias("n"), F.md5("t").alias("digest"))
 
 
+def _from_source(spark, sf_dir):
+    """The default scan of documents that lie in a directory tree, with the content of what passes."""
+    root = written(spark, sf_dir)
+    files = source_files(spark, [root], ScanSpec(), ("path", "size", "content"))
+    return files.select(F.expr(f"substr(path, {len(root) + 1})").alias("path"), "size", F.md5("content").alias("digest"))
+
+
 def outcomes(spark, sf_dir, office=True):
     return scan(fx.content_v(spark, sf_dir), SPEC, office)[0]
 
@@ -87,6 +96,7 @@ _SUMMARY = """SELECT count(*) AS n_files, count_if(outcome = 'hit') AS n_hit_fil
 QUERIES = {
     "scan_manifest": lambda s, d: filter_manifest(fx.files_v(s, d), ScanSpec()).select(
         "path", "size", format_timestamp(F.col("mtime")).alias("mtime")),
+    "scan_source": _from_source,
     "scan_multi_root": lambda s, d: union_roots(fx.files_v(s, d), ROOTS).select("path"),
     "scan_extra_root": lambda s, d: union_roots(
         fx.files_v(s, d), with_extra_root(["/share/src1"], "/share/src3", True)).select("path"),
@@ -117,6 +127,9 @@ ORACLES = {
     "scan_manifest": fx.with_views("files_v") + f"""SELECT path, size, strftime(mtime, '%Y-%m-%d %H:%M:%S') AS mtime FROM files_v
       WHERE {fx.EXT_SQL} IN ({_quoted(DEFAULT_EXTENSIONS)}) AND len(list_intersect(string_split(path, '/'), [{_quoted(DEFAULT_EXCLUDE_DIRS)}])) = 0
       AND NOT starts_with({fx.BASE_SQL}, '~$') AND NOT ends_with(path, '.tmp') AND size <= 100 * 1024 * 1024""",
+    "scan_source": fx.with_views("docs") + f"""SELECT path, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest
+      FROM docs WHERE {fx.EXT_SQL} IN ({_quoted(DEFAULT_EXTENSIONS)}) AND len(list_intersect(string_split(path, '/'), [{_quoted(DEFAULT_EXCLUDE_DIRS)}])) = 0
+      AND NOT starts_with({fx.BASE_SQL}, '~$') AND NOT ends_with(path, '.tmp')""",
     "scan_multi_root": _roots_sql(ROOTS),
     "scan_extra_root": _roots_sql(["/share/src1", "/share/src3"]),
     "filter_ext": fx.with_views("files_v") + f"{_PATH} WHERE {fx.EXT_SQL} IN ('.txt', '.md', '.log')",

@@ -59,18 +59,18 @@ def _first_files_sql(n):
         first_files=f"SELECT d.path FROM docs d WHERE d.path IN (SELECT path FROM hits) ORDER BY d.file_ord LIMIT {n}")
 
 
-def _written(spark, sf_dir):
-    """Every document as a file in the shared folder; returns its root and the manifest."""
+def written(spark, sf_dir):
+    """Every document as a file in the shared folder; returns its root."""
     root = shared_dir(spark, "files")
     docs = fx.documents(spark, sf_dir)
     write_files(docs.select("path", F.encode("text", "UTF-8").alias("content")), root).write.format("noop").mode("overwrite").save()
-    return root, walk_files(spark, [root], ScanSpec(("*",), (), (), None))
+    return root
 
 
 def _split_lines(spark, sf_dir):
     """Segments of files that are read in byte ranges of 1,000 bytes."""
-    root, files = _written(spark, sf_dir)
-    segments, _ = split_segments(files, 1000)
+    root = written(spark, sf_dir)
+    segments, _ = split_segments(walk_files(spark, [root], ScanSpec(("*",), (), (), None)), 1000)
     return segments.select(F.expr(f"substr(path, {len(root) + 1})").alias("path"), F.col("idx").cast("int").alias("idx"), "line_no", "locator", "text")
 
 
