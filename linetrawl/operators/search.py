@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from linetrawl.functions.text import (
@@ -10,6 +12,7 @@ from linetrawl.functions.text import (
 from linetrawl.operators import matching
 from linetrawl.operators.ranks import running_total
 from linetrawl.spec import SearchSpec
+from linetrawl.workspace import shared_dir
 
 HIT_COLUMNS = ["path", "seg_idx", "locator", "kw_idx", "position", "matched", "snippet"]
 # Largest cap served by one window per file; the optimizer trims each task to the cap before the
@@ -102,6 +105,32 @@ def limit_hit_files(searched: DataFrame, n: int, order: str = "file_ord") -> Dat
     return searched.filter(F.size("hits") > 0).orderBy(order).limit(n)
 
 
+def first_hit_files(files: DataFrame, spec: SearchSpec, n: int, order: str = "file_ord", parts: int = 4096, growth: int = 8) -> DataFrame:
+    """What ``limit_hit_files`` gives of the searched ``files``, but only as many files are searched as it takes.
+
+    ``order`` is a whole number. Ranges of it are searched one after the other, the first a ``parts``-th of all and each next one
+    ``growth`` times as wide, until ``n`` files have hits; a filter on the range reaches the scan, so a table that is laid out in this order
+    is read no further. The rounds are few, whatever the hits: with none at all every file is searched once. Found
+    files, ``n`` at most, are kept in the shared folder. Files without a number come first.
+    """
+    low, high = files.agg(F.min(order), F.max(order)).first()
+    found, missing, start = [], n, low
+    width = 1 if low is None else max(1, (high - low + 1) // parts)
+    place = F.col(order)
+    while missing > 0:
+        inside = F.lit(True) if low is None else (place >= start) & (place < start + width)
+        some = files.filter(inside | place.isNull() if start == low else inside)
+        out = shared_dir(files.sparkSession, "first-files")
+        limit_hit_files(file_hits(some, spec), missing, order).write.parquet(out)
+        part = files.sparkSession.read.parquet(out)
+        found.append(part)
+        missing -= part.count()
+        if low is None or start + width > high:
+            break
+        start, width = start + width, width * growth
+    return reduce(DataFrame.unionByName, found) if found else file_hits(files, spec).limit(0)
+
+
 # --------------------------------------------------------------------------------- segment tables
 def search_segments(segments: DataFrame, spec: SearchSpec) -> DataFrame:
     """Hits of a ``(path, idx, locator, text)`` table, capped per file across its segments."""

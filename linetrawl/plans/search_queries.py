@@ -10,7 +10,7 @@ from linetrawl.functions.text import casefold, nfkc, normalize, snippet
 from linetrawl.operators.matching import exact_test, java_pattern
 from linetrawl.operators.report import keyword_counts
 from linetrawl.operators.search import (
-    all_positions, explode_hits, file_hits, limit_hit_files, line_offsets, search_segments, search_texts,
+    all_positions, explode_hits, file_hits, first_hit_files, line_offsets, search_segments, search_texts,
 )
 from linetrawl.plans import fixtures as fx
 from linetrawl.sinks.files import write_files
@@ -50,7 +50,8 @@ def _or_sql(select, cap=20, **more):
 
 
 def _first_files(spark, sf_dir, n):
-    return explode_hits(limit_hit_files(_searched(spark, sf_dir), n))
+    files = fx.documents(spark, sf_dir).select("file_ord", "path", "mtime", "text")
+    return explode_hits(first_hit_files(files, OR_SPEC, n))
 
 
 def _first_files_sql(n):
