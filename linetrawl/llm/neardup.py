@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from linetrawl.llm import texts
 from linetrawl.llm.common import NULL_ID, groups, stored
@@ -73,7 +73,7 @@ def _features(bands: int, rows: int):
         words = _Words()
         for batch in batches:
             at = 0
-            ids = batch.column(0)
+            ids, text_keys = batch.column(0), batch.column(2)
             for chunk in texts.chunks((t.as_py() for t in batch.column(1))):
                 sets = [ngram_set(t, words) for t in chunk]
                 filled = [s for s in sets if len(s)]
@@ -87,18 +87,29 @@ def _features(bands: int, rows: int):
                 whole = np.array([len(s) > 0 for s in sets])
                 offsets = np.concatenate([[0], np.cumsum(whole * bands)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(at, len(chunk)),
+                    ids.slice(at, len(chunk)), text_keys.slice(at, len(chunk)),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64).reshape(-1))),
-                ], names=["doc_id", "set_key", "n", "bands"])
+                ], names=["doc_id", "text_key", "set_key", "n", "bands"])
                 at += len(chunk)
 
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """``doc_id, class_id, n_links`` for every row of ``doc_id, text``.
+def _text_key(text: Column) -> Column:
+    return F.unhex(F.md5(F.encode(F.coalesce(text, F.lit("")), "UTF-8")))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, text_key``: id and digest of the text name a row, up to repeated ones, also where ids are null or occur twice."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), _text_key(text).alias("text_key"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, keys: bool = False) -> DataFrame:
+    """``doc_id, class_id, n_links`` for every row of ``doc_id, text``; with ``keys`` also ``text_key`` and ``root``, which
+    tell classes apart whose ids do not.
 
     Two documents are linked if the Jaccard similarity of their sets of five-word runs (lower case,
     white space between words does not count) is ``threshold`` or more. A class is what links connect, named by its least
@@ -114,10 +125,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     tasks; only a row per node and pair of blocks leaves them, with a sum and one link of a spanning forest. So
     near copies never become rows of pairs. The work still grows with the square of a group of near copies, whose links it counts.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    features = stored(ids.mapInArrow(_features(*banding(threshold, recall)), "doc_id long, set_key binary, n int, bands array<long>"), "features")
+    ids = _keyed(docs)
+    features = stored(ids.mapInArrow(_features(*banding(threshold, recall)), "doc_id long, text_key binary, set_key binary, n int, bands array<long>"), "features")
     nodes = features.filter("set_key IS NOT NULL").groupBy("set_key").agg(
-        F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+        F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.min(_row()).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     entries = nodes.select("node", F.explode("bands").alias("band"))
     leaders = entries.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("m")).filter("m > 1").drop("m")
@@ -130,27 +141,31 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
         nodes.select("node", "set_key", "copies", "first").join(links, "node", "left")
         .join(classes, "node", "left").select(
             "set_key", F.coalesce("root", "node").alias("root"), "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "placed")
-    placed = placed.join(placed.groupBy("root").agg(F.min("first").alias("class_id")), "root").select("set_key", "class_id", "n_links")
-    return features.select("doc_id", "set_key").join(placed, "set_key", "left").select(
-        "doc_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    placed = placed.join(placed.groupBy("root").agg(F.min("first").alias("class_id")), "root").select("set_key", "class_id", "n_links", *(["root"] if keys else []))
+    more = ["text_key", "root"] if keys else []
+    met = features.select("doc_id", "text_key", "set_key").join(placed, "set_key").select("doc_id", "class_id", "n_links", *more)
+    lone = features.filter("set_key IS NULL").select(  # never joined, so they are no hot key
+        "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "text_key", F.lit(None).cast("long").alias("root"))
+    return met.unionByName(lone.select("doc_id", "class_id", "n_links", *more))
+
+
+def _row() -> Column:
+    """What orders rows: the id, null last, then the text."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), "text_key")
 
 
 def _sets(ids: DataFrame, nodes: DataFrame, groups_: DataFrame) -> DataFrame:
-    """``node, copies, grams`` of every node in a group, from one of its documents."""
-    wanted = groups_.select("node").join(nodes.select("node", "set_key", "copies", F.coalesce("first", F.lit(NULL_ID)).alias("key")), "node")
+    """``node, copies, grams`` of every node in a group, from one of its documents, met by id and text."""
+    wanted = groups_.select("node").join(nodes.select("node", "copies", "row.key", "row.text_key"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
-            keys = batch.column(2).to_pylist()
-            sets = [ngram_set(t.as_py() or "", words) for t in batch.column(3)]
-            right = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == k for s, k in zip(sets, keys)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "copies", "grams"]).filter(pa.array(right, pa.bool_()))
+            sets = [ngram_set(t.as_py() or "", words).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["node", "copies", "grams"])
 
-    found = ids.withColumn("key", F.coalesce("doc_id", F.lit(NULL_ID))).join(wanted, "key").select("node", "copies", "set_key", "text")
-    return stored(found.mapInArrow(run, "node long, copies long, grams binary").dropDuplicates(["node"]), "sets")
+    found = ids.withColumn("key", F.coalesce("doc_id", F.lit(NULL_ID))).join(wanted, ["key", "text_key"]).select("node", "copies", "text")
+    return stored(found.dropDuplicates(["node"]).mapInArrow(run, "node long, copies long, grams binary"), "sets")
 
 
 def _units(groups_: DataFrame, entries: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -234,7 +249,16 @@ def count_links(sets: list[np.ndarray], copies: np.ndarray, block: np.ndarray |
 
 
 def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The document that names each class, all columns kept; of repeated rows one stays."""
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).repartition("__key")
-    names = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__key")).distinct()
-    return keyed.join(names, "__key", "left_semi").dropDuplicates(["__key", "text"]).drop("__key")
+    """Exactly one row of each class, all columns kept: that of the least id, null last; of repeated rows any one.
+
+    ``classes`` are the near duplicates of ``docs`` with their ``keys``. Rows in no class of others, those without words, all stay.
+    """
+    alone = classes.filter("root IS NULL").select(_row().alias("row"))
+    first = classes.filter("root IS NOT NULL").groupBy("root").agg(F.min(_row()).alias("row"))
+    lone = alone.select("row.key", "row.text_key").distinct().withColumn("__lone", F.lit(True))
+    names = lone.union(first.select("row.key", "row.text_key", F.lit(False)))
+    names = names.select(F.col("key").alias("__key"), F.col("text_key").alias("__text_key"), "__lone")
+    columns = [f"`{c}`" for c in docs.columns]
+    keyed = docs.withColumns({"__key": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__text_key": _text_key(F.col("text").cast("string"))})
+    met = keyed.join(names, ["__key", "__text_key"]).withColumn("__lone", F.when(F.col("__lone"), F.monotonically_increasing_id()))
+    return met.dropDuplicates(["__key", "__text_key", "__lone"]).select(*columns)

@@ -354,10 +354,32 @@ def test_near_duplicates_hard_rows(hard, empty):
     got = sorted(((r.doc_id, r.class_id, r.n_links) for r in neardup.near_duplicates(hard).collect()), key=str)
     assert (1, 1, 0) in got and (2, 2, 0) in got and got.count((4, 3, 2)) == 2 and (3, 3, 2) in got and (None, None, 0) in got
     assert neardup.near_duplicates(empty).count() == 0
-    kept = neardup.keep_one(hard, neardup.near_duplicates(hard))
+    kept = neardup.keep_one(hard, neardup.near_duplicates(hard, keys=True))
     assert sorted((str(r.doc_id) for r in kept.collect())) == sorted(["1", "2", "3", "5", "None", "6", "7", "8"]) and kept.columns == hard.columns
 
 
+def test_null_and_repeated_ids(spark):
+    """One row of each class stays, whatever its ids are; the links of rows do not depend on them."""
+    words = lambda n: " ".join(f"w{n}x{i}" for i in range(60))
+    near = lambda n: words(n).replace(f"w{n}x0 ", f"z{n} ")
+    rows = [(None, words(1)), (None, near(1)), (1, words(1)), (None, words(2)), (7, words(3)), (7, near(3)), (7, words(4)), (None, words(5)), (None, near(5)),
+            (None, words(5)), (None, ""), (None, None), (9, words(6)), (9, words(6))]
+    docs = spark.createDataFrame([(*r, "k", "t") for r in rows], "doc_id long, text string, root string, text_key string")
+    classes = neardup.near_duplicates(docs, keys=True)
+    assert sorted(r.n_links for r in classes.collect()) == [0, 0, 0, 0, 1, 1, 1, 1, 2, 2, 2, 2, 2, 2]
+    kept = neardup.keep_one(docs, classes)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, (r.text or "")[-4:]) for r in kept.collect()), key=str)
+    assert got == sorted([(1, "1x59"), (None, "2x59"), (7, "3x59"), (7, "4x59"), (None, "5x59"), (None, ""), (None, ""), (9, "6x59")], key=str)
+
+
+def test_many_rows_of_no_id(spark):
+    """Rows of one id meet by their texts, so their number is no square."""
+    texts = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat_ws(
+        " ", *[F.concat(F.lit(f"w{i}x"), (F.col("id") / 2).cast("long")) for i in range(9)], F.when(F.col("id") % 2 == 0, "even").otherwise("even")).alias("text"))
+    assert texts.count() == neardup.near_duplicates(texts).filter("n_links = 1").count()
+
+
 def test_banding():
     bands, rows = neardup.banding()
     assert bands * rows <= neardup.HASHES and 1 - (1 - 0.8 ** rows) ** bands >= neardup.RECALL
