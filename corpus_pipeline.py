@@ -21,7 +21,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, that with the least id."""
-    return neardup.keep_one(docs, neardup.near_duplicates(docs)).select(*docs.columns)
+    return neardup.keep_one(docs, neardup.near_duplicates(docs, keys=True)).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
