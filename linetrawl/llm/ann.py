@@ -17,7 +17,7 @@ DIMS, LEAF, CELL, SAMPLE = 8, 128, 8192, 65536
 CONFIDENCE = 0.97
 #: Queries that meet a cell are dealt in groups of about this many.
 PROBES = 4096
-_HITS = "array<struct<score: double, vec_id: long>>"
+_HITS = "array<struct<score: double, vec_id: long, own: boolean>>"
 
 
 def usable(vector: Column) -> Column:
@@ -30,8 +30,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, confidence: float
     """``query_id, rank, vec_id, score``: for each query row its ``k`` nearest other rows by cosine.
 
     ``vectors`` holds ``vec_id, embedding``. Rows whose vector is null, zero or holds a null or non-finite
-    component take no part, nor rows of a null id, nor vectors of another than the most frequent length (ties: the
-    shorter). Rows equal in id and vector count once. Ties go to the smaller id; with fewer than ``k`` others all are returned.
+    component take no part, nor rows of a null id. Vectors of different lengths have no cosine, so each length is searched by itself, one
+    after the other. A query's candidates are all other rows: one that repeats it in id and vector is another row too.
+    Ties go to the smaller id; with fewer than ``k`` others all are returned.
 
     Equal vectors become one point with its ``k`` + 1 smallest ids, which is all that a result can show.
     Points are dealt to the cells of a kd-tree over Gaussian projections of their directions (shaped by at most
@@ -42,18 +43,23 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, confidence: float
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    length = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    empty = rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    if length is None:
-        return empty
-    rows = rows.filter(F.size("embedding") == length[0]).distinct()
+    rows = rows.select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("asks"))
+    found = rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
+    for length, in rows.filter("asks").select(F.size("embedding")).distinct().collect():
+        found = found.union(_nearest(rows.filter(F.size("embedding") == length), length, k, confidence))
+    return found
+
+
+def _nearest(rows: DataFrame, length: int, k: int, confidence: float) -> DataFrame:
+    """The search among vectors of one length."""
     same = Window.partitionBy("embedding").orderBy("vec_id")
     points = rows.withColumn("r", F.row_number().over(same)).filter(F.col("r") <= k + 1) \
         .groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     points = stored(points.withColumn("uid", F.monotonically_increasing_id()), "points")
-    queries = stored(rows.filter(is_query).join(points, "embedding").select(F.col("vec_id").alias("query_id"), "uid"), "queries")
+    queries = rows.filter("asks").join(points, "embedding").select(F.col("vec_id").alias("query_id"), "uid")
+    queries = stored(queries.withColumn("query", F.monotonically_increasing_id()), "queries")
 
-    space = _Space(length[0], _cells(points, length[0]))
+    space = _Space(length, _cells(points, length))
     placed = stored(points.mapInArrow(space.place, "uid long, embedding array<double>, ids array<long>, cell int"), "cells")
     asked = placed.join(queries.select("uid").distinct(), "uid", "left_semi").select("uid", "embedding", F.lit(4.0).alias("within"), "cell")
     own = stored(_probe(placed, asked, k + 1, confidence), "own")
@@ -62,10 +68,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, confidence: float
     found = own.union(_probe(placed, others, k + 1, confidence)).select("uid", F.inline("hits"))
     best = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).drop("r")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # A query is among the hits of its own point, unless that many others of smaller ids are: one hit of its id goes.
+    met = queries.join(found, "uid").withColumn("__self", F.col("own") & (F.col("vec_id") == F.col("query_id")))
+    turn = Window.partitionBy("query").orderBy(F.desc("__self"))
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return (
-        queries.join(found, "uid").filter("vec_id <> query_id").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score"))
+        met.withColumn("r", F.row_number().over(turn)).filter(~F.col("__self") | (F.col("r") > 1)).withColumn("rank", F.row_number().over(best))
+        .filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
 
 
 def _directions(values: np.ndarray) -> np.ndarray:
@@ -194,7 +203,7 @@ def _probe(placed: DataFrame, asked: DataFrame, k: int, confidence: float) -> Da
         rows = _search_cell(points, queries, k, confidence) if points.num_rows and queries.num_rows else []
         return pa.table({
             "uid": pa.array([r[0] for r in rows], pa.int64()), "within": pa.array([r[1] for r in rows], pa.float64()),
-            "hits": pa.array([r[2] for r in rows], pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())])))})
+            "hits": pa.array([r[2] for r in rows], pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64()), ("own", pa.bool_())])))})
 
     keys = ("cell", "part")
     return points.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(run, f"uid long, within double, hits {_HITS}")
@@ -203,12 +212,13 @@ def _probe(placed: DataFrame, asked: DataFrame, k: int, confidence: float) -> Da
 def _search_cell(points: pa.Table, queries: pa.Table, k: int, confidence: float) -> list[tuple]:
     matrix = lambda t: np.stack([np.asarray(x.values) for x in t.column("embedding")])
     original, asked = matrix(points), matrix(queries)
-    ids = points.column("ids").to_pylist()
+    ids, uids = points.column("ids").to_pylist(), points.column("uid").to_pylist()
     unit = _directions(original)
     projection, most = _projection(unit.shape[1]), _quantile(confidence)
     at = unit @ projection
     order, starts = _leaves(at)
     original, unit, at, ids = original[order], unit[order], at[order], [ids[i] for i in order]
+    uids = [uids[i] for i in order]
     low, high = np.minimum.reduceat(at, starts), np.maximum.reduceat(at, starts)
     ends = [*starts[1:], len(order)]
     copies = np.array(list(map(len, ids)))
@@ -232,8 +242,8 @@ def _search_cell(points: pa.Table, queries: pa.Table, k: int, confidence: float)
                 within = min(within, max(0.0, 2 - 2 * best[reach]))
         scale = query / np.abs(query).max()
         scores = (scaled[best_at] @ scale) / (norms[best_at] * np.linalg.norm(scale))
-        hits = sorted(((float(s), v) for s, i in zip(scores, best_at) for v in ids[i]), key=lambda x: (-x[0], x[1]))[:k]
-        rows.append((uid, within, [{"score": s, "vec_id": v} for s, v in hits]))
+        hits = sorted(((float(s), v, uids[i] == uid) for s, i in zip(scores, best_at) for v in ids[i]), key=lambda x: (-x[0], x[1]))[:k]
+        rows.append((uid, within, [dict(zip(("score", "vec_id", "own"), hit)) for hit in hits]))
     return rows
 
 
