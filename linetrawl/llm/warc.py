@@ -21,6 +21,8 @@ RECORD = "page_id long, url string, record_type string, refers_to long, payload_
 ARCHIVE_BYTES = 128 << 20
 #: Ranges are read together up to this many bytes between them and this many in all.
 GAP_BYTES, RUN_BYTES = 64 << 10, 8 << 20
+#: Bytes of archives that a reading task takes, about.
+TASK_BYTES = 64 << 20
 _BATCH_BYTES = 4 << 20
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
@@ -95,7 +97,11 @@ def read_records(index: DataFrame) -> DataFrame:
     payload does not match its digest fails the job. A revisit has an empty payload; its
     ``payload_bytes`` are those that its HTTP head announces.
     """
-    wanted = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    wanted = index.select("file", "offset", "length")
+    # An index row of some bytes stands for a whole record, so the number of tasks comes from the bytes of the archives.
+    cores = wanted.sparkSession.sparkContext.defaultParallelism
+    tasks = max(cores, (wanted.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES + 1)
+    wanted = wanted.repartition(tasks, "file").sortWithinPartitions("file", "offset")
     return wanted.mapInArrow(_read, RECORD)
 
 
