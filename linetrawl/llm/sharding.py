@@ -17,7 +17,8 @@ _TIE = 2 ** 31
 class Node:
     """A box of the tree; an inner one sends keys up to ``cut`` to the left.
 
-    Rows of the one key ``split`` are parted by the hash of their id: up to ``split_at`` to the left.
+    Rows of the one key ``split`` are parted by the hash of their id: up to ``split_at`` to the left. Of these, rows of the one
+    hash ``split_id`` are parted by a hash of their place in the table: up to ``split_row``.
     """
 
     shards: int
@@ -25,6 +26,8 @@ class Node:
     cut: int | None = None
     split: int | None = None
     split_at: int = 0
+    split_id: int | None = None
+    split_row: int = 0
     left: "Node | None" = None
     right: "Node | None" = None
 
@@ -51,7 +54,7 @@ def shard(docs: DataFrame, shards: int = 16, dims: Callable[[Column], list[Colum
     bin and looking closer into the bin that holds it, so a pass sends at most ``BINS`` numbers per box.
     Ties in the dimension are broken by a hash of the text, so equal texts fall into one shard, unless
     the group lies across a cut that would miss the median by more than ``whole`` targets: then the hash of
-    the id divides it. Other cuts miss it by ``slack`` targets or one document at most.
+    the id divides it, and a hash of the place where a row is read divides those of one id, repeated rows for example. Other cuts miss it by ``slack`` targets or one document at most.
 
     Size is the UTF-8 length of the text plus 1; a null text has none. ``slot`` counts from 0 in a shard
     without gaps, in the order of a hash of the id, then id and text; equal rows are interchangeable. An
@@ -59,7 +62,7 @@ def shard(docs: DataFrame, shards: int = 16, dims: Callable[[Column], list[Colum
     kept; those named like the four added ones are replaced.
     """
     docs = without(docs, "size", "text_crc32", "shard", "slot")
-    points = stored(_points(docs, dims).select("__size", "__dims", "__tie", "__id"), "kd")
+    points = stored(_points(docs, dims).select("__size", "__dims", "__tie", "__id", "__row"), "kd")
     tree = _fit(points, len(dims(F.col("text"))), shards, slack, whole)
     placed = _points(docs, dims).withColumn("shard", _route(tree, 0))
     numbered = earlier_sum(
@@ -75,6 +78,7 @@ def _points(docs, dims):
         "__dims": F.array(*bounded),
         "__tie": F.pmod(F.xxhash64(t), F.lit(_TIE)),
         "__id": spread("doc_id"),
+        "__row": F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 2),
         "__crc": F.crc32(F.encode(t, "UTF-8")),
     })
 
@@ -89,7 +93,12 @@ def _route(node: Node, first: int) -> Column:
 def _goes_left(node: Node) -> Column:
     """Along a dimension rows are placed by its value, then by the hash of their text."""
     key = F.element_at("__dims", node.dim + 1) * F.lit(_TIE) + F.col("__tie")
-    return key <= node.cut if node.split is None else F.when(key == node.split, F.col("__id") <= node.split_at).otherwise(key <= node.cut)
+    if node.split is None:
+        return key <= node.cut
+    left = F.col("__id") <= node.split_at
+    if node.split_id is not None:
+        left = F.when(F.col("__id") == node.split_id, F.col("__row") <= node.split_row).otherwise(left)
+    return F.when(key == node.split, left).otherwise(key <= node.cut)
 
 
 def _fit(points: DataFrame, n: int, shards: int, slack: float, whole_groups: float) -> Node:
@@ -110,7 +119,7 @@ def _fit(points: DataFrame, n: int, shards: int, slack: float, whole_groups: flo
         aims = {i: found[i][1] * (node.shards // 2) / node.shards for i, node in level.items()}
         bounds = {i: (found[i][2 + 2 * x.dim] * _TIE, found[i][3 + 2 * x.dim] * _TIE + _TIE - 1) for i, x in level.items()}
         keyed = boxes.withColumn("__key", F.element_at("__dims", _per_box({i: x.dim + 1 for i, x in level.items()}).cast("int")) * F.lit(_TIE) + F.col("__tie"))
-        heavy = {}
+        heavy, repeated = {}, {}
         for i, (at, below, weight) in _medians(keyed, "__key", bounds, aims, allowed).items():
             level[i].cut, off = _nearer(at, below, weight, aims[i])
             if off > max(allowed, whole_groups * whole[0] / shards):  # a group of equal texts that is too heavy to stay whole
@@ -118,7 +127,13 @@ def _fit(points: DataFrame, n: int, shards: int, slack: float, whole_groups: flo
         if heavy:
             group = keyed.filter(F.col("__key") == _per_box({i: level[i].split for i in heavy}))
             for i, median in _medians(group, "__id", dict.fromkeys(heavy, (0, SPREAD - 1)), heavy, allowed).items():
-                level[i].split_at, _ = _nearer(*median, heavy[i])
+                level[i].split_at, off = _nearer(*median, heavy[i])
+                if off > max(allowed, whole_groups * whole[0] / shards):  # an id that is too heavy, however often it occurs
+                    repeated[i], level[i].split_id = heavy[i] - median[1], median[0]
+        if repeated:
+            group = group.filter(F.col("__id") == _per_box({i: level[i].split_id for i in repeated}))
+            for i, median in _medians(group, "__row", dict.fromkeys(repeated, (0, SPREAD - 1)), repeated, allowed).items():
+                level[i].split_row, _ = _nearer(*median, repeated[i])
         next_level, side = [], {}
         for i, node in level.items():
             node.left, node.right = Node(node.shards // 2), Node(node.shards - node.shards // 2)

@@ -621,6 +621,19 @@ def test_shards_split_a_heavy_group(spark):
     assert {(r.doc_id, r.shard, r.slot) for r in again} == {(r.doc_id, r.shard, r.slot) for r in placed}
 
 
+def test_shards_part_equal_rows(spark):
+    """900 rows that nothing tells apart, and 100 others, in shards of nearly equal bytes."""
+    rows = [(5, "one and the same text")] * 900 + [(1000 + i, f"text number {i} of its own") for i in range(100)]
+    for ids in (rows, [(None, t) for _, t in rows]):
+        placed = sharding.shard(spark.createDataFrame(ids, "doc_id long, text string"), shards=4).collect()
+        sizes, slots = collections.Counter(), collections.defaultdict(set)
+        for r in placed:
+            sizes[r.shard] += r.size
+            slots[r.shard].add(r.slot)
+        assert set(sizes) == set(range(4)) and max(sizes.values()) - min(sizes.values()) < 160
+        assert all(slots[s] == set(range(sum(r.shard == s for r in placed))) for s in sizes)
+
+
 def test_shards_hard_rows(hard, empty):
     placed = sharding.shard(hard)
     assert placed.count() == len(HARD) and placed.columns == [*hard.columns, "size", "text_crc32", "shard", "slot"]
@@ -675,10 +688,27 @@ def test_neighbours_hard_rows(spark):
             (None, [1.0, 1.0]), (100, [0.0, 0.0]), (10, [-1.0, 0.0])]
     frame = spark.createDataFrame([(*r, 1.0) for r in rows], "vec_id long, embedding array<double>, score double")
     got = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.nearest(frame, F.col("vec_id") % 50 == 0).collect())
-    assert got == [(0, 1, 50), (0, 2, 10), (50, 1, 0), (50, 2, 10)]
+    once = [(50, 1, 50), (50, 2, 0), (50, 3, 10)]  # the row that repeats a query is another row
+    assert got == sorted([(0, 1, 50), (0, 2, 50), (0, 3, 10), *once, *once])
+    assert ann.nearest(frame.filter("vec_id = 9"), F.col("vec_id") == 9).count() == 0
     assert ann.nearest(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_neighbours_of_every_length_and_of_one_id(spark):
+    """Vectors of another length, and rows of the query's own id, take part."""
+    rng = np.random.default_rng(6)
+    rows = [(i % 140, rng.standard_normal(3 if i % 3 else 5).tolist()) for i in range(400)] + [(50, [1.0, 2.0]), (51, [2.0, 1.0])]
+    want = []
+    for i, (q, v) in enumerate(rows):
+        if q % 50 == 0:
+            cosine = lambda w: float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w))
+            order = sorted((-cosine(w), o) for j, (o, w) in enumerate(rows) if j != i and len(w) == len(v))[:5]
+            want += [(q, n + 1, o, round(-s, 9)) for n, (s, o) in enumerate(order)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.nearest(frame, F.col("vec_id") % 50 == 0, confidence=0.99999).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_stopping_quantile():
     draw = np.random.default_rng(0).chisquare(ann.DIMS, 200_000)
     assert np.mean(draw <= ann._quantile(0.97)) == pytest.approx(0.97, abs=0.002)
