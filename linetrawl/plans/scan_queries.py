@@ -9,6 +9,7 @@ from linetrawl.functions.paths import format_timestamp
 from linetrawl.operators import report
 from linetrawl.operators.scan import scan
 from linetrawl.plans import fixtures as fx
+from linetrawl.plans import office_fixtures as of
 from linetrawl.plans.search_queries import written
 from linetrawl.sources.datasource import source_files
 from linetrawl.sources.files import filter_manifest, union_roots, with_extra_root
@@ -57,34 +58,43 @@ def _from_source(spark, sf_dir):
 
 
 def outcomes(spark, sf_dir, office=True):
-    return scan(fx.content_v(spark, sf_dir), SPEC, office)[0]
+    return scan(of.scan_v(spark, sf_dir), SPEC, office)[0]
 
 
-# What the scan must say about content_v: a NUL without a byte-order mark is binary, packages hold no
-# real container (a damaged workbook is searched and empty, a damaged document is an error).
+def _scan_hits(spark, sf_dir):
+    """Every hit of the scan, in plain text, workbooks and word documents."""
+    return scan(of.scan_v(spark, sf_dir), SPEC, office=True)[1].select("path", "locator", "kw_idx", "position", "matched", "snippet")
+
+
+# What the scan must say about scan_v: a NUL without a byte-order mark is binary, a damaged workbook is searched and
+# empty, a damaged document is an error. A workbook has a line in each cell, a document its lines as paragraphs of one segment.
 _KIND = f"""CASE WHEN ext IN ('.pdf', '.one') THEN 'scope_out' WHEN ext IN ('.doc', '.ppt', '.xls') THEN 'no_office'
-  WHEN ext IN ({_quoted(BINARY)}) THEN 'binary' WHEN ext = '.docx' THEN 'docx' WHEN ext = '.xlsx' THEN 'xlsx'
+  WHEN ext IN ({_quoted(BINARY)}) THEN 'binary' WHEN ext IN ('.docx', '.xlsx') AND file_ord % 5 = 0 THEN 'damaged ' || ext
+  WHEN ext = '.docx' THEN 'docx' WHEN ext = '.xlsx' THEN 'xlsx'
   WHEN file_ord % 11 = 0 AND file_ord % 7 <> 0 THEN 'nul' WHEN trim(text, ' ' || chr(10) || chr(9) || chr(160)) = '' THEN 'blank' ELSE 'text' END"""
 
 
 def _scan_ctes():
-    segs = "SELECT s.* FROM segments_v s JOIN kinds USING (path) WHERE kind = 'text'"
+    segs = """SELECT path, idx, CASE WHEN kind = 'xlsx' THEN 'Lines!A' || line_no ELSE locator END AS locator,
+        CASE WHEN kind = 'text' AND file_ord % 77 = 0 AND line_no = 1 THEN chr(0) || text ELSE text END AS text
+        FROM segments_v JOIN kinds USING (path) WHERE kind IN ('text', 'xlsx')
+      UNION ALL SELECT path, 0, '本文', string_agg(text, chr(13) ORDER BY line_no) FROM lines JOIN kinds USING (path) WHERE kind = 'docx' GROUP BY path"""
     return {
         "kinds": f"SELECT file_ord, path, {_KIND} AS kind FROM (SELECT *, {fx.EXT_SQL} AS ext FROM docs)",
         "text_segs": segs,
         **fx.keyword_hits_ctes("text_segs", SPEC.keywords),
         "counts": "SELECT path, count(*) AS n FROM hits GROUP BY path",
         "outcomes": (
-            "SELECT path, CASE WHEN kind = 'docx' THEN 'error' WHEN kind IN ('scope_out', 'no_office', 'binary', 'nul', 'blank') THEN 'skip' "
+            "SELECT path, CASE WHEN kind = 'damaged .docx' THEN 'error' WHEN kind IN ('scope_out', 'no_office', 'binary', 'nul', 'blank') THEN 'skip' "
             "WHEN coalesce(n, 0) > 0 THEN 'hit' ELSE 'no_hit' END AS outcome, "
             "CASE WHEN kind IN ('scope_out', 'no_office') THEN kind WHEN kind IN ('binary', 'nul', 'blank') THEN 'binary' END AS reason, "
-            "CASE WHEN kind = 'docx' THEN 'extract_error: File is not a zip file' END AS error, "
+            "CASE WHEN kind = 'damaged .docx' THEN 'extract_error: File is not a zip file' END AS error, "
             "CAST(coalesce(n, 0) AS BIGINT) AS n_hits FROM kinds LEFT JOIN counts USING (path)"),
     }
 
 
 def _outcome_sql(select, **more):
-    return fx.with_views("docs", "segments_v", **_scan_ctes(), **more) + select
+    return fx.with_views("docs", "lines", "segments_v", **_scan_ctes(), **more) + select
 
 
 _SUMMARY = """SELECT count(*) AS n_files, count_if(outcome = 'hit') AS n_hit_files,
@@ -112,6 +122,7 @@ QUERIES = {
     "decode_utf8": _decoded,
     "decode_fallback": _guessed,
     "scan_outcomes": lambda s, d: outcomes(s, d).select("path", "outcome", "reason", "error", "n_hits"),
+    "scan_hits": _scan_hits,
     "scan_quarantine": lambda s, d: report.errors(outcomes(s, d)),
     "report_errors": lambda s, d: report.errors(outcomes(s, d)),
     "report_skipped": lambda s, d: report.skipped(outcomes(s, d)),
@@ -147,6 +158,7 @@ ORACLES = {
       + "SELECT path, CAST(length(t) AS BIGINT) AS n, md5(t) AS digest FROM t",
     "decode_fallback": fx.with_views("docs") + "SELECT path, CAST(length(text) AS BIGINT) AS n, md5(text) AS digest FROM docs",
     "scan_outcomes": _outcome_sql("SELECT path, outcome, reason, error, n_hits FROM outcomes"),
+    "scan_hits": _outcome_sql("SELECT path, locator, kw_idx, position, matched, snippet FROM hits"),
     "scan_quarantine": _outcome_sql("SELECT path, error FROM outcomes WHERE outcome = 'error'"),
     "report_errors": _outcome_sql("SELECT path, error FROM outcomes WHERE outcome = 'error'"),
     "report_skipped": _outcome_sql("SELECT reason, path FROM outcomes WHERE outcome = 'skip'"),
