@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from linetrawl.functions.text import is_blank
 from linetrawl.operators.search import explode_hits, file_hits, search_segments
 from linetrawl.sources import office as office_source
+from linetrawl.sources.containers import workbook_parts
 from linetrawl.sources.plaintext import decode_text
 from linetrawl.sources.route import route, skip_reason
 from linetrawl.sources.splits import split_segments
@@ -63,8 +64,11 @@ def package_parts(routes: dict[str, DataFrame]) -> dict[str, DataFrame]:
     Documents and slides have two readers, their segments and their errors, so what was unpacked is
     written to the shared folder once.
     """
+    large = routes.get("large_xlsx")
     routes = {kind: rows.filter(F.col("content").isNotNull()) for kind, rows in routes.items() if kind in ("xlsx", "docx", "pptx")}
     parts = {"xlsx": office_source.xlsx_parts(routes["xlsx"])}
+    if large is not None:
+        parts["xlsx"] = parts["xlsx"].unionByName(workbook_parts(large))
     for kind, unpack in (("docx", office_source.docx_parts), ("pptx", office_source.pptx_parts)):
         if kind in routes:
             rows = unpack(routes[kind])
@@ -100,6 +104,8 @@ def scan(files: DataFrame | dict[str, DataFrame], spec: SearchSpec, office: bool
     found = hits.groupBy("path").agg(F.count("*").alias("n_hits")).select(
         "path", "n_hits", F.lit(None).cast("string").alias("error"))
     names = routes["xlsx"].select("path")
+    if "large_xlsx" in routes:
+        names = names.unionByName(routes["large_xlsx"].select("path"))
     for kind in ("docx", "pptx"):
         if kind in parts:
             names = names.unionByName(routes[kind].select("path"))

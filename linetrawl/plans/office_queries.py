@@ -8,7 +8,11 @@ from linetrawl import SearchSpec
 from linetrawl.operators.search import search_segments
 from linetrawl.plans import fixtures as fx
 from linetrawl.plans import office_fixtures as of
+from linetrawl.sinks.files import write_files
 from linetrawl.sources import office
+from linetrawl.sources.containers import workbook_parts
+from linetrawl.sources.files import walk_files
+from linetrawl.workspace import shared_dir
 
 _OUT = ["path", "locator"]
 
@@ -20,6 +24,14 @@ def _workbook(*kinds, granularity="cell"):
     return run
 
 
+def _cells_by_part(spark, sf_dir):
+    """The cells of workbooks that lie as files in the shared folder, read part by part."""
+    root = shared_dir(spark, "books")
+    write_files(of.books_v(spark, sf_dir), root).write.format("noop").mode("overwrite").save()
+    segs = office.xlsx_segments(workbook_parts(walk_files(spark, [root])))
+    return segs.filter("kind = 'row'").select(F.expr(f"substr(path, {len(root) + 1})").alias("path"), "locator", "text")
+
+
 def _package(parts, files):
     return lambda s, d: office.package_segments(parts(files(s, d))).select(*_OUT, F.md5("text").alias("digest"))
 
@@ -32,6 +44,7 @@ def _books_hits(spark, sf_dir):
 
 QUERIES = {
     "xlsx_cells": _workbook("row"),
+    "xlsx_cells_by_part": _cells_by_part,
     "xlsx_rows": _workbook("row", granularity="row"),
     "xlsx_sheets": _workbook("sheet"),
     "xlsx_comments": _workbook("comment"),
@@ -68,6 +81,7 @@ _ALL = {
 
 ORACLES = {
     "xlsx_cells": _CELLS,
+    "xlsx_cells_by_part": _CELLS,
     "xlsx_rows": f"""SELECT {_BOOK} AS path, role || '!Row ' || (turn + 1) AS locator,
       turn || chr(9) || CASE WHEN text = '' THEN '' ELSE text || chr(9) END || {_BOOL} AS text FROM conversations""",
     "xlsx_sheets": f"SELECT DISTINCT {_BOOK} AS path, 'シート名: ' || role AS locator, role AS text FROM conversations",

@@ -93,13 +93,16 @@ def read_routes(spark: SparkSession, roots: list[str], spec: ScanSpec = ScanSpec
 
     Files are listed, filtered and routed by name first, and only those that a route searches are opened. One
     that cannot be read gets an ``error`` instead of content. Text files beyond ``whole_bytes`` are the route ``large``,
-    without content, which the scan reads in splits.
+    workbooks beyond it ``large_xlsx``; both come without content, and the scan reads them in splits and part by part.
     """
     manifest = walk_files(spark, roots, spec)
-    kinds = ("xlsx", "docx", "pptx") if office else ("xlsx",)
+    kinds = ("docx", "pptx") if office else ()
     routes = {kind: read_content(manifest.filter(route(F.col("path"), office) == kind)) for kind in kinds}
-    large = (route(F.col("path"), office) == "text") & (F.col("size") > whole_bytes)
-    routes["text"] = read_content(manifest.filter((route(F.col("path"), office) == "text") & ~F.coalesce(large, F.lit(False))))
+    beyond = F.coalesce(F.col("size") > whole_bytes, F.lit(False))
+    large = (route(F.col("path"), office) == "text") & beyond
+    routes["xlsx"] = read_content(manifest.filter((route(F.col("path"), office) == "xlsx") & ~beyond))
+    routes["large_xlsx"] = manifest.filter((route(F.col("path"), office) == "xlsx") & beyond)
+    routes["text"] = read_content(manifest.filter((route(F.col("path"), office) == "text") & ~beyond))
     routes["large"] = manifest.filter(large)
     routes["skip"] = manifest.filter(route(F.col("path"), office) == "skip").withColumns(
         {"content": F.lit(None).cast("binary"), "error": F.lit(None).cast("string")})

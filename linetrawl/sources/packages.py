@@ -121,21 +121,26 @@ def read_workbook(z):
     except Exception:  # damaged cells must not hide the other parts
         part_ord += 1
 
-    people = {
-        p.get("id"): p.get("displayName", "")
-        for low, entry in actual.items() if low.startswith("xl/persons/") and low.endswith(".xml")
-        for root in [_xml(z, entry)] if root is not None
-        for p in root.iter(TC + "person") if p.get("id")
-    }
+    names = people(z, actual)
     for entry in z.namelist():
         if not entry.lower().endswith(".xml"):
             continue
         for kind, items, authors in _object_items(z, entry):
             yield {"part_ord": part_ord, "part": entry, "kind": kind, "row": 0, "items": items, "links": links,
-                   "people": list(people.items()), "authors": authors}
+                   "people": list(names.items()), "authors": authors}
             part_ord += 1
 
 
+def people(z, actual):
+    """Display names of a workbook's persons by id."""
+    return {
+        p.get("id"): p.get("displayName", "")
+        for low, entry in actual.items() if low.startswith("xl/persons/") and low.endswith(".xml")
+        for root in [_xml(z, entry)] if root is not None
+        for p in root.iter(TC + "person") if p.get("id")
+    }
+
+
 def _sheets(z):
     book = _xml(z, "xl/workbook.xml")
     if book is None:
@@ -250,14 +255,19 @@ def _letters(col):
     return (_letters(first) if first else "") + chr(65 + last)
 
 
-def _object_items(z, entry):
-    """(kind, items, authors) of one drawing, chart, diagram or comments part."""
+def object_kind(entry):
+    """What objects an entry holds: drawing, chart, smartart, thread or comment; None if it is another part."""
     low = entry.lower()
     kinds = {
         "xl/drawings/drawing": "drawing", "xl/charts/chart": "chart", "xl/diagrams/": "smartart",
         "xl/threadedcomments/threadedcomment": "thread", "xl/comments": "comment",
     }
-    kind = next((k for prefix, k in kinds.items() if low.startswith(prefix)), None)
+    return next((k for prefix, k in kinds.items() if low.startswith(prefix) and low.endswith(".xml")), None)
+
+
+def _object_items(z, entry):
+    """(kind, items, authors) of one drawing, chart, diagram or comments part."""
+    kind = object_kind(entry)
     root = _xml(z, entry) if kind else None
     if root is None:
         return
