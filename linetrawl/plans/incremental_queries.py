@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from linetrawl.functions.text import sanitize_name
 from linetrawl.operators import cache, snapshot
 from linetrawl.plans import fixtures as fx
+from linetrawl.sinks.store import SegmentStore
+from linetrawl.spec import SearchSpec
+from linetrawl.workspace import shared_dir
 
+RARE = ("copyright", "127.0.0.1", "Überprüfung")
 EXPORTED_AT = "2024-06-01T00:00:00"
 
 
@@ -23,6 +27,18 @@ def _put(spark, sf_dir):
     return _segs(cache.replace(fx.cache_segments_v(spark, sf_dir), stale, fresh))
 
 
+def _stored_hits(spark, sf_dir):
+    """A store filled by two puts, the second of which replaces a third of the files, searched through its index."""
+    store = SegmentStore(spark, shared_dir(spark, "store"))
+    files, segments = fx.files_v(spark, sf_dir), fx.segments_v(spark, sf_dir).drop("line_no")
+    again = files.filter(F.col("file_ord") % 3 == 0)
+    store.put(files, segments.withColumn("text", F.when(F.col("path").endswith(".csv"), F.concat(F.lit("old "), "text")).otherwise(F.col("text"))))
+    store.put(again.unionByName(files.filter(F.col("path").endswith(".csv"))).distinct(),
+              segments.join(again.select("path"), "path", "left_semi").unionByName(segments.filter(F.col("path").endswith(".csv"))).distinct())
+    hits = store.search(SearchSpec(RARE, operator="or"))
+    return hits.select("path", F.col("seg_idx").cast("int").alias("seg_idx"), "locator", "kw_idx", "position", "matched", "snippet")
+
+
 def _diff(spark, sf_dir):
     return snapshot.diff(fx.prev_manifest_v(spark, sf_dir), fx.cur_manifest_v(spark, sf_dir))
 
@@ -33,6 +49,7 @@ QUERIES = {
     "cache_read": lambda s, d: _segs(cache.cached_segments(fx.files_v(s, d), fx.cache_files_v(s, d), fx.cache_segments_v(s, d))).orderBy("path", "idx"),
     "cache_orphans": lambda s, d: _segs(cache.orphans(fx.cache_segments_v(s, d), fx.cache_files_v(s, d))),
     "cache_put": _put,
+    "store_search": _stored_hits,
     "cache_forget": lambda s, d: _segs(cache.forget(fx.cache_segments_v(s, d), fx.files_v(s, d).filter(F.col("size") > 500))),
     "agg_cache_stats": lambda s, d: cache.stats(fx.cache_files_v(s, d), fx.cache_segments_v(s, d)),
     "agg_cache_hits": lambda s, d: cache.counters(cache.lookup(fx.files_v(s, d), fx.cache_files_v(s, d))),
@@ -73,6 +90,8 @@ ORACLES = {
     "cache_orphans": _BOTH + f"{_DIGEST} cache_segments_v WHERE path NOT IN (SELECT path FROM cache_files_v)",
     "cache_put": _BOTH + f"""{_DIGEST} (SELECT path, idx, locator, text FROM cache_segments_v WHERE path NOT IN (SELECT path FROM looked WHERE NOT is_hit)
       UNION ALL SELECT path, idx, locator, 'v2 ' || text FROM segments_v WHERE path IN (SELECT path FROM looked WHERE NOT is_hit))""",
+    "store_search": fx.with_views("segments_v", **fx.keyword_hits_ctes("segments_v", RARE))
+      + "SELECT path, seg_idx, locator, kw_idx, position, matched, snippet FROM hits",
     "cache_forget": _BOTH + f"{_DIGEST} cache_segments_v WHERE path NOT IN (SELECT path FROM files_v WHERE size > 500)",
     "agg_cache_stats": _BOTH + """SELECT n_files, n_segments, text_bytes, round(n_segments / n_files, 1) AS segments_per_file FROM
       (SELECT (SELECT count(*) FROM cache_files_v) AS n_files, (SELECT count(*) FROM cache_segments_v) AS n_segments,

@@ -4,6 +4,9 @@ Each ``put`` or ``forget`` writes one new generation: its segments first, then i
 commit makes the generation visible. Nothing is rewritten, so a put costs what changed and not what
 is stored, and a failed attempt leaves only files that no reader looks at. ``compact`` writes a
 fresh store without the superseded rows.
+
+Segments lie in groups of whole files, and each put writes an index of the trigrams in its groups, so that a search for
+keywords opens only groups that can hold them.
 """
 
 from __future__ import annotations
@@ -12,14 +15,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
 from linetrawl.operators import cache
+from linetrawl.operators.search import search_segments
+from linetrawl.sinks.index import INDEX, matching_groups, needed_places, trigram_bitmaps
+from linetrawl.spec import SearchSpec
 
 FILES = "path string, mtime timestamp, size bigint, granularity string, forgotten boolean, tag string, updated_at timestamp, gen bigint"
-SEGMENTS = "path string, idx bigint, locator string, text string, gen bigint"
+SEGMENTS = "path string, idx bigint, locator string, text string, gen bigint, grp int"
+#: Groups of a generation.
+GROUPS = 16
 
 
 class SegmentStore:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, groups: int = GROUPS):
+        self.spark, self.root, self.groups = spark, root.rstrip("/"), groups
 
     # ------------------------------------------------------------------ reading
     def _read(self, name: str, schema: str) -> DataFrame:
@@ -41,13 +49,22 @@ class SegmentStore:
     def files(self) -> DataFrame:
         return self._latest().filter(~F.col("forgotten")).drop("forgotten")
 
-    def segments(self) -> DataFrame:
-        """Live segments. Superseded (path, gen) pairs are few between compactions; they are taken
+    def segments(self, groups: list[tuple[int, int]] | None = None) -> DataFrame:
+        """Live segments, of the ``(gen, grp)`` listed or of all. Superseded (path, gen) pairs are few between compactions; they are taken
         out by an anti join whose strategy Spark picks by their actual size."""
         generations = self._log().select("gen").distinct()
         live = self.files().select("path", "gen")
         dead = self._log().select("path", "gen").join(live, ["path", "gen"], "left_anti")
-        stored = self._read("segments", SEGMENTS).join(generations, "gen", "left_semi")
+        stored = self._read("segments", SEGMENTS)
+        if groups is not None:
+            by_gen: dict[int, list[int]] = {}
+            for gen, grp in groups:
+                by_gen.setdefault(gen, []).append(grp)
+            some = F.lit(False)
+            for gen, grps in by_gen.items():
+                some = some | ((F.col("gen") == gen) & F.col("grp").isin(grps))
+            stored = stored.filter(some)  # on directories alone, so the others are not opened
+        stored = stored.join(generations, "gen", "left_semi")
         return stored.join(dead, ["path", "gen"], "left_anti").select("path", "idx", "locator", "text")
 
     def lookup(self, manifest: DataFrame, granularity: str = "cell") -> DataFrame:
@@ -61,6 +78,17 @@ class SegmentStore:
         valid = self.lookup(manifest, granularity).filter("is_hit").select("path")
         return self.segments().join(valid, "path", "left_semi")
 
+    def groups_for(self, spec: SearchSpec) -> list[tuple[int, int]] | None:
+        """Groups that can hold what ``spec`` looks for; None if that takes all of them."""
+        words = needed_places(self.spark, spec)
+        if not words:
+            return None
+        return matching_groups(self._read("index", INDEX), words, spec.operator == "and")
+
+    def search(self, spec: SearchSpec) -> DataFrame:
+        """Hits among the live segments. A file lies in one group whole, so its cap and AND gate need no other."""
+        return search_segments(self.segments(self.groups_for(spec)), spec)
+
     def stats(self) -> DataFrame:
         return cache.stats(self.files(), self.segments())
 
@@ -75,11 +103,24 @@ class SegmentStore:
     def put(self, manifest: DataFrame, segments: DataFrame, granularity: str = "cell", tag: str | None = None) -> int:
         """Store the segments of the manifest's files, replacing earlier ones. One writer at a time."""
         gen = self._next_generation()
-        segments.select("path", F.col("idx").cast("bigint").alias("idx"), "locator", "text").write.mode(
-            "overwrite").parquet(f"{self.root}/segments/gen={gen}")
+        self._write_segments(segments, gen)
         self._commit(manifest.select("path", F.col("mtime").cast("timestamp").alias("mtime"), "size"), gen, granularity, False, tag)
         return gen
 
+    def _write_segments(self, segments: DataFrame, gen: int) -> None:
+        out = f"{self.root}/segments/gen={gen}"
+        grouped = segments.select(
+            "path", F.col("idx").cast("bigint").alias("idx"), "locator", "text", F.pmod(F.xxhash64("path"), F.lit(self.groups)).cast("int").alias("grp"))
+        # Rebalanced, so that a group is a few files however many tasks there were, and a large one more than one task's.
+        grouped.hint("rebalance", "grp").write.mode("overwrite").partitionBy("grp").parquet(out)
+        try:
+            written = self.spark.read.schema("text string, grp int").parquet(out)
+        except AnalysisException as e:
+            if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
+            return
+        trigram_bitmaps(written).write.mode("overwrite").parquet(f"{self.root}/index/gen={gen}")
+
     def forget(self, paths: DataFrame, tag: str | None = None) -> int:
         gen = self._next_generation()
         rows = paths.select("path", F.lit(None).cast("timestamp").alias("mtime"), F.lit(None).cast("bigint").alias("size"))
@@ -91,8 +132,8 @@ class SegmentStore:
 
     def compact(self, root: str) -> "SegmentStore":
         """Copy of this store at ``root`` with live rows only and no orphan segments."""
-        fresh = SegmentStore(self.spark, root)
-        self.segments().write.mode("overwrite").parquet(f"{fresh.root}/segments/gen=0")
+        fresh = SegmentStore(self.spark, root, self.groups)
+        fresh._write_segments(self.segments(), 0)
         live = self.files().select("path", "mtime", "size", "granularity", F.lit(False).alias("forgotten"),
                                    F.lit(None).cast("string").alias("tag"), "updated_at")
         live.write.mode("overwrite").parquet(f"{fresh.root}/files/gen=0")

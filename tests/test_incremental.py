@@ -55,7 +55,7 @@ def test_store_round_trip(spark, tmp_path):
 def test_segments_without_commit_are_invisible(spark, tmp_path):
     store = SegmentStore(spark, str(tmp_path / "s"))
     store.put(manifest(spark, ("/a", 0, 1)), segs(spark, ("/a", 0, "x")))
-    segs(spark, ("/a", 0, "half"), ("/z", 0, "half")).write.parquet(str(tmp_path / "s/segments/gen=1"))
+    segs(spark, ("/a", 0, "half"), ("/z", 0, "half")).withColumn("grp", F.lit(3)).write.partitionBy("grp").parquet(str(tmp_path / "s/segments/gen=1"))
     assert texts(store.segments()) == [("/a", 0, "x")]
     store.put(manifest(spark, ("/b", 0, 1)), segs(spark, ("/b", 0, "y")))
     assert texts(store.segments()) == [("/a", 0, "x"), ("/b", 0, "y")]
