@@ -11,7 +11,7 @@ from linetrawl.sinks.store import SegmentStore
 from linetrawl.spec import SearchSpec
 from linetrawl.workspace import shared_dir
 
-RARE = ("copyright", "127.0.0.1", "Überprüfung")
+RARE = ("license", ".com", "123")
 EXPORTED_AT = "2024-06-01T00:00:00"
 
 
