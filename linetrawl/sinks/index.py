@@ -1,4 +1,4 @@
-"""Which groups of stored segments can hold a keyword: bitmaps of the trigrams in each group."""
+"""What can be left closed: groups of segments without a keyword's trigrams, generations without any of the paths asked for."""
 
 from __future__ import annotations
 
@@ -56,3 +56,53 @@ def matching_groups(index: DataFrame, words: list[list[int]], every: bool) -> li
     sizes = index.sparkSession.createDataFrame([(w, len(p)) for w, p in enumerate(words)], "word int, size bigint")
     found = met.join(F.broadcast(sizes), "word").filter("count = size").groupBy("gen", "grp").count()
     return sorted((r[0], r[1]) for r in found.filter(F.col("count") >= (len(words) if every else 1)).select("gen", "grp").collect())
+
+
+# ------------------------------------------------------------------------------ paths of a generation
+#: A block of a generation's filter of paths is one bitmap of this many bits, in which each path sets ``PATH_BITS``.
+BLOCK_BITS = 32768
+PATH_BITS = 4
+#: Paths that share a block on average: 16 bits a path.
+BLOCK_PATHS = BLOCK_BITS // 16
+PATHS = "block bigint, bits binary, paths bigint, blocks bigint, rows bigint, gen bigint"
+
+
+def _block(path: Column, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(path), blocks)
+
+
+def _bits_of(path: Column) -> Column:
+    """The bits of a path in its block."""
+    return F.array(*[F.pmod(F.xxhash64(path, F.lit(i)), F.lit(BLOCK_BITS)) for i in range(PATH_BITS)])
+
+
+def path_filter(paths: DataFrame, rows: int) -> DataFrame:
+    """A blocked Bloom filter of ``path``, one row for each filled block; ``rows`` is how many paths there are.
+
+    A partial aggregate on the block. Each row says how many paths its block took and how many there are in all, so that a filter that
+    was not written to its end is known by its sum.
+    """
+    blocks = max(1, rows // BLOCK_PATHS)
+    placed = paths.select(_block(F.col("path"), F.lit(blocks)).alias("block"), F.explode(_bits_of(F.col("path"))).alias("bit"))
+    return placed.groupBy("block").agg(
+        F.bitmap_construct_agg("bit").alias("bits"), (F.count(F.lit(1)) / PATH_BITS).cast("bigint").alias("paths")
+    ).select("*", F.lit(blocks).cast("bigint").alias("blocks"), F.lit(rows).cast("bigint").alias("rows"))
+
+
+def generations_with(filters: DataFrame, paths: DataFrame) -> tuple[set[int], set[int]]:
+    """Generations whose whole filter is there, and those of them that may hold one of ``paths``.
+
+    ``paths`` must be few, as they go to every task; the filters stay where they are. A generation that holds a path is never left out.
+    """
+    whole = filters.groupBy("gen", "rows").agg(F.sum("paths").alias("paths")).filter("paths = rows").select("gen", "rows")
+    indexed = {r.gen for r in whole.collect()}
+    sizes = [r.blocks for r in filters.select("blocks").distinct().collect()]
+    if not sizes:
+        return indexed, set()
+    asked = paths.select("path").distinct().select(
+        F.explode(F.array(*[F.lit(n).cast("bigint") for n in sorted(sizes)])).alias("blocks"), "path"
+    ).select("blocks", _block(F.col("path"), F.col("blocks")).alias("block"), _bits_of(F.col("path")).alias("asked"))
+    byte = lambda b: F.conv(F.hex(F.substring("bits", F.floor(b / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = lambda b: byte(b).bitwiseAND(F.pow(F.lit(2), b % 8).cast("int")) != 0
+    met = filters.join(F.broadcast(asked), ["blocks", "block"]).filter(F.forall("asked", is_set))
+    return indexed, {r.gen for r in met.select("gen").distinct().collect()}

@@ -6,23 +6,28 @@ is stored, and a failed attempt leaves only files that no reader looks at. ``com
 fresh store without the superseded rows.
 
 Segments lie in groups of whole files, and each put writes an index of the trigrams in its groups, so that a search for
-keywords opens only groups that can hold them.
+keywords opens only groups that can hold them. File lists have filters of their paths, so that a lookup opens only the
+generations that may hold one.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
 from linetrawl.operators import cache
 from linetrawl.operators.search import search_segments
-from linetrawl.sinks.index import INDEX, matching_groups, needed_places, trigram_bitmaps
+from linetrawl.sinks.index import INDEX, PATHS, generations_with, matching_groups, needed_places, path_filter, trigram_bitmaps
 from linetrawl.spec import SearchSpec
 
 FILES = "path string, mtime timestamp, size bigint, granularity string, forgotten boolean, tag string, updated_at timestamp, gen bigint"
 SEGMENTS = "path string, idx bigint, locator string, text string, gen bigint, grp int"
 #: Groups of a generation.
 GROUPS = 16
+#: A lookup of at most so many files chooses generations by their filters; a larger one meets about all of them and reads the whole log.
+FEW_PATHS = 20_000
 
 
 class SegmentStore:
@@ -38,16 +43,33 @@ class SegmentStore:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def _log(self) -> DataFrame:
-        return self._read("files", FILES)
+    def _log(self, gens: list[int] | None = None) -> DataFrame:
+        log = self._read("files", FILES)
+        return log if gens is None else log.filter(F.col("gen").isin(gens))  # on directories alone
 
-    def _latest(self) -> DataFrame:
+    def _latest(self, gens: list[int] | None = None) -> DataFrame:
         """Newest entry per path; a partial aggregate, so a path rewritten often is no hot key."""
         entry = F.struct("gen", "mtime", "size", "granularity", "forgotten", "updated_at")
-        return self._log().groupBy("path").agg(F.max_by(entry, "gen").alias("e")).select("path", "e.*")
+        return self._log(gens).groupBy("path").agg(F.max_by(entry, "gen").alias("e")).select("path", "e.*")
+
+    def files(self, gens: list[int] | None = None) -> DataFrame:
+        """Live files, of the whole store or as generations ``gens`` tell."""
+        return self._latest(gens).filter(~F.col("forgotten")).drop("forgotten")
+
+    def generations(self) -> list[int]:
+        """Committed generations, from the names of their files; none is opened."""
+        return sorted({int(g) for f in self._log().inputFiles() for g in re.findall(r"/gen=(\d+)/", f)})
 
-    def files(self) -> DataFrame:
-        return self._latest().filter(~F.col("forgotten")).drop("forgotten")
+    def generations_for(self, paths: DataFrame) -> list[int] | None:
+        """Generations that may hold one of ``paths``; None for so many paths that all would be read.
+
+        Whatever mentions a path is among them, also what forgets it, so the newest entry of each path asked for is too. A
+        generation without a whole filter is always among them.
+        """
+        if paths.select("path").limit(FEW_PATHS + 1).count() > FEW_PATHS:
+            return None
+        indexed, met = generations_with(self._read("paths", PATHS), paths)
+        return [g for g in self.generations() if g in met or g not in indexed]
 
     def segments(self, groups: list[tuple[int, int]] | None = None) -> DataFrame:
         """Live segments, of the ``(gen, grp)`` listed or of all. Superseded (path, gen) pairs are few between compactions; they are taken
@@ -68,7 +90,9 @@ class SegmentStore:
         return stored.join(dead, ["path", "gen"], "left_anti").select("path", "idx", "locator", "text")
 
     def lookup(self, manifest: DataFrame, granularity: str = "cell") -> DataFrame:
-        return cache.lookup(manifest, self.files().filter(F.col("granularity") == granularity))
+        """Manifest rows with ``is_hit``. A manifest of at most ``FEW_PATHS`` files runs small jobs that choose the generations to open."""
+        known = self.files(self.generations_for(manifest))
+        return cache.lookup(manifest, known.filter(F.col("granularity") == granularity))
 
     def misses(self, manifest: DataFrame, granularity: str = "cell") -> DataFrame:
         return self.lookup(manifest, granularity).filter(~F.col("is_hit")).drop("is_hit")
@@ -137,6 +161,7 @@ class SegmentStore:
         live = self.files().select("path", "mtime", "size", "granularity", F.lit(False).alias("forgotten"),
                                    F.lit(None).cast("string").alias("tag"), "updated_at")
         live.write.mode("overwrite").parquet(f"{fresh.root}/files/gen=0")
+        fresh._write_filter(0)
         return fresh
 
     def _commit(self, rows: DataFrame, gen: int, granularity: str | None, forgotten: bool, tag: str | None) -> None:
@@ -145,3 +170,9 @@ class SegmentStore:
             F.lit(forgotten).alias("forgotten"), F.lit(tag).cast("string").alias("tag"),
             F.current_timestamp().alias("updated_at"),
         ).write.mode("overwrite").parquet(f"{self.root}/files/gen={gen}")
+        self._write_filter(gen)
+
+    def _write_filter(self, gen: int) -> None:
+        """Filter of a committed file list. Should the writer die before it is whole, lookups open the generation."""
+        written = self.spark.read.schema("path string").parquet(f"{self.root}/files/gen={gen}")
+        path_filter(written, written.count()).write.mode("overwrite").parquet(f"{self.root}/paths/gen={gen}")
