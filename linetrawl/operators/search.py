@@ -236,6 +236,57 @@ def _files_with_many(raw: DataFrame, norms: list[str]) -> DataFrame:
     return full.join(_files_with_all(raw, across), "path", "left_semi") if across else full
 
 
+def segment_hits(segments: DataFrame, spec: SearchSpec) -> DataFrame:
+    """Hits of segments before gate and cap over a whole file: no more of each file than its cap takes, with ``hit_ord`` to go on from."""
+    raw = segments.select("path", F.col("idx").cast("bigint").alias("seg_idx"), "locator", "text")
+    columns = ["path", "seg_idx", "hit_ord", "locator", "kw_idx", F.col("position").cast("bigint").alias("position"), "matched", "snippet"]
+    if not spec.keywords:
+        nothing = raw.filter(F.lit(False)).withColumn("hits", F.array().cast(matching.HIT_TYPE))
+        return _exploded(nothing).select(*columns)
+    if spec.mode != "regex":
+        raw = raw.withColumn("text", normalize(F.col("text"), spec.case_sensitive, spec.normalize_width))
+    return cap_hits(_segment_hits(raw, spec), spec.max_hits_per_file).select(*columns)
+
+
+class StandingGate:
+    """The AND gate in two steps, so that the segments of a file may come at different times.
+
+    ``present`` keeps which keywords each file's segments hold, by their place among the distinct ones; ``complete`` puts any
+    number of such tables together. Keywords with line breaks may lie across segments of different times, so for them the texts
+    are kept (``normalized``) and gated as a whole (``spanned``).
+    """
+
+    def __init__(self, spec: SearchSpec):
+        self.spec = spec
+        norms = sorted(set(_norms(spec).values())) if spec.mode == "keyword" and spec.operator == "and" else []
+        self.single = [n for n in norms if "\n" not in n]
+        self.across = [n for n in norms if "\n" in n]
+
+    def normalized(self, segments: DataFrame) -> DataFrame:
+        text = normalize(F.col("text"), self.spec.case_sensitive, self.spec.normalize_width)
+        return segments.select("path", F.col("idx").cast("bigint").alias("seg_idx"), text.alias("text"))
+
+    def present(self, segments: DataFrame) -> DataFrame:
+        """``(path, words)``: a row for each file with any; partial in every task, bounded by the keywords."""
+        raw = self.normalized(segments)
+        if len(self.single) > matching.AUTOMATON_FROM:
+            shared = matching.share_keywords(segments.sparkSession, SearchSpec(tuple(self.single), case_sensitive=True, normalize_width=False))
+            words = matching.automaton_present(F.col("text"), shared)
+        else:
+            held = F.array(*[F.when(F.contains("text", F.lit(n)), F.lit(i)) for i, n in enumerate(self.single)])
+            words = F.filter(held, lambda w: w.isNotNull())
+        found = raw.select("path", F.explode(words).alias("word")).distinct()
+        return found.groupBy("path").agg(F.collect_set(F.col("word").cast("int")).alias("words"))
+
+    def complete(self, present: DataFrame) -> DataFrame:
+        """Paths whose rows hold every keyword between them."""
+        found = present.select("path", F.explode("words").alias("word")).distinct()
+        return found.groupBy("path").count().filter(F.col("count") == len(self.single)).select("path")
+
+    def spanned(self, texts: DataFrame) -> DataFrame:
+        return _files_with_all(texts, self.across)
+
+
 def cap_hits(hits: DataFrame, n: int) -> DataFrame:
     """First ``n`` hits of each file in (segment, hit) order."""
     order = [F.col("seg_idx"), F.col("hit_ord")]

@@ -43,6 +43,17 @@ def _diff(spark, sf_dir):
     return snapshot.diff(fx.prev_manifest_v(spark, sf_dir), fx.cur_manifest_v(spark, sf_dir))
 
 
+def _stored_lookup(spark, sf_dir):
+    """Lookup of every file in a store of three generations, the last of which replaces entries of the first."""
+    store = SegmentStore(spark, shared_dir(spark, "store"))
+    cached, nothing = fx.cache_files_v(spark, sf_dir), fx.segments_v(spark, sf_dir).drop("line_no").limit(0)
+    turn = F.pmod(F.hash("path"), F.lit(3))
+    store.put(cached.filter(turn < 2).withColumn("size", F.col("size") + F.when(turn == 1, 1).otherwise(0)), nothing)
+    store.put(cached.filter(turn == 2), nothing)
+    store.put(cached.filter(turn == 1), nothing)
+    return store.lookup(fx.files_v(spark, sf_dir)).select("path", "is_hit")
+
+
 QUERIES = {
     "cache_lookup": lambda s, d: cache.lookup(fx.files_v(s, d), fx.cache_files_v(s, d)).select("path", "is_hit"),
     "cache_misses": lambda s, d: cache.misses(fx.files_v(s, d), fx.cache_files_v(s, d)).select("path"),
@@ -50,6 +61,7 @@ QUERIES = {
     "cache_orphans": lambda s, d: _segs(cache.orphans(fx.cache_segments_v(s, d), fx.cache_files_v(s, d))),
     "cache_put": _put,
     "store_search": _stored_hits,
+    "store_lookup": _stored_lookup,
     "cache_forget": lambda s, d: _segs(cache.forget(fx.cache_segments_v(s, d), fx.files_v(s, d).filter(F.col("size") > 500))),
     "agg_cache_stats": lambda s, d: cache.stats(fx.cache_files_v(s, d), fx.cache_segments_v(s, d)),
     "agg_cache_hits": lambda s, d: cache.counters(cache.lookup(fx.files_v(s, d), fx.cache_files_v(s, d))),
@@ -85,6 +97,7 @@ _CLEAN = "trim(regexp_replace({}, '[\\\\/:*?\"<>|]', '_', 'g'))"
 
 ORACLES = {
     "cache_lookup": _BOTH + "SELECT path, is_hit FROM looked",
+    "store_lookup": _BOTH + "SELECT path, is_hit FROM looked",
     "cache_misses": _BOTH + "SELECT path FROM looked WHERE NOT is_hit",
     "cache_read": _BOTH + f"{_DIGEST} cache_segments_v WHERE path IN (SELECT path FROM looked WHERE is_hit)",
     "cache_orphans": _BOTH + f"{_DIGEST} cache_segments_v WHERE path NOT IN (SELECT path FROM cache_files_v)",

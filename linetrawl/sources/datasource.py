@@ -1,6 +1,6 @@
 """Directory trees as a Spark data source: filters decide before a file is opened, directories are walked by many tasks.
 
-``register(spark)`` makes ``spark.read.format("linetrawl_files")`` known. Its columns are ``path, name, ext, size, mtime, content,
+``register(spark)`` makes ``spark.read.format("linetrawl_files")`` known; ``readStream`` gives a listing at every trigger. Its columns are ``path, name, ext, size, mtime, content,
 error``; a schema given to the reader chooses among them, and content is only read where it is chosen.
 """
 
@@ -10,6 +10,7 @@ import json
 import operator
 import os
 import posixpath
+import time
 import zlib
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
@@ -150,6 +151,29 @@ class _Reader(ds.DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], COLUMNS[c][1]) for c in self.columns], names=self.columns)
 
 
+class _Listings(ds.DataSourceStreamReader):
+    """Every trigger gives the whole listing as it is then, walked by tasks as in a batch.
+
+    An offset only says when: listings are not kept, so a batch that is replayed lists anew. Whoever reads them
+    compares with what it knows, and then a replay finds nothing left to do.
+    """
+
+    def __init__(self, reader: _Reader):
+        self.reader = reader
+
+    def initialOffset(self):
+        return {"listed_at": 0}
+
+    def latestOffset(self):
+        return {"listed_at": time.time_ns()}
+
+    def partitions(self, start, end):
+        return [] if start == end else self.reader.partitions()
+
+    def read(self, partition):
+        return self.reader.read(partition)
+
+
 class FilesSource(ds.DataSource):
     """Options: ``paths`` (a JSON list of roots) or ``path``; ``exclude_dirs`` (a JSON list of names that are not entered);
     ``plan_dirs``. Roots that do not exist hold nothing; overlapping ones give duplicates."""
@@ -161,6 +185,9 @@ class FilesSource(ds.DataSource):
     def schema(self):
         return ", ".join(f"{name} {kind}" for name, (kind, _) in COLUMNS.items())
 
+    def streamReader(self, schema):
+        return _Listings(self.reader(schema))
+
     def reader(self, schema):
         unknown = set(schema.names) - set(COLUMNS)
         if unknown:
@@ -202,3 +229,12 @@ def source_files(spark: SparkSession, roots: list[str], spec: ScanSpec = ScanSpe
     if spec.max_size_mb:
         files = files.filter(F.col("size") <= spec.max_size_mb * 1024 * 1024)
     return files.select(*columns)
+
+
+def listings(spark: SparkSession, roots: list[str], spec: ScanSpec = ScanSpec()) -> DataFrame:
+    """Stream of ``(path, size, mtime)``: at every trigger all files below ``roots``, whether they are new or not."""
+    register(spark)
+    return (
+        spark.readStream.format(NAME).schema("path string, size bigint, mtime timestamp")
+        .option("paths", json.dumps([r for r in roots if r])).option("exclude_dirs", json.dumps(list(spec.exclude_dirs))).load()
+    )
