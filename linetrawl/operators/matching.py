@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession, functions as F
 
+from linetrawl.functions.batches import sliced
 from linetrawl.functions.literals import java_test, required
 from linetrawl.functions.similarity import best_match, cluster_pattern, could_match
 from linetrawl.functions.text import (
@@ -202,7 +203,6 @@ def automaton_hits(segs: Column, spec: SearchSpec, shared: Broadcast, gate: bool
     limit, chars, raws = spec.max_hits_per_file, spec.snippet_chars, spec.keywords
     breaks = gate and any("\n" in norm for _, norm in _needles(spec))
 
-    @F.arrow_udf(HIT_TYPE)
     def find(segs: pa.Array) -> pa.Array:
         keywords: Keywords = shared.value
         flat, sizes = segs.flatten(), pc.list_value_length(segs).fill_null(0).to_pylist()
@@ -234,7 +234,17 @@ def automaton_hits(segs: Column, spec: SearchSpec, shared: Broadcast, gate: bool
             out = [hits if ok else [] for hits, ok in zip(out, full.tolist())]
         return pa.array(out, type=_HIT_ARROW)
 
-    return find.asNondeterministic()(segs)
+    return _lane(find, HIT_TYPE)(segs)
+
+
+def _lane(find, returns: str):
+    """UDF of a function over slices of a batch. Not deterministic, which keeps the optimizer from evaluating it a second
+    time inside a filter on the result."""
+    @F.arrow_udf(returns)
+    def lane(values: pa.Array) -> pa.Array:
+        return sliced(values, find)
+
+    return lane.asNondeterministic()
 
 
 def _per_text(texts: pa.Array, keywords: Keywords):
@@ -252,7 +262,6 @@ def _as_lists(rows: list[np.ndarray], n: int, values: pa.Array) -> pa.Array:
 
 def automaton_places(text: Column, shared: Broadcast) -> Column:
     """Every hit of every keyword, ``array<struct<kw_idx, position>>``, by keyword and position."""
-    @F.arrow_udf("array<struct<kw_idx:int,position:bigint>>")
     def find(texts: pa.Array) -> pa.Array:
         keywords: Keywords = shared.value
         none = np.zeros(0, np.int64)
@@ -267,19 +276,18 @@ def automaton_places(text: Column, shared: Broadcast) -> Column:
             [pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(positions), pa.int64())], names=["kw_idx", "position"])
         return _as_lists(rows, len(texts), values)
 
-    return find.asNondeterministic()(text)
+    return _lane(find, "array<struct<kw_idx:int,position:bigint>>")(text)
 
 
 def automaton_present(text: Column, shared: Broadcast) -> Column:
     """The distinct keywords in a text, numbered in the order of :class:`Keywords`."""
-    @F.arrow_udf("array<int>")
     def find(texts: pa.Array) -> pa.Array:
         keywords: Keywords = shared.value
         keys = [np.unique(row * len(keywords.words) + word) for row, _, word in _per_text(texts, keywords)]
         keys = np.concatenate([np.zeros(0, np.int64), *keys])
         return _as_lists([keys // len(keywords.words)], len(texts), pa.array(keys % len(keywords.words), pa.int32()))
 
-    return find.asNondeterministic()(text)
+    return _lane(find, "array<int>")(text)
 
 
 # ---------------------------------------------------------------------------------------- regex
@@ -325,7 +333,6 @@ def _arrow_hits(matcher, spec: SearchSpec):
     """UDF over ``segs``: ``matcher(text)`` yields (kw_idx, position, length, matched)."""
     limit, chars = spec.max_hits_per_file, spec.snippet_chars
 
-    @F.arrow_udf(HIT_TYPE)
     def find(segs: pa.Array) -> pa.Array:
         flat = segs.flatten()
         texts = flat.field("text").to_pylist()
@@ -346,8 +353,7 @@ def _arrow_hits(matcher, spec: SearchSpec):
         names = [_HIT_ARROW.value_type.field(i).name for i in range(6)]
         return pa.array([[dict(zip(names, h)) for h in hits] for hits in out], type=_HIT_ARROW)
 
-    # Keeps the optimizer from evaluating it a second time inside a filter on the result.
-    return find.asNondeterministic()
+    return _lane(find, HIT_TYPE)
 
 
 def exact_test(spec: SearchSpec) -> str | None:
