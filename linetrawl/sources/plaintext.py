@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from linetrawl.functions.batches import sliced
 from linetrawl.functions.text import line_locator, line_segments, once
 
 # Sniffed head size and byte-order marks.
@@ -40,7 +41,7 @@ def guess_decode(content: pa.Array) -> pa.Array:
         best = None if data is None else from_bytes(data).best()
         return None if best is None else str(best).encode("utf-8", "replace").decode("utf-8")
 
-    return pa.array([decode(v) for v in content.to_pylist()], pa.string())
+    return sliced(content, lambda some: pa.array([decode(v.as_py()) for v in some], pa.string()))
 
 
 guess_decode = guess_decode.asNondeterministic()  # evaluated once, never copied into a filter
