@@ -23,7 +23,8 @@ def write_files(rows: DataFrame, root: str) -> DataFrame:
         target, base = arrow_fs.FileSystem.from_uri(root if "://" in root else f"file://{os.path.abspath(root)}")
         for batch in batches:
             sizes = []
-            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
+            for path, content in zip(batch["path"], batch["content"]):
+                path, content = path.as_py(), content.as_py()
                 place = f"{base}/{path.lstrip('/')}"
                 folder, name = posixpath.split(place)
                 target.create_dir(folder, recursive=True)

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from linetrawl.functions.batches import SLICE_BYTES
 from linetrawl.sources import packages
 from linetrawl.sources.splits import _open
 from linetrawl.workspace import shared_dir
@@ -106,7 +107,7 @@ def workbook_parts(manifest: DataFrame, task_bytes: int = TASK_BYTES) -> DataFra
     tasks = max(1, min(count, max(spark.sparkContext.defaultParallelism, total // task_bytes + 1)))
 
     def run(batches):
-        rows, book = [], None
+        rows, held, book = [], 0, None
         for batch in batches:
             for unit in batch.to_pylist():
                 try:
@@ -116,9 +117,10 @@ def workbook_parts(manifest: DataFrame, task_bytes: int = TASK_BYTES) -> DataFra
                         book = _Book(unit["path"])
                     for row in book.rows(unit["unit"], unit["kind"], unit["part"], unit["sheet"]):
                         rows.append({**row, "path": unit["path"]})
-                        if len(rows) >= packages._BATCH_ROWS:
+                        held += packages.weight(row)
+                        if len(rows) >= packages._BATCH_ROWS or held >= SLICE_BYTES:
                             yield pa.RecordBatch.from_pylist(rows, schema=packages._ARROW)
-                            rows = []
+                            rows, held = [], 0
                 except Exception:  # as above: what is left of the part is unreadable
                     continue
         if book is not None:
