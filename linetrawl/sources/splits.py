@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from linetrawl.functions.batches import SLICE_BYTES
 from linetrawl.functions.text import is_blank, line_locator, line_segments, once, split_lines
 from linetrawl.sources.files import MAX_BYTES, read_content
 from linetrawl.sources.plaintext import HEAD_BYTES, decode_text, looks_like_text, text_segments
@@ -89,11 +90,15 @@ def read_splits(splits: DataFrame) -> DataFrame:
     """
     schema = splits.schema.simpleString()[len("struct<"):-1].replace(":", " ")
 
+    kinds = (pa.binary(), pa.binary(), pa.string())
+
     def load(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                path, start, stop = (row[c][0].as_py() for c in ("path", "start", "stop"))
+            part = lambda begin, read: pa.RecordBatch.from_arrays(
+                [*batch.slice(begin, len(read)).columns, *(pa.array(list(values), kind) for values, kind in zip(zip(*read), kinds))],
+                names=[*batch.schema.names, "head", "content", "error"])
+            begin, held, read = 0, 0, []
+            for path, start, stop in zip(*(batch[c].to_pylist() for c in ("path", "start", "stop"))):
                 head, content, error = None, None, None
                 try:
                     with _open(path) as file:
@@ -101,9 +106,14 @@ def read_splits(splits: DataFrame) -> DataFrame:
                         content = _lines(file, start, stop)
                 except OSError as e:
                     error = f"extract_error: {e}"
-                yield pa.RecordBatch.from_arrays(
-                    [*row.columns, pa.array([head], pa.binary()), pa.array([content], pa.binary()), pa.array([error], pa.string())],
-                    names=[*row.schema.names, "head", "content", "error"])
+                size = len(head or b"") + len(content or b"")
+                if read and held + size > SLICE_BYTES:  # small splits are handed on together, a large one by itself
+                    yield part(begin, read)
+                    begin, held, read = begin + len(read), 0, []
+                held += size
+                read.append((head, content, error))
+            if read:
+                yield part(begin, read)
 
     return splits.mapInArrow(load, f"{schema}, head binary, content binary, error string")
 

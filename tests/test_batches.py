@@ -13,7 +13,7 @@ from linetrawl.functions.batches import SLICE_BYTES, SLICE_ROWS, cuts, row_sizes
 from linetrawl.operators import matching
 from linetrawl.operators.automaton import Keywords
 from linetrawl.plans import office_fixtures
-from linetrawl.sources import packages
+from linetrawl.sources import packages, splits
 from linetrawl.sources.plaintext import guess_decode
 
 SEGS = pa.list_(pa.struct([("seg_idx", pa.int32()), ("line_no", pa.int32()), ("text", pa.string())]))
@@ -104,3 +104,20 @@ def test_part_rows_are_handed_on_by_their_size():
     rows = [r for b in out for r in b.to_pylist()]
     assert [(r["path"], r["row"]) for r in rows[:-1]] == [(p, n) for p in ("b1", "b2") for n in range(100)]
     assert re.match("extract_error", rows[-1]["error"]) and max(b.nbytes for b in out) < 2 * SLICE_BYTES
+
+
+def test_small_splits_are_handed_on_together(tmp_path):
+    lines = "".join(f"line {n}\n" for n in range(400)).encode()
+    (tmp_path / "a.txt").write_bytes(lines)
+    (tmp_path / "big.txt").write_bytes(b"z" * (3 * SLICE_BYTES))
+    ranges = [(str(tmp_path / "a.txt"), n, n + 10) for n in range(0, len(lines), 10)]
+    ranges += [(str(tmp_path / "big.txt"), 0, 3 * SLICE_BYTES), (str(tmp_path / "gone.txt"), 0, 10)]
+    batch = pa.RecordBatch.from_pylist([{"path": p, "start": a, "stop": b} for p, a, b in ranges])
+    frame = Rows()
+    frame.schema = type("Schema", (), {"simpleString": lambda self: "struct<path:string,start:bigint,stop:bigint>"})()
+    out = list(splits.read_splits(frame)([batch, batch.slice(0, 0)]))
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [(r["path"], r["start"], r["stop"]) for r in rows] == ranges
+    assert b"".join(r["content"] for r in rows[:-2]) == lines and rows[0]["head"] == lines[:8192] and rows[1]["head"] is None
+    assert len(rows[-2]["content"]) == 3 * SLICE_BYTES and rows[-1]["content"] is None and "extract_error" in rows[-1]["error"]
+    assert [b.num_rows for b in out] == [len(ranges) - 2, 1, 1]
