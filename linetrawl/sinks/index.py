@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from linetrawl.functions.batches import cuts, row_sizes
 from linetrawl.functions.text import normalize, normalize_literal
 from linetrawl.spec import SearchSpec
 
 #: Trigrams are hashed to this many bits.
 BITS = 1 << 20
+#: Bits of a bitmap; groups whose bits a task holds at a time, 128 KB each; characters of a text that are taken at a time.
+BUCKET_BITS, HELD, WINDOW = 32768, 64, 1 << 20
+_XX = tuple(map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)))
 INDEX = "grp int, bucket bigint, bits binary, gen bigint"
 
 
@@ -21,12 +29,75 @@ def _places(text: Column) -> Column:
 def trigram_bitmaps(segments: DataFrame) -> DataFrame:
     """``(grp, bucket, bits)`` of ``(grp, text)``: the trigrams of the folded texts, a bitmap for each filled bucket.
 
-    A partial aggregate: each task sends at most one bitmap per group and bucket, whatever its texts.
+    Tasks gather the bits of whole slices of texts, so no trigram becomes a row: each hands on at most one bitmap per
+    group and bucket for each ``HELD`` groups it meets, whatever its texts.
     """
     texts = segments.select("grp", normalize(F.col("text")).alias("text")).filter(F.col("text").isNotNull())
-    placed = texts.select("grp", F.explode(F.array_distinct(_places(F.col("text")))).alias("place"))
-    number = F.col("place") + 1  # bitmaps count from 1
-    return placed.groupBy("grp", F.bitmap_bucket_number(number).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
+    return texts.mapInArrow(_bitmaps, "grp int, bucket bigint, bits binary").groupBy("grp", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        groups, texts = np.asarray(batch.column(0)), batch.column(1)
+        for begin, end in cuts(row_sizes(texts)):
+            for grp in np.unique(groups[begin:end]).tolist():
+                if grp not in held and len(held) == HELD:
+                    yield _filled(held)
+                    held = {}
+                here = np.zeros(BITS, bool)
+                for trigrams in _trigrams(texts.slice(begin, end - begin).filter(pa.array(groups[begin:end] == grp)).to_pylist()):
+                    here[_hashed(trigrams) & np.uint64(BITS - 1)] = True
+                packed = np.packbits(here, bitorder="little")
+                held[grp] = held[grp] | packed if grp in held else packed
+    yield _filled(held)
+
+
+def _filled(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+    rows = [(grp, i + 1, bits.tobytes()) for grp, whole in held.items() for i, bits in enumerate(whole.reshape(-1, BUCKET_BITS // 8)) if bits.any()]
+    columns = list(zip(*rows)) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary()))], names=["grp", "bucket", "bits"])
+
+
+def _trigrams(texts: list[str]) -> Iterator[np.ndarray]:
+    """Distinct trigrams of texts, three code points of 21 bits each; long texts in windows that overlap by two."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    inside = np.ones(len(points), bool)
+    ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+    for back in (1, 2):  # no trigram runs from one text into the next
+        inside[ends[ends >= back] - back] = False
+    for at in range(0, max(len(points) - 2, 0), WINDOW):
+        window = points[at:at + WINDOW + 2].astype(np.uint64)
+        packed = window[:-2] | window[1:-1] << np.uint64(21) | window[2:] << np.uint64(42)
+        yield np.unique(packed[inside[at:at + len(packed)]])
+
+
+def _hashed(trigrams: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64`` of each trigram (XXH64 with seed 42 of its 3 to 12 bytes of UTF-8)."""
+    points = np.column_stack([trigrams >> np.uint64(s) & np.uint64(0x1FFFFF) for s in (0, 21, 42)]).astype(np.uint32)
+    flat = np.frombuffer(points.tobytes().decode("utf-32-le").encode("utf-8"), np.uint8)
+    begins = np.flatnonzero(flat & 0xC0 != 0x80)[::3]
+    sizes = np.diff(begins, append=len(flat))
+    out = np.empty(len(trigrams), np.uint64)
+    for size in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == size)
+        data = flat[begins[rows][:, None] + np.arange(size)]
+        word = lambda a, b: (data[:, a:b].astype(np.uint64) << np.arange(0, 8 * (b - a), 8, dtype=np.uint64)).sum(1, dtype=np.uint64)
+        h, at = np.full(len(rows), 42 + size, np.uint64) + _XX[4], 0
+        if size >= 8:
+            h, at = _turned(h ^ _turned(word(0, 8) * _XX[1], 31) * _XX[0], 27) * _XX[0] + _XX[3], 8
+        if size - at >= 4:
+            h, at = _turned(h ^ word(at, at + 4) * _XX[0], 23) * _XX[1] + _XX[2], at + 4
+        for i in range(at, size):
+            h = _turned(h ^ word(i, i + 1) * _XX[4], 11) * _XX[0]
+        h = (h ^ h >> np.uint64(33)) * _XX[1]
+        h = (h ^ h >> np.uint64(29)) * _XX[2]
+        out[rows] = h ^ h >> np.uint64(32)
+    return out
+
+
+def _turned(h: np.ndarray, by: int) -> np.ndarray:
+    return h << np.uint64(by) | h >> np.uint64(64 - by)
 
 
 def needed_places(spark: SparkSession, spec: SearchSpec) -> list[list[int]] | None:

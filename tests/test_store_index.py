@@ -1,5 +1,8 @@
 """Searching the store through its trigram index: the same hits, other groups never opened."""
 
+import collections
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +11,8 @@ from linetrawl.operators.search import search_segments
 from linetrawl.sinks import index
 from linetrawl.sinks.store import SegmentStore
 
+_Row = collections.namedtuple("_Row", "grp bucket bits")
+
 
 @pytest.fixture(scope="module")
 def filled(spark, tmp_path_factory):
@@ -76,3 +81,34 @@ def test_places_of_short_and_long_texts(spark):
     assert index.needed_places(spark, SearchSpec(("ab", "abcd"))) == index.needed_places(spark, SearchSpec(("abcd",)))
     (places,) = index.needed_places(spark, SearchSpec(("abcabc",)))
     assert len(places) == 3 and all(0 <= p < index.BITS for p in places)
+
+
+ODD = [None, "", "a", "ab", "abc", "AbC", "\x00\x01\x02", "é\U0001f600ｆ€", "Straße ﬁ", "two\nlines", "\U00010000\U0010ffff퟿x", "  \t "]
+
+
+def test_bitmaps_hold_the_places_of_every_trigram(spark, monkeypatch):
+    rows = spark.createDataFrame([(g, t) for g in (0, 3, -5) for t in ODD] + [(9, "ab"), (9, "c")], "grp int, text string")
+    folded = rows.select("grp", index.normalize(F.col("text")).alias("text")).filter("text IS NOT NULL")
+    want = {(r[0], r[1] // index.BUCKET_BITS + 1, r[1] % index.BUCKET_BITS) for r in folded.select("grp", F.explode(index._places(F.col("text")))).collect()}
+
+    def places(rows):
+        return [(r.grp, r.bucket, i * 8 + b) for r in rows for i, byte in enumerate(r.bits) for b in range(8) if byte >> b & 1]
+
+    got = places(index.trigram_bitmaps(rows.repartition(3)).collect())
+    assert len(got) == len(set(got)) and set(got) == want
+    for held, window in ((1, 2), (64, 1)):
+        monkeypatch.setattr(index, "HELD", held)
+        monkeypatch.setattr(index, "WINDOW", window)
+        batches = [b.select(["grp", "text"]) for b in folded.toArrow().to_batches(max_chunksize=5)]
+        assert {p for b in index._bitmaps(batches) for p in places([_Row(*r.values()) for r in b.to_pylist()])} == want
+
+
+def test_a_trigram_is_no_row_and_a_long_line_takes_linear_time(spark):
+    """Seeking each trigram from the line's beginning walks 45 GB here, and sorts a row for each."""
+    line = "".join(chr(97 + i * i % 26) for i in range(300_000))
+    found = index.trigram_bitmaps(spark.createDataFrame([(0, line)], "grp int, text string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    start = time.perf_counter()
+    assert found.select(F.sum(F.bitmap_count("bits"))).first()[0] == len({line[i:i + 3] for i in range(len(line) - 2)})
+    assert time.perf_counter() - start < 20
