@@ -217,6 +217,49 @@ def test_word_contexts_against_counters():
         assert (texts.mixed(lmscore._gate_weights(lmscore._gate_stats(texts))) < 0).all()
 
 
+def test_what_begins_alike_is_predicted_once(monkeypatch):
+    """Entries that share a beginning and a kind need its bits once; in learning and in scoring the sums stay those of all entries."""
+    tables = np.zeros((lmscore.PREDICTORS * lmscore.SLOTS, 2), np.float32)
+    token = sorted(b"beginning%04d" % (i // 2) for i in range(2000))
+    kind, n = np.tile(np.array([0, 3], np.int32), 1000), np.arange(2000) % 5 + 1
+    rows, plain = [], lmscore.Mixer._bit
+    monkeypatch.setattr(lmscore.Mixer, "_bit", lambda self, contexts, value, *more: (rows.append(len(value)), plain(self, contexts, value, *more))[1])
+    learned = lmscore.Mixer(tables, learns=True)
+    learned.run(token, kind, n)
+    assert rows[:9 * 8] == [2] * 72 and max(rows) == 2000
+    assert learned.refine.sum() == 8 * 14 * n.sum()
+    whole = lmscore.Mixer(tables, learned.weights, learned.refine).run(token, kind, n)
+    halves = lmscore.Mixer(tables, learned.weights, learned.refine).run([w for w in token for _ in "ab"], np.repeat(kind, 2), np.repeat(n, 2) / 2)
+    assert halves == pytest.approx(np.repeat(whole, 2))
+
+
+def test_tables_travel_compressed():
+    import zstandard
+    tables = np.zeros((lmscore.PREDICTORS * lmscore.SLOTS, 2), np.float32)
+    tables[::1000] = 3
+    sent = zstandard.compress(tables.tobytes(), 1)
+    assert (lmscore._opened(sent) == tables).all() and lmscore._opened(sent) is lmscore._opened(sent) and len(sent) < tables.nbytes / 50
+
+
+def test_blocks_number_entries_as_they_come():
+    texts = ["b a. B\x0ba c", None, "", "a. a. é! c \x00 c é!", " b\nb", "new " * 3]
+    block, places, ids = lmscore._Block(), {}, []
+    for i, text in enumerate(texts):
+        block.add(i, i == 4, text)
+        kind, mine = 0, []
+        for word in lmscore.tokens(text) + [b""]:
+            mine.append(places.setdefault((word, kind), len(places)))
+            kind = lmscore._kind_after(word) if word else 0
+        ids.append(mine)
+    assert [lmscore._unpacked(d[4]).tolist() for d in block.docs] == ids
+    rows = [r for b in block.rows(7) for r in b.to_pylist()]
+    entries = [r for r in rows if r["token"] is not None]
+    learned = collections.Counter(p for i, mine in enumerate(ids) if i != 4 for p in mine)
+    assert [((r["token"], r["kind"]), r["place"], r["n"]) for r in entries] == [(e, places[e], learned[places[e]]) for e in sorted(places)]
+    (hashes,) = [np.frombuffer(r["words"], np.uint64).tolist() for r in rows if r["words"]]
+    assert hashes == [lmscore.xxhash.xxh3_64_intdigest(w) for w, _ in places]
+
+
 # ------------------------------------------------------------------------------------ 3 mix
 def water_fill(sizes, weights):
     total, full = sum(sizes), set()
