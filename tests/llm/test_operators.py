@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -260,6 +261,65 @@ def test_blocks_number_entries_as_they_come():
     assert hashes == [lmscore.xxhash.xxh3_64_intdigest(w) for w, _ in places]
 
 
+def test_stored_blocks_take_less_than_their_texts():
+    """Runs of words are not stored with the block, entries are packed, and all that is needed can be read back."""
+    import pyarrow as pa
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(5000)]
+    texts = [" ".join(rng.choices(vocabulary, k=200)) for _ in range(400)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(400)), "held_out": [i % 5 == 0 for i in range(400)], "text": texts})
+    stored = list(lmscore._blocks(iter([batch])))
+    assert sum(sum(c.nbytes for c in b.columns) for b in stored) < 0.8 * sum(map(len, texts))
+    plain = lmscore._Block()
+    for row in batch.to_pylist():
+        plain.add(**{"text": row.pop("text"), **row})
+    rows = pa.Table.from_batches(list(plain.rows(0)))
+    runs = rows.filter(pa.compute.is_valid(rows.column("keys"))).select(["bucket", "block", "keys", "counts"])
+    whole = next(b for b in stored if b.column("words").null_count == 0)
+    assert pa.Table.from_batches(list(lmscore._block_runs(iter([whole.select(["block", "docs", "words"])])))).equals(runs)
+    counts = collections.Counter(w.encode() for i, t in enumerate(texts) if i % 5 for w in t.split())
+    found = pa.Table.from_batches(list(lmscore._types(iter([b for b in stored if b.column("tokens").null_count == 0])))).to_pylist()
+    assert {r["token"]: r["c"] for r in found if r["token"]} == {w.encode(): counts[w.encode()] for t in texts for w in t.split()}
+    assert len({(r["token"], r["kind"]) for r in found}) == len(found) == len(plain.entries[0]) + sum(map(len, plain.entries[1:]))
+    assert sum(r["first"] for r in found) == len({r["token"] for r in found})
+
+
+def test_blocks_are_cut_at_the_same_texts_whatever_the_batches(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(lmscore, "BLOCK_TOKENS", 50)
+    texts = ["a b c " * (i % 9) for i in range(40)]
+    whole = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "held_out": [False] * 40, "text": texts})
+    cut, size = [[]], 0
+    for i, t in enumerate(texts):
+        if size >= 50:
+            cut, size = cut + [[]], 0
+        cut[-1].append(i)
+        size += len(t.split()) + 1
+    for step in (1, 7, 40):
+        rows = [r for b in lmscore._blocks(iter([whole.slice(at, step) for at in range(0, 40, step)])) for r in b.to_pylist()]
+        assert [[d["doc_id"] for d in r["docs"]] for r in rows if r["docs"]] == cut
+
+
+def test_shuffles_go_with_their_job(spark):
+    files = lambda: sum(f.getName().startswith("shuffle_") and f.getName().endswith(".data") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    before, name = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    with common.shuffles_let_go(spark):
+        rows = common.stored(spark.range(1000).repartition(3, "id"), "test")
+    assert rows.count() == 1000 and spark.conf.get(name, None) == was
+    until = time.time() + 20
+    while files() > before and time.time() < until:
+        time.sleep(0.2)
+    assert files() <= before
+
+
+def test_sums_by_rank_are_those_of_one_sort():
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 2**lmscore.RUN_BITS, 300, np.uint64)[rng.integers(0, 300, 5000)]
+    values = rng.integers(0, 1000, len(np.unique(keys)))
+    assert (lmscore._by_rank(keys, values) == values[np.unique(keys, return_inverse=True)[1]]).all()
+
+
 # ------------------------------------------------------------------------------------ 3 mix
 def water_fill(sizes, weights):
     total, full = sum(sizes), set()
