@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from linetrawl.llm.common import stored
+from linetrawl.llm.common import merged, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,20 +23,20 @@ def components(edges: DataFrame) -> DataFrame:
             roots = hooks
         else:
             later = hooks.select(F.col("node").alias("root"), F.col("root").alias("new"))
-            roots = stored(roots.join(later, "root", "left").select("node", F.coalesce("new", "root").alias("root")), "roots")
+            roots = stored(merged(roots, later, "root", "left").select("node", F.coalesce("new", "root").alias("root")), "roots")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if roots is None else roots
 
 
 def _renamed(edges: DataFrame, end: str, hooks: DataFrame) -> DataFrame:
     names = hooks.select(F.col("node").alias(end), F.col("root").alias("__root"))
-    return edges.join(names, end).select(*[F.col("__root").alias(c) if c == end else c for c in "ab"])
+    return merged(edges, names, end).select(*[F.col("__root").alias(c) if c == end else c for c in "ab"])
 
 
 def _shortened(hooks: DataFrame) -> DataFrame:
     """Follow the pointers until each ends at a root."""
     while True:
         above = hooks.select(F.col("node").alias("root"), F.col("root").alias("new"))
-        longer = hooks.join(above, "root").filter("new <> root")
+        longer = merged(hooks, above, "root").filter("new <> root")
         if not longer.take(1):
             return hooks
-        hooks = stored(hooks.join(above, "root").select("node", F.col("new").alias("root")), "hooks")
+        hooks = stored(merged(hooks, above, "root").select("node", F.col("new").alias("root")), "hooks")

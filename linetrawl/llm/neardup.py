@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from linetrawl.llm import texts
-from linetrawl.llm.common import NULL_ID, groups, stored
+from linetrawl.llm.common import NULL_ID, groups, merged, stored
 from linetrawl.llm.components import components
 
 NGRAM, THRESHOLD = 5, 0.8
@@ -132,18 +132,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     entries = nodes.select("node", F.explode("bands").alias("band"))
     leaders = entries.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    stars = entries.join(leaders, "band").filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    stars = merged(entries, leaders, "band").filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     groups_ = components(stars)
     compared = stored(_compared(_units(groups_, entries, nodes, threshold), _sets(ids, nodes, groups_), threshold), "compared")
     links = compared.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(compared.select(F.col("node").alias("a"), F.col("linked").alias("b")))
     placed = stored(
-        nodes.select("node", "set_key", "copies", "first").join(links, "node", "left")
-        .join(classes, "node", "left").select(
+        merged(merged(nodes.select("node", "set_key", "copies", "first"), links, "node", "left"), classes, "node", "left").select(
             "set_key", F.coalesce("root", "node").alias("root"), "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "placed")
-    placed = placed.join(placed.groupBy("root").agg(F.min("first").alias("class_id")), "root").select("set_key", "class_id", "n_links", *(["root"] if keys else []))
+    placed = merged(placed, placed.groupBy("root").agg(F.min("first").alias("class_id")), "root").select("set_key", "class_id", "n_links", *(["root"] if keys else []))
     more = ["text_key", "root"] if keys else []
-    met = features.select("doc_id", "text_key", "set_key").join(placed, "set_key").select("doc_id", "class_id", "n_links", *more)
+    met = merged(features.select("doc_id", "text_key", "set_key"), placed, "set_key").select("doc_id", "class_id", "n_links", *more)
     lone = features.filter("set_key IS NULL").select(  # never joined, so they are no hot key
         "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "text_key", F.lit(None).cast("long").alias("root"))
     return met.unionByName(lone.select("doc_id", "class_id", "n_links", *more))
@@ -156,7 +155,7 @@ def _row() -> Column:
 
 def _sets(ids: DataFrame, nodes: DataFrame, groups_: DataFrame) -> DataFrame:
     """``node, copies, grams`` of every node in a group, from one of its documents, met by id and text."""
-    wanted = groups_.select("node").join(nodes.select("node", "copies", "row.key", "row.text_key"), "node")
+    wanted = merged(groups_.select("node"), nodes.select("node", "copies", "row.key", "row.text_key"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -164,38 +163,40 @@ def _sets(ids: DataFrame, nodes: DataFrame, groups_: DataFrame) -> DataFrame:
             sets = [ngram_set(t.as_py() or "", words).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["node", "copies", "grams"])
 
-    found = ids.withColumn("key", F.coalesce("doc_id", F.lit(NULL_ID))).join(wanted, ["key", "text_key"]).select("node", "copies", "text")
+    found = merged(ids.withColumn("key", F.coalesce("doc_id", F.lit(NULL_ID))), wanted, ["key", "text_key"]).select("node", "copies", "text")
     return stored(found.dropDuplicates(["node"]).mapInArrow(run, "node long, copies long, grams binary"), "sets")
 
 
 def _units(groups_: DataFrame, entries: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """``unit, low, high, block, node, bands`` for every node and pair of blocks to compare it in; a unit without bands is a group."""
+    # at most one node in BLOCK names a large group, so these names are broadcast, and no group is a hot key
     large = stored(groups_.groupBy("root").agg(F.count("*").alias("m")).filter(F.col("m") > BLOCK), "large")
-    members = entries.join(groups_.join(large.select("root"), "root"), "node")
+    members = merged(entries, groups_.join(F.broadcast(large.select("root")), "root"), "node")
     buckets = stored(members.groupBy("root", "band").agg(F.count("*").alias("shared")).filter("shared > 1"), "buckets")
     copied = buckets.groupBy("root").agg(F.sum(F.col("shared") * F.ceil(F.col("shared") / BLOCK)).alias("copied"))
-    chained = large.join(copied, "root").filter(F.col("copied") < F.col("m") * F.ceil(F.col("m") / BLOCK)).select("root")
-    whole = groups_.join(chained, "root", "left_anti").select(F.col("root").alias("unit"), "node", F.lit(False).alias("by_band"))
-    parted = members.join(chained, "root", "left_semi").join(buckets.select("root", "band"), ["root", "band"])
+    chained = copied.join(F.broadcast(large), "root").filter(F.col("copied") < F.col("m") * F.ceil(F.col("m") / BLOCK)).select("root")
+    whole = groups_.join(F.broadcast(chained), "root", "left_anti").select(F.col("root").alias("unit"), "node", F.lit(False).alias("by_band"))
+    parted = merged(members.join(F.broadcast(chained), "root", "left_semi"), buckets.select("root", "band"), ["root", "band"])
     sized = nodes.select("node", "n", "bands")
-    rows = stored(whole.union(parted.select(F.col("band").alias("unit"), "node", F.lit(True).alias("by_band"))).join(sized, "node").select(
+    placed = whole.union(parted.select(F.col("band").alias("unit"), "node", F.lit(True).alias("by_band")))
+    rows = stored(merged(placed, sized, "node").select(
         "by_band", "unit", "node", "n", F.when(F.col("by_band"), F.col("bands")).alias("bands")), "units")
     unit = ["by_band", "unit"]
     before = Window.partitionBy(*unit).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     cost = F.greatest("n", F.lit(SET)).cast("long")
     sizes = rows.groupBy(*unit, "n").agg(F.count("*").alias("m")).withColumn("start", F.coalesce(F.sum(cost * F.col("m")).over(before), F.lit(0)))
     within = F.pmod(F.xxhash64("node"), F.col("m")) * cost  # sets of a size are dealt by hash: no unit is sorted
-    rows = rows.join(sizes, [*unit, "n"]).withColumn("block", F.floor((F.col("start") + within) / (BLOCK * SET)))
+    rows = merged(rows, sizes, [*unit, "n"]).withColumn("block", F.floor((F.col("start") + within) / (BLOCK * SET)))
     blocks = rows.groupBy(*unit, "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     other = blocks.select(*unit, *[F.col(c).alias(f"other_{c}") for c in ("block", "least", "most")])
-    near = blocks.join(other, unit).filter(F.greatest("least", "other_least") <= F.least("most", "other_most") / threshold * (1 + 1e-9))
+    near = merged(blocks, other, unit).filter(F.greatest("least", "other_least") <= F.least("most", "other_most") / threshold * (1 + 1e-9))
     pairs = near.select(*unit, "block", F.least("block", "other_block").alias("low"), F.greatest("block", "other_block").alias("high"))
-    return rows.join(pairs, [*unit, "block"]).select(*unit, "low", "high", "block", "node", "bands")
+    return merged(rows, pairs, [*unit, "block"]).select(*unit, "low", "high", "block", "node", "bands")
 
 
 def _compared(units: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """``node, links, linked`` per node and pair of blocks: copies it is linked to, and a node that links lead to."""
-    members = units.join(sets, "node").select("by_band", "unit", "low", "high", "block", "node", "copies", "grams", "bands")
+    members = merged(units, sets, "node").select("by_band", "unit", "low", "high", "block", "node", "copies", "grams", "bands")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (by_band, unit, low, high), rows in groups(batches, 4):
