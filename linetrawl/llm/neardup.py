@@ -261,5 +261,5 @@ def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
     names = names.select(F.col("key").alias("__key"), F.col("text_key").alias("__text_key"), "__lone")
     columns = [f"`{c}`" for c in docs.columns]
     keyed = docs.withColumns({"__key": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__text_key": _text_key(F.col("text").cast("string"))})
-    met = keyed.join(names, ["__key", "__text_key"]).withColumn("__lone", F.when(F.col("__lone"), F.monotonically_increasing_id()))
+    met = merged(keyed, names, ["__key", "__text_key"]).withColumn("__lone", F.when(F.col("__lone"), F.monotonically_increasing_id()))
     return met.dropDuplicates(["__key", "__text_key", "__lone"]).select(*columns)

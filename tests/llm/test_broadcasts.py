@@ -2,6 +2,7 @@
 
 import pytest
 
+import corpus_pipeline
 from linetrawl.llm import components, neardup
 
 #: Near copies in pairs, and as many texts without any.
@@ -38,3 +39,9 @@ def test_components_are_not_broadcast(spark, small_broadcasts):
 def test_near_duplicates_are_not_broadcast(docs, small_broadcasts):
     got = {r.doc_id: (r.class_id, r.n_links) for r in neardup.near_duplicates(docs).collect()}
     assert got == {i: (i % PAIRS, 1) if i < 2 * PAIRS else (i, 0) for i in range(3 * PAIRS)}
+
+
+def test_the_rows_that_stay_are_not_broadcast(spark, docs, small_broadcasts):
+    kept = corpus_pipeline.deduplicate(spark, docs, None)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(PAIRS), *range(2 * PAIRS, 3 * PAIRS)]
